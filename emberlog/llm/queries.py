@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberlog.llm.attribution import attribute_tokens
+from emberlog.llm.packing import pack_documents
 from emberlog.llm.token_orc import token_orc_index
 
 
@@ -17,8 +19,16 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_index(_table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_orc,)}
+    return {f.__name__: f for f in (op6_best_fit_packing, op8_token_orc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
