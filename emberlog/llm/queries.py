@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.attribution import attribute_tokens
 from emberlog.llm.packing import pack_documents
+from emberlog.llm.quality import quality_report
 from emberlog.llm.token_orc import token_orc_index
 
 
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_index(_table(spark, sf_dir, "documents"))
 
@@ -28,7 +33,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_best_fit_packing, op8_token_orc, op10_token_counts)}
+    return {f.__name__: f for f in (op6_best_fit_packing, op7_quality_rules, op8_token_orc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
