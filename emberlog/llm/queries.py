@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from emberlog.llm.attribution import attribute_tokens
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.quality import quality_report
+from emberlog.llm.secrets import find_secrets
 from emberlog.llm.simhash import near_duplicates
 from emberlog.llm.token_orc import token_orc_index
 
@@ -25,6 +26,10 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_index(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
