@@ -94,7 +94,9 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = BASE + RULES, sample_ro
 
     Each rule runs alone, with all the statistics that it needs, over the same cached rows.
     """
-    sample = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).limit(sample_rows).repartition(2).cache()
+    # collect() of a limit reads partitions one after another and stops; as a step of a plan, a limit reads them all.
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit(""))).limit(sample_rows).collect()
+    sample = docs.sparkSession.createDataFrame(rows, "__text string").repartition(2).cache()
     try:
         n = sample.count()
         gain = {}
