@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.attribution import attribute_tokens
+from emberlog.llm.decontaminate import benchmark_matches
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.quality import quality_report
 from emberlog.llm.secrets import find_secrets
@@ -26,6 +27,10 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_index(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op2_decontamination, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
