@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.tokens import DEFAULT_TOKENIZER, Encoder, texts_of
+from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, texts_of
 
 #: Who gets a token that lies in several sections: the one that holds its first character, the one that holds its last,
 #: or the one that holds most of its characters (the earlier one of equals).
@@ -40,7 +40,7 @@ def owners(begins: np.ndarray, length: int, ends: np.ndarray, rule: str) -> tupl
 
 def _attribute(tokenizer: str, rule: str, with_fields: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, offsets=True)
+        coder = encoder(tokenizer, offsets=True)
         names = ["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing"]
 
         def out(parts: list[tuple]) -> pa.RecordBatch:
@@ -55,7 +55,7 @@ def _attribute(tokenizer: str, rule: str, with_fields: bool):
                 ends[-1] = len(text)
                 if len(ends) > 1 and not with_fields and ends[-1] == ends[-2]:
                     ends = ends[:-1]  # the text ends with a line's end
-                ids, begins = encoder.encode(text)
+                ids, begins = coder.encode(text)
                 owner, crossing = owners(begins, len(text), ends, rule)
                 counts = np.bincount(owner, minlength=len(ends)) if len(ids) else np.zeros(len(ends))
                 crossed = np.bincount(owner, crossing, len(ends)) if len(ids) else np.zeros(len(ends))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
-from emberlog.llm.tokens import DEFAULT_TOKENIZER, Encoder, texts_of
+from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, texts_of
 
 #: Pieces of one length whose ranks one task deals out, about.
 RANK_ROWS = 1 << 18
@@ -22,7 +22,7 @@ PLACE = "sequence_id long, offset long"
 
 def _pieces(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.uint32(end_id).tobytes()
+        coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
         def out(rows: list[tuple], ids: list[bytes]) -> pa.RecordBatch:
@@ -35,7 +35,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
         for batch in batches:
             rows, ids, held = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                packed = encoder.encode(text) + end
+                packed = coder.encode(text) + end
                 n = len(packed) // 4
                 begin = 0
                 stop = n % capacity or min(n, capacity)  # only the first piece may be short

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import new_path, stage
-from emberlog.llm.tokens import DEFAULT_TOKENIZER, Encoder, texts_of
+from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, texts_of
 
 #: Rows of one output batch end at about so many ids, so that a task holds few of them.
 BATCH_IDS = 500_000
@@ -19,7 +19,7 @@ BATCH_IDS = 500_000
 
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.uint32(end_id).tobytes()
+        coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
 
         def out(keys: list, ids: list[bytes]) -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
@@ -30,7 +30,7 @@ def _encode(tokenizer: str, end_id: int):
             keys, ids, held = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 keys.append(key)
-                ids.append(encoder.encode(text) + end)
+                ids.append(coder.encode(text) + end)
                 held += len(ids[-1]) // 4
                 if held >= BATCH_IDS:
                     yield out(keys, ids)

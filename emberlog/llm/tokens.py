@@ -8,6 +8,7 @@ library and then looks it up. ``tests/llm/test_tokens.py`` holds this against ``
 from __future__ import annotations
 
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,13 @@ DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: The cut rule of the byte-level pre-tokenizer; fixed, as ids depend on it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Entries of a cache before it starts anew; bounds a worker's memory (about 200 bytes an entry).
-CACHE = 400_000
+#: Entries of each of a cache's two generations, for chunks and for pieces; they bound a worker's memory (about 200
+#: bytes an entry).
+CACHED_CHUNKS, CACHED_PIECES = 350_000, 120_000
+
+
+#: From this character on the library's own tables of Unicode classes decide where pieces are cut.
+PLAIN_BELOW = "\u0250"
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -29,21 +35,20 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(kept))}
 
 
-class _Chunks(dict):
-    """Text between two single spaces -> (ids, first character of each token), both as packed unsigned 32-bit values.
-
-    A chunk that is empty, or begins or ends with white space, isn't sure to be cut at its ends; it has no entry.
-    """
+class _Cache(dict):
+    """Key -> ``make(key)``. When full, it begins anew and takes over what is asked for again from the entries before."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, make, entries: int):
+        self.make, self.entries, self.before = make, entries, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise KeyError(chunk)
-        if len(self) >= CACHE:
+    def __missing__(self, key: str) -> bytes:
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.entries:
+            self.before = dict(self)
             self.clear()
-        self[chunk] = found = self.encoder.packed(" " + chunk)
+        self[key] = found
         return found
 
 
@@ -57,38 +62,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.alphabet, self.offsets = self.tokenizer.model, _byte_alphabet(), offsets
-        self.pieces: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
+        #: Chunk, the text between two single spaces -> its ids (and offsets) with the space before it, packed as
+        #: unsigned 32-bit values. What is empty, or begins or ends with white space, isn't sure to be cut there.
+        self.chunks = _Cache(self._chunk, CACHED_CHUNKS)
+        self.pieces = _Cache(self._piece, CACHED_PIECES)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            raw = piece.encode()
-            tokens = self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))
-            if self.offsets:
-                holds = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
-                begins = holds[np.concatenate([[0], np.cumsum([len(t.value) for t in tokens[:-1]], dtype=np.int64)])]
-                found = array("I", [x for t, a in zip(tokens, begins) for x in (t.id, a)]).tobytes()
-            else:
-                found = array("I", [t.id for t in tokens]).tobytes()
-            self.pieces[piece] = found
-        return found
+        """Encode one piece of the pre-tokenizer's."""
+        raw = piece.encode()
+        tokens = self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))
+        if not self.offsets:
+            return array("I", [t.id for t in tokens]).tobytes()
+        holds = range(len(raw)) if len(raw) == len(piece) else [i for i, c in enumerate(piece) for _ in c.encode()]
+        at, pairs = 0, array("I")
+        for t in tokens:
+            pairs.append(t.id)
+            pairs.append(holds[at])
+            at += len(t.value)
+        return pairs.tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise KeyError(chunk)
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) < PLAIN_BELOW):
+            return self._piece(" " + chunk)
+        return self.packed(" " + chunk)
+
+    def _known(self, piece: str) -> bytes:
+        return self.chunks[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else self.pieces[piece]
 
     def packed(self, text: str) -> bytes:
         """Encode ``text`` as if nothing stood before or after it."""
-        if not text or max(text) >= "ɐ":  # the library's tables of Unicode classes decide here
+        if not text or max(text) >= PLAIN_BELOW:
             got = self.tokenizer.encode(text, add_special_tokens=False)
             if self.offsets:
                 return array("I", [x for i, (a, _) in zip(got.ids, got.offsets) for x in (i, a)]).tobytes()
             return array("I", got.ids).tobytes()
+        pieces = PIECE.findall(text)
         if not self.offsets:
-            return b"".join(map(self._piece, PIECE.findall(text)))
+            return b"".join(map(self._known, pieces))
         at, out = 0, []
-        for piece in PIECE.findall(text):
-            pairs = np.frombuffer(self._piece(piece), np.uint32).reshape(-1, 2).copy()
-            pairs[:, 1] += at
+        for piece in pieces:
+            pairs = array("I", self._known(piece))
+            for i in range(1, len(pairs) if at else 0, 2):
+                pairs[i] += at
             out.append(pairs.tobytes())
             at += len(piece)
         return b"".join(out)
@@ -116,6 +133,12 @@ class Encoder:
         return pairs[:, 0], pairs[:, 1] + np.repeat(begins, counts)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str = DEFAULT_TOKENIZER, offsets: bool = False) -> Encoder:
+    """The Python worker's own encoder: a worker serves many tasks, and each finds the entries of those before it."""
+    return Encoder(path, offsets)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray):
     """The texts of an Arrow column one at a time, null as the empty text."""
     for x in column:
