@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberlog.llm.attribution import attribute_tokens
 from emberlog.llm.decontaminate import benchmark_matches
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.quality import quality_report
 from emberlog.llm.secrets import find_secrets
+from emberlog.llm.sharding import shard_rows
 from emberlog.llm.simhash import near_duplicates
 from emberlog.llm.token_orc import token_orc_index
+from emberlog.llm.url_filter import judge_urls
+from emberlog.llm.warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +31,24 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_index(_table(spark, sf_dir, "documents"))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    columns = [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law")]
+    return shard_rows(_table(spark, sf_dir, "documents")).select("doc_id", *columns, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
