@@ -175,10 +175,10 @@ def a1_features(spark, sf_dir):
 m AS (SELECT id, ts, 'host:' || host AS k, a, b FROM f UNION ALL SELECT id, ts, 'user_id:' || user_id, a, b FROM f),
 s AS (SELECT id, count(*) OVER w AS n, (abs(a - avg(a) OVER w) / (coalesce(stddev_pop(a) OVER w, 0) + 1e-6) + abs(b - avg(b) OVER w) / (coalesce(stddev_pop(b) OVER w, 0) + 1e-6)) / 2 AS z
   FROM m WINDOW w AS (PARTITION BY k ORDER BY ts, id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING))
-SELECT id, round(avg(CASE WHEN n >= 10 THEN z END), 3) AS z FROM s GROUP BY id""")
+SELECT id, round(avg(CASE WHEN n >= 10 THEN z END), 6) AS z FROM s GROUP BY id""")
 def a2_entity_baseline(spark, sf_dir):
     df = scoring.entity_z(scoring.extract_features(sec_events(spark, sf_dir)), ["host", "user_id"], ["message_length", "bytes"])
-    return df.select("id", F.round("z", 3).alias("z"))
+    return df.select("id", "z")
 
 
 FREQUENCY = """, c AS (SELECT *, count(*) OVER (PARTITION BY source, event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)

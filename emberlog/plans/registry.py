@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.plans import checks_detection
+from emberlog.plans import checks_correlation, checks_detection
 
-MODULES = (checks_detection,)
+MODULES = (checks_detection, checks_correlation)
 
 
 def queries() -> dict:
