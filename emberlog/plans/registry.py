@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.plans import checks_correlation, checks_detection
+from emberlog.plans import checks_correlation, checks_detection, checks_response
 
-MODULES = (checks_detection, checks_correlation)
+MODULES = (checks_detection, checks_correlation, checks_response)
 
 
 def queries() -> dict:
