@@ -193,7 +193,7 @@ def v1_evaluation(spark, sf_dir):
     return m.evaluate_detection(df.filter("event_type = 'ssh_login_failure'"), df.filter("host IN ('h1', 'h2', 'h3')"))
 
 
-@query(", b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS w, bytes FROM e WHERE bytes IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY bytes) AS n, count(*) OVER (PARTITION BY w) AS c FROM b) SELECT w AS "at", round(max(c) / 21600, 6) AS per_second, round(avg(bytes), 4) AS mean, round(max(CASE WHEN n = least(floor(c * 0.95) + 1, c) THEN bytes END), 4) AS p95 FROM k GROUP BY w")
+@query(", b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS w, bytes FROM e WHERE bytes IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY bytes) AS n, count(*) OVER (PARTITION BY w) AS c FROM b) SELECT w AS at, round(max(c) / 21600, 6) AS per_second, round(avg(bytes), 4) AS mean, round(max(CASE WHEN n = least(floor(c * 0.95) + 1, c) THEN bytes END), 4) AS p95 FROM k GROUP BY w")
 def o1_throughput(spark, sf_dir):
     df = m.throughput(sec_events(spark, sf_dir).filter("bytes IS NOT NULL"), "bytes", "6 hours", "6 hours")
     return df.select(F.col("at").cast("timestamp_ntz").alias("at"), F.round("per_second", 6).alias("per_second"), F.round("mean", 4).alias("mean"), F.round("p95", 4).alias("p95"))
