@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.plans import checks_correlation, checks_detection, checks_response
+from emberlog.plans import checks_correlation, checks_detection, checks_ingest, checks_response
 
-MODULES = (checks_detection, checks_correlation, checks_response)
+MODULES = (checks_detection, checks_correlation, checks_response, checks_ingest)
 
 
 def queries() -> dict:
