@@ -127,7 +127,8 @@ def normalize_logs(df: DataFrame, source: str = "", source_type: str = "", raw:
     fields = fields.when(kind == "json", F.map_filter("__j", lambda k, v: ~k.isin(*JSON_TAKEN) & v.isNotNull()))
     fields = fields.when(kind == "csv", F.map_from_entries(F.transform("__c", lambda v, i: F.struct(F.concat(F.lit("field_"), i.cast("string")), v)))).otherwise(F.create_map().cast("map<string,string>"))
     ts = F.col("__ts")
-    df = df.withColumn("__ts", parse_time(F.col("__when"), year))
+    # Generated, so that a filter on the time or the error stays above and doesn't write all of it out again for each use.
+    df = df.select("*", F.inline(F.array(F.struct(parse_time(F.col("__when"), year).alias("__ts")))))
     error = F.when(t == "", "empty").when((kind == "cef") & cef_severity.isNull(), "severity is no number").when(ts.isNull(), "no readable time")
     return df.select(
         *(f"`{c}`" for c in df.columns if not c.startswith("__")), ts.alias("ts"), F.lit(source).alias("source"), canonical_source_type(F.lit(source_type)).alias("source_type"), severity.alias("severity"), m.alias("message"), host.alias("host"), ip.alias("ip_address"), user.alias("user_id"), process.alias("process_name"),

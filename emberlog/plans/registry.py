@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.plans import checks_correlation, checks_detection, checks_ingest, checks_response
+from emberlog.plans import checks_correlation, checks_detection, checks_ingest, checks_response, checks_streaming
 
-MODULES = (checks_detection, checks_correlation, checks_response, checks_ingest)
+MODULES = (checks_detection, checks_correlation, checks_response, checks_ingest, checks_streaming)
 
 
 def queries() -> dict:
