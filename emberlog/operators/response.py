@@ -119,15 +119,18 @@ def auto_group(alerts: DataFrame, gap_us: int = 1_800_000_000) -> DataFrame:
     asked = seen.withColumn("asks", F.lit(1)).unionByName(firsts.select("h", F.col("block").alias("at"), F.lit(0).alias("asks")))
     last = asked.withColumn("last", F.max(F.when(F.col("asks") == 1, F.col("at"))).over(order)).filter("asks = 0").select(F.col("at").alias("block"), F.coalesce("last", F.lit(-1)).alias("last"))
 
-    def fold(pdf):
-        start, n, out = None, 0, []
-        for block, last_seen in pdf.sort_values("block").itertuples(index=False):
-            if start is None or last_seen < start:
-                start, n = block, n + 1
-            out.append(n)
-        return pdf.sort_values("block").assign(grp=out)[["block", "grp"]]
-
-    return last.groupBy(F.lit(1)).applyInPandas(lambda pdf: fold(pdf[["block", "last"]]), "block long, grp long")
+    def fold(batches):
+        start, n = None, 0
+        for pdf in batches:
+            out = []
+            for block, last_seen in zip(pdf["block"], pdf["last"]):
+                if start is None or last_seen < start:
+                    start, n = block, n + 1
+                out.append(n)
+            yield pdf.assign(grp=out)[["block", "grp"]]
+
+    # Where a group begins depends on all groups before it: the fold is one task's, over two numbers a block, in a stream.
+    return last.repartition(1).sortWithinPartitions("block").select("block", "last").mapInPandas(fold, "block long, grp long")
 
 
 def timeline(events: DataFrame) -> DataFrame:
