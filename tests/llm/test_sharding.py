@@ -17,9 +17,8 @@ def test_matrix_adds_up():
 def test_draws_follow_the_distribution():
     rng = np.random.default_rng(1)
     got = np.array([split_counts(rng, [5, 3, 2], 4)[0] for _ in range(20_000)])
-    want = np.array([1, 20, 60, 60 - 0, 5]) * np.array([5 * 4 // 4, 1, 1, 1, 1])
     chance = np.array([5, 50, 100, 50, 5]) / 210  # C(5,k) C(5,4-k) / C(10,4)
-    assert np.abs(np.bincount(got, minlength=5) / 20_000 - chance).max() < 0.015 and len(want) == 5
+    assert np.abs(np.bincount(got, minlength=5) / 20_000 - chance).max() < 0.015
     large = np.array([hypergeometric(rng, 2_000_000_000, 1_000_000_000, 900_000) for _ in range(400)])
     assert abs(large.mean() - 600_000) < 100 and 350 < large.std() < 550
 
