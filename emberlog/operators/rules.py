@@ -86,9 +86,7 @@ def threshold(df: DataFrame, spec: RuleSpec) -> tuple[Column, Column, Column]:
     counted = _text(df, c["field"]) != ""
     for name, value in c.get("filter", {}).items():
         counted = counted & _equal(df, name, value)
-    # Rows that don't count get keys of their own, so that no partition gathers them.
-    key = f"__{spec.id}"
-    n = F.col(f"{key}_n")
+    n = F.col(f"__{spec.id}_n")
     return counted & (n >= c["threshold"]), F.least(F.lit(1.0), n / (2.0 * c["threshold"])), _text(df, c["field"])
 
 
@@ -103,11 +101,13 @@ COMPILERS: dict[str, Callable] = {"signature": signature, "pattern": pattern, "r
 
 
 def with_threshold_count(df: DataFrame, spec: RuleSpec) -> DataFrame:
+    """``df`` with the trailing count that a threshold rule needs."""
     c = spec.condition
     counted = _text(df, c["field"]) != ""
     for name, value in c.get("filter", {}).items():
         counted = counted & _equal(df, name, value)
     key = f"__{spec.id}"
+    # Rows that don't count get keys of their own, so that no partition gathers them.
     keyed = df.withColumn(f"{key}_k", F.when(counted, _text(df, c["field"])).otherwise(F.concat(F.lit("\0"), F.col("id").cast("string"))))
     return keyed.withColumn(f"{key}_n", trailing_count([f"{key}_k"], int(c["window_seconds"] * 1_000_000))).drop(f"{key}_k")
 
