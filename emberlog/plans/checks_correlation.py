@@ -107,6 +107,38 @@ def k3_chain_confidence(spark, sf_dir):
     return c.match_chains(sec_events(spark, sf_dir), patterns=c.PATTERNS[:1]).select("ip_address", "confidence", "is_partial")
 
 
+def _fits(step: tuple) -> str:
+    _, types, words = step
+    kinds = [f"contains(lower(event_type), '{t.lower()}') OR (event_type <> '' AND contains('{t.lower()}', lower(event_type)))" for t in types]
+    return " OR ".join(kinds + [f"contains(lower(message), '{w.lower()}')" for w in words])
+
+
+ALL_STEPS = ", t AS (" + " UNION ALL ".join(f"SELECT ip_address, '{p.id}' AS pattern, {i} AS step, ts, id FROM e WHERE {_fits(s)}" for p in c.PATTERNS for i, s in enumerate(p.steps)) + ")"
+SIZES = ", z(pattern, steps) AS (VALUES " + ", ".join(f"('{p.id}', {len(p.steps)})" for p in c.PATTERNS) + ")"
+#: Per step, the first event after the one that the step before took; ties in time go by id.
+WALK = ", i AS (SELECT ip_address, count(*) AS events FROM e GROUP BY ip_address), w0 AS (SELECT ip_address, events, pattern, steps, CAST(NULL AS TIMESTAMP) AS seen, CAST(NULL AS VARCHAR) AS seen_id, 0 AS matched FROM i, z)" + "".join(
+    f""", h{n} AS (SELECT w.ip_address, w.pattern, t.ts, t.id, row_number() OVER (PARTITION BY w.ip_address, w.pattern ORDER BY t.ts, t.id) AS nth FROM w{n} w JOIN t ON t.ip_address = w.ip_address AND t.pattern = w.pattern AND t.step = {n} AND (w.seen IS NULL OR t.ts > w.seen OR (t.ts = w.seen AND t.id > w.seen_id))),
+w{n + 1} AS (SELECT w.ip_address, events, w.pattern, steps, coalesce(h.ts, seen) AS seen, coalesce(h.id, seen_id) AS seen_id, matched + CAST(h.ts IS NOT NULL AS INT) AS matched FROM w{n} w LEFT JOIN h{n} h ON h.ip_address = w.ip_address AND h.pattern = w.pattern AND h.nth = 1)"""
+    for n in range(max(len(p.steps) for p in c.PATTERNS))
+)
+ALL_CHAINS = ALL_STEPS + SIZES + WALK + f", m AS (SELECT * FROM w{max(len(p.steps) for p in c.PATTERNS)} WHERE matched / steps >= 0.5)"
+
+
+@query(ALL_STEPS + " SELECT pattern, step, count(*) AS n FROM t GROUP BY pattern, step")
+def k1_step_tags_all(spark, sf_dir):
+    return c.step_tags(sec_events(spark, sf_dir)).groupBy("pattern", "step").agg(F.count("*").alias("n"))
+
+
+@query(ALL_CHAINS + " SELECT ip_address, pattern, matched, matched / steps AS ratio FROM m")
+def k2_match_chains_all(spark, sf_dir):
+    return c.match_chains(sec_events(spark, sf_dir)).select("ip_address", "pattern", "matched", "ratio")
+
+
+@query(ALL_CHAINS + " SELECT ip_address, pattern, round(least(1.0, matched / steps * 0.7 + least(0.3, matched / events * 0.3)), 3) AS confidence, matched < steps AS is_partial FROM m")
+def k3_chain_confidence_all(spark, sf_dir):
+    return c.match_chains(sec_events(spark, sf_dir)).select("ip_address", "pattern", "confidence", "is_partial")
+
+
 SESSIONS = """, l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY ip_address, user_id, host ORDER BY ts, id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY ip_address, user_id, host ORDER BY ts, id) AS nth FROM l),
 x AS (SELECT *, row_number() OVER v AS rn, date_diff('microsecond', min(ts) OVER v, ts) / 1e6 AS sec, lag(country) OVER v AS lc, lag(ts) OVER v AS lt FROM s WINDOW v AS (PARTITION BY user_id, nth ORDER BY ts, id)),
