@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.storage import stage
+
 NODE = "tree int, node int, feature int, cut double, size int"
 
 
@@ -16,22 +18,25 @@ def _average_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def fit_forest(df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+def fit_forest(df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42, key: str | None = None) -> DataFrame:
     """Nodes of all trees in NODE; ``feature`` is -1 at a leaf, a node's children are 2n+1 and 2n+2.
 
     Each tree has its own ``sample`` rows: the least by a seeded hash, of rows that a share of all, several times that
-    size, lets through, so that no task gathers more than it needs. Features are scaled by their deviation.
+    size, lets through, so that no task gathers more than it needs. The hash is of ``key``, which has to be unique, or of
+    a staged row number without one: rows with equal features are drawn independently.
     """
-    n = df.count()
+    values = [F.coalesce(F.col(f), F.lit(0.0)).cast("double").alias(f) for f in features]
+    given = df.select(*values, F.col(key).alias("__id")) if key else stage(df.select(*values, F.monotonically_increasing_id().alias("__id")), "forest-rows")
+    n = given.count()
     keep = min(1.0, 8.0 * sample / max(n, 1))
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "tree", *features), F.lit(1 << 40))
-    rows = df.select(*(F.coalesce(F.col(f), F.lit(0.0)).cast("double").alias(f) for f in features), F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
+    hashed = F.pmod(F.xxhash64(F.lit(seed), "tree", "__id"), F.lit(1 << 40))
+    rows = given.select(*features, "__id", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
     rows = rows.withColumn("__h", hashed).filter(F.col("__h") <= int(keep * (1 << 40)))
-    chosen = rows.withColumn("__n", F.row_number().over(Window.partitionBy("tree").orderBy("__h", *features))).filter(F.col("__n") <= sample)
+    chosen = rows.withColumn("__n", F.row_number().over(Window.partitionBy("tree").orderBy("__h", "__id"))).filter(F.col("__n") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rng, x = np.random.default_rng([seed, tree]), pdf.sort_values(["__h", *features])[features].to_numpy()
+        rng, x = np.random.default_rng([seed, tree]), pdf.sort_values(["__h", "__id"])[features].to_numpy()
         limit, out, work = math.ceil(math.log2(max(sample, 2))), [], [(0, 0, np.arange(len(x)))]
         while work:
             node, depth, own = work.pop()

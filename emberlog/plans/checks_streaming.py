@@ -80,4 +80,4 @@ def w7_stream_metrics(spark, sf_dir):
 def a3_a4_isolation_forest(spark, sf_dir):
     names = ["f_message_length", "f_hour", "f_bytes"]
     df = scoring.extract_features(sec_events(spark, sf_dir))
-    return isolation.score_forest(df, isolation.fit_forest(df, names), names, scale="published").select("id", F.round("isolation", 6).alias("isolation"))
+    return isolation.score_forest(df, isolation.fit_forest(df, names, key="id"), names, scale="published").select("id", F.round("isolation", 6).alias("isolation"))
