@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
@@ -12,13 +13,21 @@ from pyspark.sql import functions as F
 from emberlog.functions.storage import stage
 
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
 #: Rounds in one plan; after them the scores are written down and compared.
 ROUNDS_A_STAGE = 5
 #: A host without a rule's verdict is blocked if its distrust is over this many times its trust.
 LEAST_DISTRUST = 1.0
 
 
+def rounds_needed(damping: float, tolerance: float) -> int:
+    """Round k moves no more than 2 * damping^k of the mass: what it takes away and what it puts elsewhere."""
+    return max(1, math.ceil(math.log(tolerance / 2) / math.log(damping)))
+
+
+ROUNDS = rounds_needed(DAMPING, TOLERANCE)
+
+
 @dataclass(frozen=True)
 class UrlRule:
     """``verdict`` (allow or block) for a host with all its subdomains and all paths that begin with ``path``."""
@@ -71,12 +80,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.select("src", lower_ascii(F.col("to")).alias("dst")).filter("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust`` by personalised PageRank from ``seeds(host, trusted, blocked)``, masses of evidence.
 
     Trust flows along ``links(src, dst, n)`` in proportion to ``n``, distrust against them: who links to a blocked host
     is suspect, who is linked to by a trusted one is not. Hosts without links on lose what flows from them. Rounds go
-    on until no more than ``tolerance`` of the mass moves. Both flows run in one plan; each round is one join and one
+    on until no more than ``tolerance`` of the mass moves; :func:`rounds_needed` bounds them, and fewer ``rounds`` that
+    don't get there are an error. Both flows run in one plan; each round is one join and one
     aggregate with sums combined before the shuffle, and hubs' joins can be split.
     """
     both = links.select(F.lit(0).alias("kind"), F.col("src").alias("node"), F.col("dst").alias("to"), "n").union(links.select(F.lit(1), "dst", "src", "n"))
@@ -85,7 +95,7 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     seeded = stage(seeds.select(F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trusted").cast("double").alias("mass")), F.struct(F.lit(1).alias("kind"), F.col("blocked").cast("double").alias("mass")))).alias("s"), "host").select("s.kind", F.col("host").alias("node"), "s.mass").filter("mass > 0"), "host-seeds")
     base = seeded.select("kind", "node", ((1 - damping) * F.col("mass")).alias("mass"))
     total = seeded.agg(F.sum("mass")).first()[0] or 0.0
-    scores, done = seeded, 0
+    scores, done, rounds = seeded, 0, rounds_needed(damping, tolerance) if rounds is None else rounds
     while done < rounds:
         for _ in range(min(ROUNDS_A_STAGE, rounds - done)):
             moved = scores.join(edges, ["kind", "node"]).select("kind", F.col("to").alias("node"), (damping * F.col("mass") * F.col("part")).alias("mass"))
@@ -97,6 +107,8 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
         if (scores.agg(F.sum("moved")).first()[0] or 0.0) <= tolerance * total:
             break
         scores = scores.drop("moved")
+    else:
+        raise RuntimeError(f"scores still move after {done} rounds")
     return scores.groupBy(F.col("node").alias("host")).agg(*(F.round(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)), 9).alias(n) for k, n in enumerate(("trust", "distrust"))))
 
 
