@@ -1,14 +1,22 @@
-"""Look-back windows in arrival order (time, then id), exact where times tie."""
+"""Look-back windows in arrival order (time, then id), exact where times tie, with no task bound to one key.
+
+A key may hold most of the rows, so windows are dealt by pieces of a key: pieces of time, or of the global order, each
+with a halo of the rows before it that its windows reach into.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
 
+#: A piece of time is so many windows long: rows of the last one are also dealt to the piece after.
+PIECE_WINDOWS = 8
+_POSITION = (1 << 33) - 1
+
 
 def trailing_count(keys: Sequence[str], window_us: int, time: str = "us", tie: str = "id", include_self: bool = True) -> Column:
     """Rows of the same keys in the last ``window_us`` microseconds up to this one, both ends included.
@@ -22,20 +30,41 @@ def trailing_count(keys: Sequence[str], window_us: int, time: str = "us", tie: s
     return F.count("*").over(frame) - later - (0 if include_self else 1)
 
 
+def with_trailing_counts(df: DataFrame, counts: Mapping[str, Sequence[str]], window_us: int, include_self: bool = True) -> DataFrame:
+    """``df`` with a :func:`trailing_count` under each name of ``counts``, by its keys.
+
+    The first keys must be among those of all others. Pieces of one key and time are dealt apart. Rows without a time
+    form one piece of their key.
+    """
+    width = PIECE_WINDOWS * max(window_us, 1)
+    own = F.floor(F.col("us") / width)
+    reach = F.sequence(own, F.floor((F.col("us") + window_us) / width))
+    rows = df.withColumn("__home", own).withColumn("__piece", F.explode(F.when(F.col("us").isNull(), F.array(F.lit(None).cast("long"))).otherwise(reach)))
+    for name, keys in counts.items():
+        rows = rows.withColumn(name, trailing_count([*keys, "__piece"], window_us, include_self=include_self))
+    return rows.filter(F.col("__home").eqNullSafe(F.col("__piece"))).drop("__home", "__piece")
+
+
+def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` written down in ranges of ``order``: ``__part`` numbers them in order, ``__at`` the rows of each, from 0."""
+    place = F.monotonically_increasing_id()
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(sorted_rows.select("*", F.shiftright(place, 33).cast("int").alias("__part"), place.bitwiseAND(F.lit(_POSITION)).alias("__at")), "ordered")
+
+
 def with_global_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``df`` with ``pos``, its place in one global order, from 0, without bringing all rows to one task.
 
     Rows are dealt by ranges and written down; only a count per range reaches the driver.
     """
-    part = stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered")
+    part = in_ranges(df, order)
     counts = sorted((r["__part"], r["n"]) for r in part.groupBy("__part").agg(F.count("*").alias("n")).collect())
     bases, at = [], 0
     for p, n in counts:
         bases.append((p, at))
         at += n
     base = df.sparkSession.createDataFrame(bases, "__part int, __base long")
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return part.join(F.broadcast(base), "__part").withColumn("pos", F.col("__base") + nth).drop("__part", "__base")
+    return part.join(F.broadcast(base), "__part").withColumn("pos", F.col("__base") + F.col("__at")).drop("__part", "__base", "__at")
 
 
 def with_halo(df: DataFrame, rows_before: int, bucket_rows: int = 20_000) -> DataFrame:
@@ -48,3 +77,65 @@ def with_halo(df: DataFrame, rows_before: int, bucket_rows: int = 20_000) -> Dat
     own = F.floor(F.col("pos") / bucket_rows)
     ahead = F.when(F.col("pos") % bucket_rows >= bucket_rows - rows_before, F.array(own, own + 1)).otherwise(F.array(own))
     return df.withColumn("bucket", F.explode(ahead)).withColumn("owned", F.col("bucket") == own)
+
+
+def with_previous(df: DataFrame, columns: Mapping[str, str], keys: Sequence[str], order: Sequence[str] = ("us", "id")) -> DataFrame:
+    """``df`` with, under each name of ``columns``, a column's value in the row before of the same keys; null without one."""
+    placed = with_halo(with_global_position(df, [*keys, *order]), 1)
+    before = Window.partitionBy("bucket", *keys).orderBy("pos")
+    return placed.select("*", *(F.lag(c).over(before).alias(n) for n, c in columns.items())).filter("owned").drop("bucket", "owned", "pos")
+
+
+def with_trailing_moments(df: DataFrame, columns: Sequence[str], last: int, keys: Sequence[str] = (), order: Sequence[str] = ("us", "id"), include_self: bool = True) -> DataFrame:
+    """``df`` with ``n``, and ``{column}_mean`` and ``{column}_dev`` (population deviation) of each number in ``columns``
+    over the ``last`` rows of the same keys, the row itself included or those before it. The columns hold no nulls.
+
+    Sums run through a bucket and the frame's is the difference of two of them, so a row costs the same for any frame.
+    Values are taken from the bucket's first one, and a frame in which nothing changes has a deviation of exactly 0.
+    """
+    placed = with_halo(with_global_position(df, [*keys, *order]), last if not include_self else last - 1)
+    rows = Window.partitionBy("bucket", *keys).orderBy("pos")
+    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    skip = 0 if include_self else 1
+    nth = F.row_number().over(rows)
+    shifted = [(F.col(c) - F.first(c).over(upto)).alias(f"__x_{c}") for c in columns]
+    changes = [F.when(F.col(c) == F.lag(c).over(rows), 0).otherwise(1).alias(f"__d_{c}") for c in columns]
+    placed = placed.select("*", nth.alias("__nth"), *(F.first(c).over(upto).alias(f"__f_{c}") for c in columns), *shifted, *changes)
+    sums = [s.over(upto).alias(f"__{k}_{c}") for c in columns for k, s in (("s", F.sum(f"__x_{c}")), ("q", F.sum(F.col(f"__x_{c}") * F.col(f"__x_{c}"))), ("c", F.sum(f"__d_{c}")))]
+    placed = placed.select("*", *sums)
+
+    def frame(name: str) -> Column:
+        low = F.coalesce(F.lag(name, last + skip).over(rows), F.lit(0.0))
+        return (F.lag(name, skip).over(rows) if skip else F.col(name)) - low
+
+    framed = [f.alias(n) for c in columns for n, f in ((f"__fs_{c}", frame(f"__s_{c}")), (f"__fq_{c}", frame(f"__q_{c}")))]
+    # Changes after the frame's first row; before the bucket has so many rows its first row is the frame's.
+    first = lambda c: F.coalesce(F.lag(f"__c_{c}", last + skip - 1).over(rows), F.lit(1))
+    still = [((F.lag(f"__c_{c}", skip).over(rows) if skip else F.col(f"__c_{c}")) == first(c)).alias(f"__still_{c}") for c in columns]
+    placed = placed.select("*", F.least(F.col("__nth") - skip, F.lit(last)).cast("long").alias("n"), *framed, *still)
+    n = F.nullif(F.col("n"), F.lit(0))
+    out = []
+    for c in columns:
+        mean = F.col(f"__fs_{c}") / n
+        out += [(F.col(f"__f_{c}") + mean).alias(f"{c}_mean"), F.when(F.col(f"__still_{c}"), F.when(F.col("n") > 0, 0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col(f"__fq_{c}") / n - mean * mean))).alias(f"{c}_dev")]
+    return placed.filter("owned").select(*(f"`{c}`" for c in df.columns), "n", *out)
+
+
+def with_earlier_counts(df: DataFrame, counts: Mapping[str, Sequence[str]], order: Sequence[str] = ("us", "id"), sums: Mapping[str, str] | None = None) -> DataFrame:
+    """``df`` with, under each name of ``counts``, how many rows of the same keys come before it in ``order``.
+
+    A name in ``sums`` gets the sum of that column over those rows instead. Rows are dealt by ranges of the order; a
+    row's count is that of its keys in the ranges before and within its own. Null keys are keys like others.
+    """
+    rows = in_ranges(df, order)
+    for name, keys in counts.items():
+        weight = F.coalesce(F.col((sums or {})[name]), F.lit(0)) if name in (sums or {}) else F.lit(1)
+        own = rows.groupBy(*keys, "__part").agg(F.sum(weight).alias("__n"))
+        before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        bases = own.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+        within = F.sum(weight).over(Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+        same = F.col("__part") == F.col("__p")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        rows = rows.withColumn("__in", F.coalesce(within, F.lit(0))).join(bases, same).withColumn(name, F.col("__in") + F.col("__base")).drop("__p", "__in", "__base", *(f"__k_{k}" for k in keys))
+    return rows.select(*(f"`{c}`" for c in df.columns), *counts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators.scoring import mapped
 
+# The shapes of lines.
 RFC3164 = r"(?s)^(?:<(\d{1,3})>)?([A-Z][a-z]{2}\s{1,2}\d{1,2}\s\d{2}:\d{2}:\d{2})\s(\S+)\s([^\[:]+?)(?:\[(\d+)\])?:\s(.*)$"
 RFC5424 = r"(?s)^<(\d{1,3})>(\d+)\s(\S+)\s(\S+)\s(\S+)\s(\S+)\s(\S+)\s(-|\[.*?\])\s?(.*)$"
 ACCESS = r'^(\S+)\s\S+\s(\S+)\s\[([^\]]+)\]\s"(\S+)\s(\S+)\s([^"]+)"\s(\d{3})\s(\S+)(?:\s"([^"]*)"\s"([^"]*)")?'
@@ -31,7 +32,8 @@ JSON_NAMES = {
 JSON_TAKEN = ("timestamp", "time", "ts", "@timestamp", "message", "msg", "severity", "level", "host", "hostname", "ip", "user")
 SENSITIVE = "password|token|secret|key|credential|auth"
 SOURCE_TYPES = ("network", "system", "application", "api", "file", "stream", "custom")
-CSV_FIELDS = 64
+#: A field of a CSV line with the comma before it: what is quoted, what follows the quotes, or plain text.
+CSV_FIELD = r',(?:"([^"]*(?:""[^"]*)*)(?:"([^,]*)|$)|([^,]*))'
 
 
 def parse_time(text: Column, year: int = 2026) -> Column:
@@ -46,6 +48,12 @@ def parse_time(text: Column, year: int = 2026) -> Column:
     return F.coalesce(seconds, millis, *tried, F.when(t.rlike(r"^[A-Z][a-z]{2}\s"), syslog))
 
 
+def csv_fields(line: Column) -> Column:
+    """The fields of one CSV line, empty ones too, each in its place; quotes may hold commas and, doubled, quotes."""
+    quoted, rest, plain = (F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CSV_FIELD), F.lit(i)) for i in (1, 2, 3))
+    return F.transform(F.arrays_zip(quoted.alias("q"), rest.alias("r"), plain.alias("p")), lambda x: F.concat(F.replace(x["q"], F.lit('""'), F.lit('"')), x["r"], x["p"]))
+
+
 def keyword_severity(word: Column) -> Column:
     return mapped(F.lower(F.trim(word)), KEYWORD_SEVERITY, "info")
 
@@ -102,8 +110,7 @@ def normalize_logs(df: DataFrame, source: str = "", source_type: str = "", raw:
     # Of a key that repeats the last value counts: its place from the end is found in the reversed list.
     df = df.withColumn("__e", F.when(kind == "cef", F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.get(F.reverse(values), (F.array_position(F.reverse(keys), k) - 1).cast("int"))))))
     ext = lambda *names: F.coalesce(*(F.try_element_at("__e", F.lit(n)) for n in names), F.lit(""))
-    csv = F.from_csv(t, ", ".join(f"field_{i} string" for i in range(CSV_FIELDS)))
-    df = df.withColumn("__w", windows).withColumn("__c", F.when(kind == "csv", F.array_compact(F.array(*(csv[f"field_{i}"] for i in range(CSV_FIELDS))))))
+    df = df.withColumn("__w", windows).withColumn("__c", F.when(kind == "csv", csv_fields(t)))
     w = F.coalesce(F.col("__w"), F.lit(False))
     pri = F.coalesce(F.nullif(F.when(kind == "rfc5424", g(RFC5424, 1)).otherwise(g(RFC3164, 1)), F.lit("")).try_cast("int"), F.lit(13))
     status, cef_severity = g(ACCESS, 7).try_cast("int"), F.coalesce(F.nullif(g(CEF, 7), F.lit("")), F.lit("0")).try_cast("int")

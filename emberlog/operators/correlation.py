@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.lookback import with_previous
 from emberlog.functions.storage import stage
 from emberlog.operators.components import connected_components
 from emberlog.operators.scoring import mapped
@@ -43,11 +44,15 @@ def correlated_groups(df: DataFrame, entities: Sequence[str] = ENTITIES) -> Data
     return least.join(joined, F.col("least") == F.col("node"), "left").select("id", F.coalesce("component", "least").alias("component"))
 
 
+def _least_gaps(members: DataFrame) -> DataFrame:
+    """``component, least, n``: the smallest gap in time between neighbours, and the number of times."""
+    placed = with_previous(members.select("component", "us", "id"), {"before": "us"}, ["component"])
+    return placed.groupBy("component").agg(F.min(F.col("us") - F.col("before")).alias("least"), F.count("us").alias("n"))
+
+
 def near_in_time(members: DataFrame, window_us: int) -> DataFrame:
     """The components with two neighbours in time no more than ``window_us`` apart, or fewer than two times."""
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("component").orderBy("us", "id"))
-    found = members.withColumn("__gap", gap).groupBy("component").agg(F.min("__gap").alias("__least"), F.count("us").alias("__n"))
-    return found.filter((F.col("__n") < 2) | (F.col("__least") <= window_us)).select("component")
+    return _least_gaps(members).filter((F.col("n") < 2) | (F.col("least") <= window_us)).select("component")
 
 
 def group_score(count: Column, rank: Column, span_seconds: Column, diversity: Column) -> Column:
@@ -55,27 +60,34 @@ def group_score(count: Column, rank: Column, span_seconds: Column, diversity: Co
     return F.round(F.least(three, count * 0.3) + rank * 0.75 + F.least(two, 100.0 / (span_seconds + 1) * 0.02) + F.least(two, diversity * 0.4), 3)
 
 
+def group_entities(members: DataFrame) -> DataFrame:
+    """``component, kind, value``: the distinct addresses, users, hosts and event types of each component, one row each."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for c, k in (("ip_address", "source_ips"), ("user_id", "users"), ("host", "hosts"), ("event_type", "event_types"))))
+    return members.select("component", F.inline(kinds)).filter("value <> ''").distinct()
+
+
 def summarise_groups(members: DataFrame) -> DataFrame:
-    """One row per component of two or more events: counts, span, entities, highest severity, score 0-10 and tags.
+    """One row per component of two or more events: counts, span, highest severity, score 0-10 and tags.
 
-    Entities come as sorted sets, counts from partial aggregates; of severities of one rank the first by name counts.
+    ``source_ips``, ``users``, ``hosts`` and ``event_types`` are numbers of distinct values; the values themselves are
+    rows of :func:`group_entities`, as a component may have any number. Of severities of one rank the first by name counts.
     """
     rank = mapped(F.lower(F.coalesce("severity", F.lit("info"))), SEVERITY_RANK, 0)
     rows = members.withColumn("__rank", rank)
-    sets = [F.array_sort(F.collect_set(F.when(F.col(e) != "", F.col(e)))).alias(n) for e, n in (("ip_address", "source_ips"), ("user_id", "users"), ("host", "hosts"), ("event_type", "event_types"))]
     top = F.max_by("severity", F.struct(F.col("__rank"), -F.ascii("severity"), -F.length("severity")))
-    found = rows.groupBy("component").agg(F.countDistinct("id").alias("event_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), ((F.max("us") - F.min("us")) / 1e6).alias("span_seconds"), F.max("__rank").alias("rank"), top.alias("max_severity"), *sets).filter("event_count >= 2")
-    n = F.size("source_ips")
-    tags = F.array_compact(F.array(F.when(n > 3, F.lit("multi_source")), F.when((F.col("span_seconds") < 60) & (F.col("event_count") >= 5), F.lit("burst_activity")), F.when(F.exists("event_types", lambda t: F.lower(t).contains("fail")), F.lit("auth_failures"))))
-    return found.withColumn("score", group_score(F.col("event_count"), F.greatest("rank", F.lit(1)), F.col("span_seconds"), n)).withColumn("tags", tags)
+    failed = F.coalesce(F.bool_or(F.lower("event_type").contains("fail")), F.lit(False))
+    found = rows.groupBy("component").agg(F.countDistinct("id").alias("event_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), ((F.max("us") - F.min("us")) / 1e6).alias("span_seconds"), F.max("__rank").alias("rank"), top.alias("max_severity"), failed.alias("__failed")).filter("event_count >= 2")
+    kinds = ("source_ips", "users", "hosts", "event_types")
+    counts = group_entities(members).groupBy("component").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+    found = found.join(counts, "component", "left").withColumns({k: F.coalesce(k, F.lit(0)).cast("long") for k in kinds})
+    tags = F.array_compact(F.array(F.when(F.col("source_ips") > 3, F.lit("multi_source")), F.when((F.col("span_seconds") < 60) & (F.col("event_count") >= 5), F.lit("burst_activity")), F.when(F.col("__failed"), F.lit("auth_failures"))))
+    return found.withColumn("score", group_score(F.col("event_count"), F.greatest("rank", F.lit(1)), F.col("span_seconds"), F.col("source_ips"))).withColumn("tags", tags).drop("__failed")
 
 
 def multi_window(members: DataFrame, windows: Sequence[tuple] = WINDOWS) -> DataFrame:
     """``window, component``: the components that pass the time filter at each window; components are made once."""
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("component").orderBy("us", "id"))
-    found = members.withColumn("__gap", gap).groupBy("component").agg(F.min("__gap").alias("least"), F.count("us").alias("n"))
     table = F.array(*(F.struct(F.lit(n).alias("window"), F.lit(s * 1_000_000).alias("us")) for n, s in windows))
-    return found.withColumn("w", F.explode(table)).filter("n < 2 OR least <= w.us").select("w.window", "component")
+    return _least_gaps(members).withColumn("w", F.explode(table)).filter("n < 2 OR least <= w.us").select("w.window", "component")
 
 
 def entity_groups(df: DataFrame) -> DataFrame:
@@ -90,8 +102,7 @@ def entity_groups(df: DataFrame) -> DataFrame:
 
 def followed_by(df: DataFrame, group: str) -> DataFrame:
     """``src, dst``: each event of a group and the next one in time."""
-    nxt = F.lead("id").over(Window.partitionBy(group).orderBy("us", "id"))
-    return df.select(F.col(group), F.col("id").alias("src"), nxt.alias("dst")).filter("dst IS NOT NULL")
+    return with_previous(df.select(group, "us", "id"), {"src": "id"}, [group]).filter("src IS NOT NULL").select(group, "src", F.col("id").alias("dst"))
 
 
 @dataclass(frozen=True)

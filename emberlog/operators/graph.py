@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
 from emberlog.operators.components import connected_components
+from emberlog.operators.scoring import mapped
 
 
-def group_edges(groups: DataFrame) -> DataFrame:
-    """Edges of correlated groups: addresses and users trigger the group's alert, the alert attacks its hosts."""
+def group_edges(entities: DataFrame) -> DataFrame:
+    """Edges of correlated groups, from ``component, kind, value`` rows: addresses and users trigger the group's alert, the
+    alert attacks its hosts. Other kinds have no edges."""
     alert = F.concat(F.lit("alert:"), F.col("component"))
-
-    def prefixed(column: str, prefix: str) -> Column:
-        return F.explode(F.transform(column, lambda v: F.concat(F.lit(prefix), v)))
-
-    parts = [groups.select(prefixed(c, k).alias("src"), alert.alias("dst"), F.lit("triggered").alias("kind")) for c, k in (("source_ips", "ip:"), ("users", "user:"))]
-    parts.append(groups.select(alert.alias("src"), prefixed("hosts", "host:").alias("dst"), F.lit("attacked").alias("kind")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("weight", F.lit(1.0))
+    prefix = mapped(F.col("kind"), {"source_ips": "ip:", "users": "user:", "hosts": "host:"}, "")
+    own = entities.filter(F.col("kind").isin("source_ips", "users", "hosts")).select("kind", alert.alias("alert"), F.concat(prefix, "value").alias("node"))
+    attacked = F.col("kind") == "hosts"
+    ends = [F.when(attacked, F.col("alert")).otherwise(F.col("node")).alias("src"), F.when(attacked, F.col("node")).otherwise(F.col("alert")).alias("dst")]
+    return own.select(*ends, F.when(attacked, "attacked").otherwise("triggered").alias("kind"), F.lit(1.0).alias("weight"))
 
 
 def alert_edges(alerts: DataFrame) -> DataFrame:
@@ -102,6 +102,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def top_pivots(edges: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` nodes with most edges, the least of equals first."""
     return degrees(edges).orderBy(F.desc("total"), "node").limit(n)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Values that are compiled into a projection; more are joined.
+SHORT_LIST = 200
 INDICATOR = "indicator string, indicator_type string, category string, score double, techniques array<string>, custom boolean"
 
 # Listed addresses (address, category, score, techniques).
@@ -132,20 +134,26 @@ def signature_hits(text: Column, signatures: Sequence[tuple] = SIGNATURES) -> Co
     return F.filter(F.array(*made), lambda h: h.isNotNull())
 
 
-def substring_matches(df: DataFrame, text: str, values: DataFrame, key: str = "id", gram: int = 3) -> DataFrame:
-    """``key, value``: custom ``value``s contained in ``text``, without regard to case.
+def substring_matches(df: DataFrame, text: str, values: DataFrame, key: str = "id", gram: int = 3, listed: int = SHORT_LIST) -> DataFrame:
+    """``key, value``: custom ``value``s contained in ``text``, without regard to case; each pair once.
 
-    Values of ``gram`` characters or more are looked up by an equality join on their first ``gram`` characters against
-    the distinct ones of each text, then confirmed; shorter ones, whose number the alphabet bounds, are looked up whole.
+    Up to ``listed`` values are tried one after another in a projection. More are looked up by an equality join on their
+    first ``gram`` characters, or all of a shorter one, against the distinct ones of each text; only texts with a hit
+    are read again to confirm it.
     """
     rows = df.filter(F.length(text) > 0).select(key, F.lower(text).alias("__t"))
     wanted = values.select(F.lower("value").alias("__v"), "value").filter("length(__v) > 0").distinct()
-    wanted = wanted.withColumn("__g", F.substring("__v", 1, gram))
+    few = wanted.limit(listed + 1).collect()
+    if len(few) <= listed:
+        table = F.array(*(F.struct(F.lit(r["__v"]).alias("v"), F.lit(r["value"]).alias("value")) for r in few)) if few else F.array().cast("array<struct<v:string,value:string>>")
+        return rows.select(key, F.explode(F.filter(table, lambda x: F.contains("__t", x["v"]))["value"]).alias("value")).distinct()
+
     def pieces(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length("__t")), lambda i: F.substring(F.col("__t"), i, F.lit(n)))
 
-    grams = rows.select("*", F.explode(F.array_distinct(F.concat(*map(pieces, range(1, gram + 1))))).alias("__g"))
-    return grams.join(dimension(wanted), "__g").filter(F.contains("__t", "__v")).select(key, "value").distinct()
+    grams = rows.select(key, F.explode(F.array_distinct(F.concat(*map(pieces, range(1, gram + 1))))).alias("__g"))
+    hits = grams.join(dimension(wanted.withColumn("__g", F.substring("__v", 1, gram))), "__g").select(key, "__v", "value").distinct()
+    return hits.join(rows, key).filter(F.contains("__t", "__v")).select(key, "value").distinct()
 
 
 def bump_severity(severity: Column, score: Column) -> Column:

@@ -29,9 +29,10 @@ def fit_forest(df: DataFrame, features: list[str], trees: int = 100, sample: int
     given = df.select(*values, F.col(key).alias("__id")) if key else stage(df.select(*values, F.monotonically_increasing_id().alias("__id")), "forest-rows")
     n = given.count()
     keep = min(1.0, 8.0 * sample / max(n, 1))
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "tree", "__id"), F.lit(1 << 40))
-    rows = given.select(*features, "__id", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
-    rows = rows.withColumn("__h", hashed).filter(F.col("__h") <= int(keep * (1 << 40)))
+    cut = int(keep * (1 << 40))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, F.col("__id")), F.lit(1 << 40)).alias("__h")))
+    # A row comes out once for each tree that may take it, and not once for each tree.
+    rows = given.select(*features, "__id", F.inline(F.filter(drawn, lambda x: x["__h"] <= cut)))
     chosen = rows.withColumn("__n", F.row_number().over(Window.partitionBy("tree").orderBy("__h", "__id"))).filter(F.col("__n") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

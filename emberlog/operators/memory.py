@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
-
-from emberlog.operators.intel import dimension
+from emberlog.operators.correlation import entity_groups
+from emberlog.operators.intel import dimension, extract_iocs
 
 # Classifier rules (pattern, category, severity), first that fits.
 CATEGORIES = (
@@ -34,12 +36,15 @@ CATEGORY_TECHNIQUES = (
     ("supply_chain_attack", "Initial Access", "T1195"), ("denial_of_service", "Impact", "T1498"), ("dns_tunnelling", "Exfiltration", "T1048"),
     ("web_shell", "Persistence", "T1505"), ("persistence_mechanism", "Persistence", "T1053"), ("credential_dumping", "Credential Access", "T1003"), ("unknown", "Unknown", "T0000"),
 )
+# What is looked for in texts.
 IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 USER = r"(?i)(?:user|username|account)[=:\s]+([A-Za-z0-9_@.\-]+)"
 PROCESS = r"(?i)(?:process|cmd|command|exec)[=:\s]+([A-Za-z0-9_.\-/\\]+)"
 FAILURE = r"(?i)\b(fail(?:ed|ure)?|denied|invalid|unauthorized|error|exception)\b"
 PRIVILEGE = r"(?i)\b(root|admin(?:istrat(?:or|ive))?|sudo|su\b|privilege|elevated)\b"
-STAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
+STAMP = r"\b(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:?\d{2})?\b"
+#: Weights of one block of queries, and vectors of one, that the driver and each worker hold.
+BLOCK_TERMS, BLOCK_VECTORS = 1_000_000, 4096
 
 
 def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,19 +62,84 @@ def tfidf(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     return tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), idf
 
 
-def similar_texts(corpus: DataFrame, queries: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
+class _Best:
+    """The ``k`` highest scores of each query so far, the least key of equal ones first."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.held = k, [[] for _ in range(queries)]
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, key, scores: np.ndarray, wanted: np.ndarray) -> None:
+        for q in np.flatnonzero(wanted & (scores >= self.least)).tolist():
+            own = self.held[q]
+            own.append((-float(scores[q]), key))
+            own.sort()
+            del own[self.k :]
+            if len(own) == self.k:
+                self.least[q] = -own[-1][0]
+
+
+def _blocks(queries: DataFrame, rows: int, most: int) -> Iterator[list]:
+    """The rows of ``queries`` in blocks of about ``most`` by a hash of ``query``, all of one query in one block."""
+    n = -(-rows // most)
+    for i in range(n):
+        yield queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == i).collect()
+
+
+def similar_texts(corpus: DataFrame, queries: DataFrame, key: str, text: str, k: int = 5, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """``query, key, similarity``: the ``k`` texts of ``corpus`` most like each of ``queries(query, text)`` by cosine.
 
-    Only the queries' terms of the corpus meet them; terms that the corpus lacks have an idf of 1.
+    Terms that the corpus lacks have an idf of 1; texts with no term in common aren't listed; of equal similarities the
+    least ``key`` comes first. Each text's vector, of the queries' terms alone, meets a block of queries in one pass, and
+    each task keeps ``k`` a query: no pairs are made.
     """
     weights, idf = tfidf(corpus, key, text)
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = term_frequencies(queries, "query", "text").join(idf, "term", "left").select("query", "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("q"))
-    lengths = asked.groupBy("query").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
-    dots = weights.join(dimension(asked), "term").groupBy("query", key).agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    scored = dots.join(norms, key).join(dimension(lengths), "query").select("query", key, F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6).alias("similarity"))
-    best = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("__nth", F.row_number().over(best)).filter(F.col("__nth") <= k).drop("__nth")
+    asked = stage(asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query")))), "queries")
+    known = dimension(asked.select("term").distinct().withColumn("__asked", F.lit(True)))
+    pair = F.when(F.col("__asked"), F.struct("term", "w"))
+    vectors = weights.join(known, "term", "left").groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(pair).alias("terms"))
+    vectors = stage(vectors.select(key, "norm", F.col("terms.term").alias("terms"), F.col("terms.w").alias("ws")).filter("size(terms) > 0"), "vectors")
+    kind, found = dict(corpus.dtypes)[key], []
+    for rows in _blocks(asked, asked.count(), block_terms):
+        names = sorted({r["query"] for r in rows})
+        at, postings = {q: i for i, q in enumerate(names)}, {}
+        for r in rows:
+            postings.setdefault(r["term"], ([], []))[0].append(at[r["query"]])
+            postings[r["term"]][1].append(r["q"])
+        held = corpus.sparkSession.sparkContext.broadcast((names, {t: (np.array(i), np.array(w)) for t, (i, w) in postings.items()}))
+
+        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, postings = held.value
+            best = _Best(len(names), k)
+            for batch in batches:
+                for key, norm, terms, ws in zip(*(c.to_pylist() for c in batch.columns)):
+                    dots = np.zeros(len(names))
+                    for t, w in zip(terms, ws):
+                        if t in postings:
+                            i, q = postings[t]
+                            dots[i] += w * q
+                    best.add(key, np.round(dots / norm, 6), dots > 0)
+            out = [(names[q], key, -s) for q, own in enumerate(best.held) for s, key in own]
+            yield pa.RecordBatch.from_pylist([dict(zip(("query", "key", "similarity"), r)) for r in out], schema)
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        shape = corpus.sparkSession.createDataFrame([], f"query {dict(queries.dtypes)['query']}, key {kind}, similarity double").schema
+        schema = to_arrow_schema(shape)
+        found.append(stage(vectors.select(key, "norm", "terms", "ws").mapInArrow(score, shape), "similar"))
+    if not found:
+        return queries.select("query").limit(0).join(corpus.select(key).limit(0), F.lit(True)).withColumn("similarity", F.lit(0.0))
+    best = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
+    merged = _merged(found).withColumn("__nth", F.row_number().over(best)).filter(F.col("__nth") <= k)
+    return merged.select("query", F.col("key").alias(key), "similarity")
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
 
 def hashed_embedding(df: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:
@@ -81,27 +151,51 @@ def hashed_embedding(df: DataFrame, key: str, text: str, size: int = 256) -> Dat
     return counts.select(key, "bucket", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))).alias("value"))
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 500) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = BLOCK_VECTORS) -> DataFrame:
     """``query, key, distance, similarity``: exact nearest vectors; similarity is max(0, 1 - d / 2) of the squared distance.
 
-    ``queries(query, vector)`` are a stated set, taken in blocks of ``block`` that every row of the corpus meets; each
-    task keeps its best ``k`` a query (a window over task and query) before they are shuffled.
+    ``queries(query, vector)`` are a stated set, taken in blocks of about ``block`` that every row of the corpus meets in
+    products of matrices; each task keeps its best ``k`` a query. Distances are worked out anew for those.
     """
-    rows = [(r["query"], [float(x) for x in r["vector"]]) for r in queries.select("query", "vector").toLocalIterator()]
-    found = None
-    for i in range(0, len(rows), block):
-        asked = F.broadcast(corpus.sparkSession.createDataFrame([(rows[i : i + block],)], "qs array<struct<query:long,q:array<double>>>"))
-        pairs = corpus.select(key, F.col(vector).alias("__v"), F.spark_partition_id().alias("__p")).join(asked, F.lit(True)).select(key, "__v", "__p", F.inline("qs"))
-        distance = F.aggregate(F.zip_with("__v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        part = pairs.select("query", key, "__p", distance.alias("distance"))
-        local = Window.partitionBy("query", "__p").orderBy("distance", key)
-        part = part.withColumn("__nth", F.row_number().over(local)).filter(F.col("__nth") <= k).drop("__nth", "__p")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
+    kind, found = dict(corpus.dtypes)[key], []
+    queries = queries.select("query", F.col("vector").cast("array<double>").alias("vector"))
+    for rows in _blocks(queries, queries.count(), block):
+        held = corpus.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["vector"] for r in rows])))
+
+        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, asked = held.value
+            lengths = (asked * asked).sum(axis=1)
+            best = _Best(len(names), k)
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 1024):
+                    part = batch.slice(begin, 1024)
+                    own = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
+                    keys = part.column(0).to_pylist()
+                    rough = lengths[:, None] - 2 * asked @ own.T + (own * own).sum(axis=1)
+                    # A row's rank in a chunk is certain but for rounding: a few more than k are worked out exactly.
+                    most = min(k + 8, rough.shape[1])
+                    chosen = np.argpartition(rough, most - 1, axis=1)[:, :most]
+                    exact = ((own[chosen] - asked[:, None, :]) ** 2).sum(axis=2)
+                    for j in range(most):
+                        scores = -exact[:, j]
+                        for q in np.flatnonzero(scores >= best.least).tolist():
+                            entry = (-float(scores[q]), keys[chosen[q, j]])
+                            best.held[q] = sorted([*best.held[q], entry])[:k]
+                            if len(best.held[q]) == k:
+                                best.least[q] = -best.held[q][-1][0]
+            out = [(names[q], key, d) for q, own in enumerate(best.held) for d, key in own]
+            yield pa.RecordBatch.from_pylist([dict(zip(("query", "key", "distance"), r)) for r in out], schema)
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        shape = corpus.sparkSession.createDataFrame([], f"query {dict(queries.dtypes)['query']}, key {kind}, distance double").schema
+        schema = to_arrow_schema(shape)
+        found.append(stage(corpus.select(key, F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").mapInArrow(near, shape), "nearest"))
+    if not found:
         return corpus.select(F.lit(0).cast("long").alias("query"), key, F.lit(0.0).alias("distance"), F.lit(0.0).alias("similarity")).limit(0)
-    best = Window.partitionBy("query").orderBy("distance", key)
-    out = found.withColumn("__nth", F.row_number().over(best)).filter(F.col("__nth") <= k)
-    return out.select("query", key, "distance", F.greatest(F.lit(0.0), 1 - F.col("distance") / 2).alias("similarity"))
+    best = Window.partitionBy("query").orderBy("distance", "key")
+    out = _merged(found).withColumn("__nth", F.row_number().over(best)).filter(F.col("__nth") <= k)
+    return out.select("query", F.col("key").alias(key), "distance", F.greatest(F.lit(0.0), 1 - F.col("distance") / 2).alias("similarity"))
 
 
 def cluster(df: DataFrame, vector: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -127,6 +221,7 @@ def cluster_profile(df: DataFrame, group: str, columns: Sequence[str]) -> DataFr
 
 
 def retain_newest(df: DataFrame, time: str, tie: str, n: int = 10_000) -> DataFrame:
+    """The newest ``n`` rows, of equal times those with the least ``tie``: the size of the memory."""
     return df.orderBy(F.desc(time), tie).limit(n)
 
 
@@ -158,17 +253,56 @@ def category_techniques(spark) -> DataFrame:
     return spark.createDataFrame(CATEGORY_TECHNIQUES, "category string, tactic string, technique string")
 
 
+def written_time(text: Column) -> Column:
+    """The first time written in a text, with its fraction and offset (none: UTC); null without one."""
+    part = lambda i: F.regexp_extract(F.coalesce(text, F.lit("")), STAMP, i)
+    fraction = F.rpad(F.substring(part(3), 1, 6), 6, "0")
+    offset = F.coalesce(F.nullif(F.regexp_replace(part(4), r"^([+-]\d{2})(\d{2})$", "$1:$2"), F.lit("")), F.lit("Z"))
+    return F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), F.lit("."), fraction, offset), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+
+
 def incident_timeline(df: DataFrame, incident: str, text: str) -> DataFrame:
     """``incident, at, nth``: the first time written in each text, in order."""
-    at = F.try_to_timestamp(F.translate(F.regexp_extract(F.coalesce(text, F.lit("")), STAMP, 0), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss"))
-    rows = df.select(incident, at.alias("at"), text).filter("at IS NOT NULL")
+    rows = df.select(incident, written_time(F.col(text)).alias("at"), text).filter("at IS NOT NULL")
     return rows.select(incident, "at", F.row_number().over(Window.partitionBy(incident).orderBy("at", text)).alias("nth"))
 
 
 def dwell_hours(timeline: DataFrame, incident: str) -> DataFrame:
+    """``incident, dwell_hours``: from the first time of an incident to its last."""
     return timeline.groupBy(incident).agg(F.round((F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / 3.6e9, 3).alias("dwell_hours"))
 
 
+def merged_report(df: DataFrame, incident: str, text: str, key: str = "id") -> DataFrame:
+    """One row per incident of ``df(key, incident, text, ip_address, user_id, host)``: what the analyses find together.
+
+    ``category`` and ``severity`` are those of the most severe text (the least category of equals); ``techniques`` the
+    distinct ones of all categories but the unknown, sorted; ``n_indicators`` the distinct addresses and domains written
+    in the texts; ``blast_hosts`` and ``blast_users`` the distinct ones named; ``dwell_hours`` as :func:`dwell_hours`,
+    null without a time; failures, privileges and users as :func:`batch_entities`. ``confidence`` is the mean of what
+    there is: the share of texts with a known category, and the confidence of the entity groups (addresses and users of
+    more than one event) that the incident's events are in.
+    """
+    kind = classify(F.col(text))
+    rows = df.select(key, incident, text, "ip_address", "user_id", "host", kind["category"].alias("category"), kind["severity"].alias("points"))
+    worst = F.max_by("category", F.struct("points", -F.ascii("category"), -F.length("category")))
+    base = rows.groupBy(incident).agg(worst.alias("category"), F.max("points").alias("severity"), F.nullif(F.avg(F.when(F.col("category") == "unknown", 0.0).otherwise(1.0)), F.lit(0.0)).alias("known"))
+    named = rows.select(incident, "category").distinct().join(F.broadcast(category_techniques(df.sparkSession)), "category").filter("category <> 'unknown'")
+    techniques = named.groupBy(incident).agg(F.array_sort(F.collect_set("technique")).alias("techniques"))
+    iocs = extract_iocs(rows.select(incident, text), F.col(text), incident).distinct().groupBy(incident).agg(F.count("*").alias("n_indicators"))
+    ends = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("entity")) for k, c in (("ip", "ip_address"), ("user", "user_id"), ("host", "host"))))
+    named = rows.select(incident, F.inline(ends)).filter("entity <> ''").distinct()
+    blast = named.groupBy(incident).agg(F.count_if(F.col("kind") == "host").alias("blast_hosts"), F.count_if(F.col("kind") == "user").alias("blast_users"))
+    grouped = named.join(entity_groups(df).select("kind", "entity", "confidence"), ["kind", "entity"]).groupBy(incident).agg(F.avg("confidence").alias("grouped"))
+    flags = batch_entities(rows, incident, text).select(incident, "n_users", "failure", "privileged")
+    out = base.join(flags, incident, "left")
+    for part in (techniques, iocs, blast, grouped, dwell_hours(incident_timeline(rows, incident, text), incident)):
+        out = out.join(part, incident, "left")
+    scores = F.filter(F.array("known", "grouped"), lambda x: x.isNotNull())
+    confidence = F.coalesce(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(scores), F.lit(0)), F.lit(0.0))
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_indicators", "blast_hosts", "blast_users", "n_users")}
+    return out.withColumns(counts).withColumn("techniques", F.coalesce("techniques", F.array().cast("array<string>"))).withColumn("confidence", F.round(confidence, 3)).drop("known", "grouped")
+
+
 def evaluate_detection(truth: DataFrame, detected: DataFrame, key: str = "id") -> DataFrame:
     """``tp, fp, fn, precision, recall, f1`` of two sets of ids."""
     t, d = truth.select(key).distinct().withColumn("__t", F.lit(True)), detected.select(key).distinct().withColumn("__d", F.lit(True))

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.lookback import with_global_position
-from emberlog.functions.storage import stage
+from emberlog.functions.lookback import in_ranges, with_earlier_counts, with_previous
 from emberlog.operators.scoring import mapped
 
 # Hours to answer by severity, weights and ranks of severities.
@@ -32,15 +31,27 @@ PLAYBOOKS = (
 DEFAULT_PLAYBOOK = "pb-malware"
 
 
+# Texts of alerts.
+ALERT_TITLE, ALERT_UNKNOWN, ALERT_DESCRIPTION, ALERT_CHARS, ALERT_TAGS = "Threat detected: ", "unknown_event", "Rule-based threat detection triggered.", 2000, ("auto_generated", "rule_based_detection")
+
+
 def build_alerts(detections: DataFrame) -> DataFrame:
-    """Alert rows of detections with ``risk``, ``risk_severity``, ``reasons``, ``techniques``: id, title, text, technique."""
+    """Alert rows of detections with ``risk``, ``risk_severity``, ``reasons``, ``techniques``, ``matches``.
+
+    The title names the event's type or else its source; the description is the reasons, cut at ALERT_CHARS, or a fixed
+    text; rule and technique are the first, null without one.
+    """
+    named = F.coalesce(F.nullif("event_type", F.lit("")), F.nullif("source", F.lit("")), F.lit(ALERT_UNKNOWN))
+    text = F.coalesce(F.nullif(F.substring(F.array_join("reasons", "; "), 1, ALERT_CHARS), F.lit("")), F.lit(ALERT_DESCRIPTION))
     return detections.select(
-        F.sha2(F.concat_ws(":", F.lit("alert"), "id"), 256).alias("alert_id"), F.concat(F.lit("Threat: "), F.coalesce("event_type", F.lit("unknown"))).alias("title"), F.substring(F.concat_ws("; ", "reasons"), 1, 500).alias("description"),
-        F.get("techniques", 0).alias("technique"), F.array("id").alias("log_ids"), "risk", F.col("risk_severity").alias("severity"), "ts", "us", "host", "ip_address", "user_id", F.col("event_type").alias("attack_vector"), F.lit("open").alias("status"),
+        F.sha2(F.concat_ws(":", F.lit("alert"), "id"), 256).alias("alert_id"), F.concat(F.lit(ALERT_TITLE), named).alias("title"), text.alias("description"), F.get("matches", 0)["rule_id"].alias("rule_id"),
+        F.get("techniques", 0).alias("technique"), F.array_compact(F.array(F.nullif("id", F.lit("")))).alias("log_ids"), "risk", F.least(F.lit(1.0), F.col("risk") / 100).alias("confidence"), F.col("risk_severity").alias("severity"),
+        F.array(*map(F.lit, ALERT_TAGS)).alias("tags"), "ts", "us", "host", "ip_address", "user_id", F.col("event_type").alias("attack_vector"), F.lit("open").alias("status"),
     )
 
 
 def dedupe_hash(source: Column, target: Column, host: Column, vector: Column, severity: Column) -> Column:
+    """SHA-256 of what makes two alerts the same; a missing part is an empty one."""
     return F.sha2(F.concat_ws(":", *(F.coalesce(c, F.lit("")) for c in (source, target, host, vector, severity))), 256)
 
 
@@ -50,6 +61,7 @@ def first_of_hash(alerts: DataFrame, hashed: Column, order: Sequence[str] = ("us
 
 
 def priority(severity: Column, confidence: Column, age_hours: Column) -> Column:
+    """Rank of the severity times confidence, falling with age to a tenth at 43 hours; 0 to 100."""
     return F.round(mapped(severity, RANK, 2) / 4.0 * confidence * F.greatest(F.lit(0.1), 1 - age_hours / 48.0) * 100, 2)
 
 
@@ -60,18 +72,16 @@ def age_hours(us: Column, as_of_us: int) -> Column:
 def group_alerts(alerts: DataFrame, gap_us: int = 1_800_000_000) -> DataFrame:
     """``alerts`` with ``grp``: in time order, an alert joins the one before it if it is near in time or on the same host.
 
-    The order is global, the work is not: each row's boundary needs its neighbour only, and group numbers are sums
-    within ranges plus the sums of the ranges before, of which there is one row per range.
+    The order is global, the work is not: each row's boundary needs its neighbour only, and a group's number is how many
+    boundaries come before in its range and in the ranges before, of which there is one row per range.
     """
-    placed = with_global_position(alerts, ["us", "id"])
-    bucket = F.floor(F.col("pos") / 50_000)
-    halo = placed.withColumn("__own", bucket).withColumn("__b", F.explode(F.when(F.col("pos") % 50_000 == 49_999, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))))
-    order = Window.partitionBy("__b").orderBy("pos")
-    joins = (F.col("us") - F.lag("us").over(order) <= gap_us) | ((F.coalesce("host", F.lit("")) != "") & (F.col("host") == F.lag("host").over(order)))
-    marked = stage(halo.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).filter("__own = __b").drop("__own"), "alert-marks")
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = marked.groupBy("__b").agg(F.sum("__new").alias("n")).select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    return marked.join(F.broadcast(bases), "__b").withColumn("grp", F.col("__base") + F.sum("__new").over(order)).drop("__b", "__base", "__new", "pos")
+    near = (F.col("us") - F.col("__prev_us") <= gap_us) | ((F.coalesce("host", F.lit("")) != "") & (F.col("host") == F.col("__prev_host")))
+    marked = with_previous(alerts, {"__prev_us": "us", "__prev_host": "host"}, []).withColumn("__new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).drop("__prev_us", "__prev_host")
+    rows = in_ranges(marked, ["us", "id"])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(F.col("__part").alias("__p")).agg(F.sum("__new").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    within = F.sum("__new").over(Window.partitionBy("__part").orderBy("__at"))
+    return rows.withColumn("__in", within).join(bases, F.col("__part") == F.col("__p")).withColumn("grp", F.col("__base") + F.col("__in")).drop("__part", "__at", "__p", "__base", "__in", "__new")
 
 
 def deadlines(rows: DataFrame, hours: dict[str, float] = ALERT_HOURS) -> DataFrame:
@@ -134,14 +144,20 @@ def auto_group(alerts: DataFrame, gap_us: int = 1_800_000_000) -> DataFrame:
 
 
 def timeline(events: DataFrame) -> DataFrame:
-    """Per incident of ``events(id, us, seq, action, actor)``: entries in order, severity steps up counted and capped."""
-    entries = F.array_sort(F.collect_list(F.struct("us", "seq", "action", "actor")))
-    return events.groupBy("id").agg(entries.alias("timeline"), F.least(F.lit(3), F.count_if(F.col("action") == "escalate")).alias("steps"), F.bool_or(F.col("action") == "close").alias("closed"))
+    """``events(id, us, seq, action, actor)`` with ``nth``, the entry's place in its incident's timeline from 1, and
+    ``steps``, severity steps up to then, at most 3. Rows are dealt by ranges of time: no incident is one task's."""
+    raised = events.withColumn("__up", F.when(F.col("action") == "escalate", 1).otherwise(0))
+    counted = with_earlier_counts(raised, {"__before": ["id"], "__ups": ["id"]}, ["us", "seq"], {"__ups": "__up"})
+    return counted.select(*(f"`{c}`" for c in events.columns), (F.col("__before") + 1).alias("nth"), F.least(F.lit(3), F.col("__ups") + F.col("__up")).alias("steps"))
 
 
 def containment(members: DataFrame, group: str) -> DataFrame:
-    """All addresses, hosts and users seen in each group."""
-    return members.groupBy(group).agg(*(F.array_sort(F.collect_set(c)).alias(n) for c, n in (("ip_address", "ips"), ("host", "hosts"), ("user_id", "users"))))
+    """``group, kind, value``: each address (``ip``), ``host`` and ``user`` seen in each group, once.
+
+    One row each, however many a group has; empty and null ones aren't targets.
+    """
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("ip", "ip_address"), ("host", "host"), ("user", "user_id"))))
+    return members.select(group, F.inline(kinds)).filter("value <> ''").distinct()
 
 
 def recommend_playbook(incidents: DataFrame, key: str, playbooks: Sequence[tuple] = PLAYBOOKS) -> DataFrame:

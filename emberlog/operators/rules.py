@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.lookback import trailing_count, with_global_position, with_halo
+from emberlog.functions.lookback import with_trailing_counts, with_trailing_moments
 
 MATCH = "struct<rule_id:string,rule_type:string,severity:string,technique:string,priority:int,confidence:double,matched:string>"
 #: Rules of one array expression, so that its generated code stays below the method limit.
@@ -109,37 +109,31 @@ def with_threshold_count(df: DataFrame, spec: RuleSpec) -> DataFrame:
     key = f"__{spec.id}"
     # Rows that don't count get keys of their own, so that no partition gathers them.
     keyed = df.withColumn(f"{key}_k", F.when(counted, _text(df, c["field"])).otherwise(F.concat(F.lit("\0"), F.col("id").cast("string"))))
-    return keyed.withColumn(f"{key}_n", trailing_count([f"{key}_k"], int(c["window_seconds"] * 1_000_000))).drop(f"{key}_k")
-
-
-def rolling_z(value: Column, window, min_samples: int) -> Column:
-    """|x - mean| / population deviation over a frame; null below ``min_samples`` and where nothing varies."""
-    n, mean, deviation = F.count(value).over(window), F.avg(value).over(window), F.stddev_pop(value).over(window)
-    return F.when((n >= min_samples) & (deviation > 0), F.abs(value - mean) / F.nullif(deviation, F.lit(0.0)))
+    return with_trailing_counts(keyed, {f"{key}_n": [f"{key}_k"]}, int(c["window_seconds"] * 1_000_000)).drop(f"{key}_k")
 
 
 def with_rolling_z(df: DataFrame, field_name: str, out: str, min_samples: int = 50, last: int = 1000, keys: Sequence[str] = (), order: Sequence[str] = ("us", "id")) -> DataFrame:
-    """``out``: the z-score against the last ``last`` rows with a number, per ``keys`` or, without, over all rows in order.
+    """``out``: |x - mean| / population deviation against the last ``last`` rows with a number, per ``keys`` or over all.
 
-    The global form goes by halo buckets: no task holds more than a bucket and the ``last`` rows before it.
+    Null below ``min_samples``, where nothing varies, and in rows without a number. Rows go by pieces of the order, each
+    with the ``last`` rows before it, so that neither the whole nor a key is one task's.
     """
-    value = value_of(df, field_name).try_cast("double")
-    if keys:
-        known = Window.partitionBy(*keys, F.col(out).isNull()).orderBy(*order).rowsBetween(1 - last, 0)
-        return df.withColumn(out, value).withColumn(out, F.when(F.col(out).isNotNull(), rolling_z(F.col(out), known, min_samples)))
-    numbers = df.withColumn(out, value)
-    placed = with_halo(with_global_position(numbers.filter(F.col(out).isNotNull()), order), last - 1)
-    frame = Window.partitionBy("bucket").orderBy("pos").rowsBetween(1 - last, 0)
-    scored = placed.withColumn(out, rolling_z(F.col(out), frame, min_samples)).filter("owned").drop("bucket", "owned", "pos")
+    numbers = df.withColumn(out, value_of(df, field_name).try_cast("double"))
+    known = with_trailing_moments(numbers.filter(F.col(out).isNotNull()), [out], last, keys, order)
+    deviation = F.col(f"{out}_dev")
+    z = F.when((F.col("n") >= min_samples) & (deviation > 0), F.abs(F.col(out) - F.col(f"{out}_mean")) / F.nullif(deviation, F.lit(0.0)))
+    scored = known.select(*(f"`{c}`" for c in df.columns), z.alias(out))
     return scored.unionByName(numbers.filter(F.col(out).isNull()))
 
 
-def evaluate_rules(df: DataFrame, rules: Sequence[RuleSpec] = BUILTIN_RULES) -> DataFrame:
+def evaluate_rules(df: DataFrame, rules: Sequence[RuleSpec] = BUILTIN_RULES, compilers: Mapping[str, Callable] | None = None) -> DataFrame:
     """``df`` with ``matches``, an array of MATCH, by priority from high to low, equal ones in the rules' order.
 
     Needs ``id`` and ``us`` where threshold or statistical rules are among them. Signature and pattern rules are one
-    projection; the others add a window each. Order is settled when compiling, not per row.
+    projection; the others add a window each. Order is settled when compiling, not per row. ``compilers`` adds rule
+    types, or takes the place of built-in ones.
     """
+    compilers = COMPILERS | dict(compilers or {})
     active = sorted((r for r in rules if r.enabled), key=lambda r: -r.priority)
     columns = df.columns
     for r in active:
@@ -149,7 +143,7 @@ def evaluate_rules(df: DataFrame, rules: Sequence[RuleSpec] = BUILTIN_RULES) ->
             df = with_rolling_z(df, r.condition["field"], f"__{r.id}_z", r.condition.get("min_samples", 50), 1000, r.condition.get("keys", ()))
     found = []
     for r in active:
-        fits, confidence, matched = COMPILERS[r.type](df, r)
+        fits, confidence, matched = compilers[r.type](df, r)
         made = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.type).alias("rule_type"), F.lit(r.severity).alias("severity"), F.lit(r.technique).alias("technique"), F.lit(r.priority).alias("priority"), confidence.cast("double").alias("confidence"), matched.cast("string").alias("matched"))
         found.append(F.when(fits, made))
     parts = [F.filter(F.array(*found[i : i + CHUNK]), lambda m: m.isNotNull()) for i in range(0, len(found), CHUNK)]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.lookback import trailing_count
+from emberlog.functions.lookback import with_earlier_counts, with_trailing_counts, with_trailing_moments
 from emberlog.operators.rules import value_of
 
 # Codes of severities and source types as features.
@@ -38,6 +38,11 @@ RISK_BANDS = ((80, "critical"), (60, "high"), (40, "medium"), (20, "low"))
 WEIGHTS = {"severity": 0.25, "frequency": 0.2, "historical_behavior": 0.2, "anomaly_deviation": 0.2, "threat_intel": 0.15}
 SEVERITY_POINTS = {"info": 10.0, "low": 25.0, "warning": 40.0, "medium": 55.0, "high": 75.0, "critical": 95.0, "error": 70.0}
 SCORE_BANDS = ((80, "Critical"), (60, "High"), (40, "Medium"))
+# Points of a rule of unknown severity and the share that counts; points of how often an event came (most,
+# points), and of how usual its type is for its user and host (least share, points), with too few events, and else.
+RULE_OTHER, RULE_SHARE = 35.0, 0.5
+FREQUENCY_BANDS, FREQUENCY_MOST = ((2, 20.0), (5, 45.0), (10, 70.0)), 90.0
+HISTORY_LEAST, HISTORY_UNKNOWN, HISTORY_BANDS, HISTORY_RARE = 20, 30.0, ((0.2, 20.0), (0.05, 45.0), (0.02, 65.0)), 85.0
 
 
 def mapped(value: Column, table: Mapping[str, object], default) -> Column:
@@ -65,40 +70,46 @@ def extract_features(df: DataFrame) -> DataFrame:
     parsed = F.size("parsed_fields") if "parsed_fields" in df.columns else F.lit(0)
     columns = [
         F.length(message), F.length(text("raw_log")), mapped(F.lower(text("severity")), SEVERITY_CODE, 1.0), mapped(F.lower(text("source_type")), SOURCE_CODE, 2.0), F.hour("ts"), flag(text("ip_address")), flag(text("user_id")), flag(text("process_name")),
-        F.greatest(parsed, F.lit(0)), F.regexp_count(message, F.lit(r"[!@#$%^&*()\[\]{}|;:<>?]")), share(r"\p{Nd}"), share(r"\p{Lu}"), F.pmod(F.xxhash64(text("event_type")), F.lit(10)), number("bytes" if "bytes" in df.columns else "parsed_fields.bytes"), F.floor(number("parsed_fields.status_code") / 100),
+        F.greatest(parsed, F.lit(0)), F.regexp_count(message, F.lit(r"[!@#$%^&*()\[\]{}|;:<>?]")), share(r"\p{Nd}"), share(r"\p{Lu}"), F.conv(F.substring(F.md5(text("event_type")), 1, 8), 16, 10).cast("long") % 10, number("bytes" if "bytes" in df.columns else "parsed_fields.bytes"), F.floor(number("parsed_fields.status_code") / 100),
     ]
     return df.select("*", *(c.cast("double").alias(f"f_{n}") for c, n in zip(columns, FEATURES)))
 
 
 def entity_z(df: DataFrame, keys: Sequence[str] = ("host", "source", "user_id"), features: Sequence[str] = FEATURES, last: int = 500, least: int = 10) -> DataFrame:
     """``id, z``: the mean |z| of an event's features against the ``last`` events before it of each of its entities,
-    averaged over the entities with ``least`` such events; null without one."""
-    melted = None
+    averaged over the entities with ``least`` such events; null without one. ``entity_scores`` has a fifth of each
+    entity's, at most 1."""
+    melted, columns = None, [f"f_{f}" for f in features]
     for k in keys:
-        part = df.filter(F.coalesce(F.col(k), F.lit("")) != "").select("id", "us", F.concat(F.lit(f"{k}:"), k).alias("entity"), *(f"f_{f}" for f in features))
+        values = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns]
+        part = df.filter(F.coalesce(F.col(k), F.lit("")) != "").select("id", "us", F.concat(F.lit(f"{k}:"), k).alias("entity"), *values)
         melted = part if melted is None else melted.unionAll(part)
-    before = Window.partitionBy("entity").orderBy("us", "id").rowsBetween(-last, -1)
-    z = [F.abs(F.col(f"f_{f}") - F.avg(f"f_{f}").over(before)) / (F.coalesce(F.stddev_pop(f"f_{f}").over(before), F.lit(0.0)) + 1e-6) for f in features]
-    mean = F.aggregate(F.array(*z), F.lit(0.0), lambda a, x: a + x) / len(features)
-    scored = melted.select("id", F.when(F.count("*").over(before) >= least, mean).alias("z"))
-    return scored.groupBy("id").agg(F.round(F.avg("z"), 6).alias("z"))
+    before = with_trailing_moments(melted, columns, last, ["entity"], include_self=False)
+    z = [F.abs(F.col(c) - F.col(f"{c}_mean")) / (F.coalesce(F.col(f"{c}_dev"), F.lit(0.0)) + 1e-6) for c in columns]
+    mean = F.aggregate(F.array(*z), F.lit(0.0), lambda a, x: a + x) / len(columns)
+    scored = before.select("id", F.when(F.col("n") >= least, mean).alias("z"))
+    return scored.groupBy("id").agg(F.round(F.avg("z"), 6).alias("z"), F.collect_list(F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), F.col("z") / 5))).alias("entity_scores"))
+
+
+def mean_of(scores: Column) -> Column:
+    """Mean of an array's numbers that aren't null; null without any. In sorted order, so that it is the same each time."""
+    there = F.array_sort(F.filter(scores, lambda s: s.isNotNull()))
+    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
 
 
 def combined_anomaly(*scores: Column) -> Column:
     """Mean of the scores that are there."""
-    there = F.filter(F.array(*scores), lambda s: s.isNotNull())
-    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
+    return mean_of(F.array(*scores))
 
 
 def frequency_anomaly(df: DataFrame, window_us: int = 60_000_000, history: int = 100, least: int = 20) -> DataFrame:
     """``df`` with ``recent``, events of the pair (source, event_type) in the trailing window, and ``frequency_score``:
     its |z| against the last ``history`` such counts, as a fifth, at most 1; 0 before ``least`` counts."""
     pair = ["source", "event_type"]
-    counted = df.withColumn("recent", trailing_count(pair, window_us))
-    frame = Window.partitionBy(*pair).orderBy("us", "id").rowsBetween(1 - history, 0)
-    n, mean, deviation = F.count("recent").over(frame), F.avg("recent").over(frame), F.stddev_pop("recent").over(frame)
-    z = F.abs(F.col("recent") - mean) / (deviation + 1e-6)
-    return counted.withColumn("frequency_score", F.when(n >= least, F.least(F.lit(1.0), z / 5)).otherwise(0.0))
+    counted = with_trailing_counts(df, {"recent": pair}, window_us)
+    seen = with_trailing_moments(counted.withColumn("__recent", F.col("recent").cast("double")), ["__recent"], history, pair)
+    z = F.abs(F.col("__recent") - F.col("__recent_mean")) / (F.col("__recent_dev") + 1e-6)
+    return seen.select(*(f"`{c}`" for c in counted.columns), F.when(F.col("n") >= least, F.least(F.lit(1.0), z / 5)).otherwise(0.0).alias("frequency_score"))
 
 
 def whitelisted(df: DataFrame, entries: Sequence[tuple] = WHITELIST) -> Column:
@@ -120,11 +131,12 @@ def user_deviation(df: DataFrame, window_us: int = 3_600_000_000, least: int = 1
 
     ``max(0, 1 - 5 * share)``; 0 with fewer than ``least`` events, and for no user.
     """
-    total = trailing_count(["user_id"], window_us, include_self=False)
-    own = trailing_count(["user_id", "event_type"], window_us, include_self=False)
-    rare = F.greatest(F.lit(0.0), 1 - 5 * F.col("__own") / F.greatest(F.col("__all"), F.lit(1)))
     known = F.coalesce(F.col("user_id"), F.lit("")) != ""
-    return df.withColumn("__all", total).withColumn("__own", own).withColumn("deviation", F.when(known & (F.col("__all") >= least), rare).otherwise(0.0)).drop("__all", "__own")
+    # Events of no user get keys of their own, so that no task gathers them.
+    keyed = df.withColumn("__user", F.when(known, F.col("user_id")).otherwise(F.concat(F.lit("\0"), F.col("id").cast("string"))))
+    counted = with_trailing_counts(keyed, {"__all": ["__user"], "__own": ["__user", "event_type"]}, window_us, include_self=False)
+    rare = F.greatest(F.lit(0.0), 1 - 5 * F.col("__own") / F.greatest(F.col("__all"), F.lit(1)))
+    return counted.withColumn("deviation", F.when(known & (F.col("__all") >= least), rare).otherwise(0.0)).drop("__user", "__all", "__own")
 
 
 def severity_of_risk(risk: Column) -> Column:
@@ -151,17 +163,22 @@ def alert_gate(df: DataFrame) -> DataFrame:
 
 def severity_factor(severity: Column, matches: Column) -> Column:
     base = mapped(F.lower(F.coalesce(severity, F.lit("info"))), SEVERITY_POINTS, 20.0)
-    total = F.aggregate(matches, F.lit(0.0), lambda a, m: a + mapped(F.lower(m["severity"]), SEVERITY_POINTS, 35.0) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), m["confidence"])))
-    return F.round(F.when(F.size(matches) > 0, F.least(F.lit(100.0), base + total / F.size(matches) * 0.5)).otherwise(base), 2)
+    total = F.aggregate(matches, F.lit(0.0), lambda a, m: a + mapped(F.lower(m["severity"]), SEVERITY_POINTS, RULE_OTHER) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), m["confidence"])))
+    return F.round(F.when(F.size(matches) > 0, F.least(F.lit(100.0), base + total / F.size(matches) * RULE_SHARE)).otherwise(base), 2)
 
 
 def frequency_factor(count: Column) -> Column:
-    return F.when(count <= 2, 20.0).when(count <= 5, 45.0).when(count <= 10, 70.0).otherwise(90.0)
+    out = F.when(F.lit(False), 0.0)
+    for most, points in FREQUENCY_BANDS:
+        out = out.when(count <= most, points)
+    return out.otherwise(FREQUENCY_MOST)
 
 
 def history_factor(total: Column, own: Column) -> Column:
-    share = own / F.greatest(total, F.lit(1))
-    return F.when(total < 20, 30.0).when(share >= 0.2, 20.0).when(share >= 0.05, 45.0).when(share >= 0.02, 65.0).otherwise(85.0)
+    share, out = own / F.greatest(total, F.lit(1)), F.when(total < HISTORY_LEAST, HISTORY_UNKNOWN)
+    for least, points in HISTORY_BANDS:
+        out = out.when(share >= least, points)
+    return out.otherwise(HISTORY_RARE)
 
 
 def anomaly_factor(score: Column) -> Column:
@@ -180,9 +197,9 @@ def threat_score(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, window_u
     Frequency counts the pair (source, event_type) in the trailing window; history is all earlier events of user and
     host. Weights are made to add up to 1; of equal factors the first in their order dominates.
     """
-    earlier = lambda *k: F.count("*").over(Window.partitionBy(*k).orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1))
     entity = [F.coalesce(F.nullif("user_id", F.lit("")), F.lit("unknown")).alias("__u"), F.coalesce("host", F.lit("unknown")).alias("__h")]
-    rows = df.select("*", *entity).withColumn("__n", trailing_count(["source", "event_type"], window_us)).withColumn("__all", earlier("__u", "__h")).withColumn("__own", earlier("__u", "__h", "event_type"))
+    counted = with_trailing_counts(df.select("*", *entity), {"__n": ["source", "event_type"]}, window_us)
+    rows = with_earlier_counts(counted, {"__all": ["__u", "__h"], "__own": ["__u", "__h", "event_type"]})
     factors = {"severity": severity_factor(F.col("severity"), F.col("matches")), "frequency": frequency_factor(F.col("__n")), "historical_behavior": history_factor(F.col("__all"), F.col("__own")), "anomaly_deviation": anomaly_factor(F.col("anomaly")), "threat_intel": intel_factor(F.col("ti_score"))}
     rows = rows.select(*(c for c in df.columns), *(v.alias(f"p_{k}") for k, v in factors.items()))
     total = sum(weights.values()) or 1.0

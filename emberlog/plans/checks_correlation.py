@@ -57,12 +57,12 @@ def c4_time_filter(spark, sf_dir):
     return c.near_in_time(_members(spark, sf_dir), 1_000_000).agg(F.count("*").alias("n"))
 
 
-@query(GROUPED + """, s AS (SELECT component, count(*) AS event_count, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS span, count(DISTINCT ip_address) AS ips, count(DISTINCT user_id) AS users, count(DISTINCT host) AS hosts,
+@query(GROUPED + """, s AS (SELECT component, count(*) AS event_count, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS span, count(DISTINCT ip_address) AS ips, count(DISTINCT user_id) AS users, count(DISTINCT host) AS hosts, count(DISTINCT event_type) AS types, bool_or(contains(event_type, 'fail')) AS failed,
   max(CASE severity WHEN 'info' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END) AS rank FROM g GROUP BY component)
-SELECT event_count, ips, users, hosts, round(span, 3) AS span, round(least(3.0, event_count * 0.3) + rank * 0.75 + least(2.0, 100.0 / (span + 1) * 0.02) + least(2.0, ips * 0.4), 3) AS score FROM s""")
+SELECT event_count, ips, users, hosts, types, concat_ws(',', CASE WHEN ips > 3 THEN 'multi_source' END, CASE WHEN span < 60 AND event_count >= 5 THEN 'burst_activity' END, CASE WHEN failed THEN 'auth_failures' END) AS tags, round(span, 3) AS span, round(least(3.0, event_count * 0.3) + rank * 0.75 + least(2.0, 100.0 / (span + 1) * 0.02) + least(2.0, ips * 0.4), 3) AS score FROM s""")
 def c5_group_summary(spark, sf_dir):
     df = c.summarise_groups(_members(spark, sf_dir))
-    return df.select("event_count", F.size("source_ips").cast("long").alias("ips"), F.size("users").cast("long").alias("users"), F.size("hosts").cast("long").alias("hosts"), F.round("span_seconds", 3).alias("span"), "score")
+    return df.select("event_count", F.col("source_ips").alias("ips"), "users", "hosts", F.col("event_types").alias("types"), F.round("span_seconds", 3).alias("span"), "score", F.array_join("tags", ",").alias("tags"))
 
 
 @query(GAPS + """ SELECT w AS "window", count(*) AS n FROM m, (VALUES ('1s', 1000000), ('1m', 60000000), ('1h', 3600000000)) v(w, us) WHERE n < 2 OR least <= us GROUP BY w""")
@@ -76,9 +76,9 @@ def c7_entity_groups(spark, sf_dir):
     return c.entity_groups(sec_events(spark, sf_dir))
 
 
-@query("SELECT host, count(*) - 1 AS n FROM e GROUP BY host HAVING count(*) > 1")
+@query(", n AS (SELECT host, id AS src, lead(id) OVER (PARTITION BY host ORDER BY ts, id) AS dst FROM e) SELECT host, src, dst FROM n WHERE dst IS NOT NULL")
 def c8_followed_by(spark, sf_dir):
-    return c.followed_by(sec_events(spark, sf_dir), "host").groupBy("host").agg(F.count("*").alias("n"))
+    return c.followed_by(sec_events(spark, sf_dir), "host")
 
 
 STEPS = """, t AS (SELECT id, ts, ip_address, CASE WHEN contains(lower(message), 'failed') THEN 1 ELSE 0 END AS s1,
@@ -185,14 +185,19 @@ def _trade(spark, sf_dir):
     return g.merge_edges(ends)
 
 
-@query(GROUPED + """, x AS (SELECT DISTINCT component, ip_address AS v, 'triggered' AS kind FROM g UNION ALL SELECT DISTINCT component, user_id, 'triggered' FROM g UNION ALL SELECT DISTINCT component, host, 'attacked' FROM g) SELECT kind, count(*) AS n FROM x GROUP BY kind""")
+#: A component is named by its least entity, an address.
+NAMED = GROUPED + ", k AS (SELECT component, 'alert:' || min('host=' || host) AS alert FROM g GROUP BY component)"
+
+
+@query(NAMED + """, x AS (SELECT 'ip:' || ip_address AS src, alert AS dst, 'triggered' AS kind FROM g JOIN k USING (component) UNION SELECT 'user:' || user_id, alert, 'triggered' FROM g JOIN k USING (component)
+UNION SELECT alert, 'host:' || host, 'attacked' FROM g JOIN k USING (component)) SELECT src, dst, kind, 1.0 AS weight FROM x""")
 def g1_group_graph(spark, sf_dir):
-    return g.group_edges(c.summarise_groups(_members(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
+    return g.group_edges(c.group_entities(_members(spark, sf_dir)))
 
 
-@query("SELECT severity, 2 * count(*) AS n FROM e WHERE severity <> 'info' GROUP BY severity")
+@query("SELECT 'ip:' || ip_address AS src, 'alert:' || id AS dst, 'triggered' AS kind, severity FROM e WHERE severity <> 'info' UNION ALL SELECT 'user:' || user_id, 'alert:' || id, 'triggered', severity FROM e WHERE severity <> 'info'")
 def g2_alert_graph(spark, sf_dir):
-    return g.alert_edges(sec_events(spark, sf_dir).filter("severity <> 'info'")).groupBy("severity").agg(F.count("*").alias("n"))
+    return g.alert_edges(sec_events(spark, sf_dir).filter("severity <> 'info'")).drop("weight")
 
 
 @query(TRADE + " SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM o GROUP BY src, dst")
@@ -213,23 +218,34 @@ def g5_remove_nodes(spark, sf_dir):
     return left.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("customers"))
 
 
-BOTH = TRADE + ", b AS (SELECT DISTINCT src, dst FROM o UNION SELECT dst, src FROM o)"
+#: A graph with cycles and several hops: nations tied by the customers and suppliers that trade, weighted to a few ties each.
+TIES = """, l AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b, o_orderkey % 97 AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey),
+t AS (SELECT DISTINCT 'n' || CAST(a AS VARCHAR) AS src, 'n' || CAST(b AS VARCHAR) AS dst FROM l WHERE a <> b AND (b - a = 1 OR (a * 7 + b * 3) % 41 = k % 41 AND k < 3))"""
+
+
+def _ties(spark, sf_dir):
+    o, k, i, s = (table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem", "supplier"))
+    rows = o.join(k, o.o_custkey == k.c_custkey).join(i, i.l_orderkey == o.o_orderkey).join(s, s.s_suppkey == i.l_suppkey)
+    rows = rows.selectExpr("c_nationkey AS a", "s_nationkey AS b", "o_orderkey % 97 AS k").distinct()
+    kept = rows.filter("a <> b AND (b - a = 1 OR ((a * 7 + b * 3) % 41 = k % 41 AND k < 3))")
+    return stage(kept.selectExpr("concat('n', a) AS src", "concat('n', b) AS dst").distinct(), "ties")
 
 
-@query(BOTH + " SELECT hops, count(*) AS n FROM (SELECT node, min(hops) AS hops FROM (SELECT 'n3' AS node, 0 AS hops UNION ALL SELECT dst, 1 FROM b WHERE src = 'n3') t GROUP BY node) t GROUP BY hops")
+WALKED = TIES + ", r AS (SELECT 'n0' AS node, 0 AS hops UNION SELECT t.dst, hops + 1 FROM r JOIN t ON t.src = r.node WHERE hops < 10), h AS (SELECT node, min(hops) AS hops FROM r GROUP BY node)"
+
+
+@query(WALKED + " SELECT h.node, h.hops, (SELECT min(t.src) FROM t JOIN h p ON p.node = t.src WHERE t.dst = h.node AND p.hops = h.hops - 1) AS parent FROM h", recursive=True)
 def g6_distances(spark, sf_dir):
-    e = _trade(spark, sf_dir)
-    both = e.select("src", "dst").union(e.select("dst", "src"))
-    return g.distances(both, "n3").groupBy("hops").agg(F.count("*").alias("n"))
+    return g.distances(_ties(spark, sf_dir), "n0")
 
 
-@query(BOTH + " SELECT count(*) AS n FROM b WHERE src = 'n3' AND starts_with(dst, 'c')")
+PATHS = TIES + ", p AS (SELECT ['n0'] AS path, 'n0' AS node UNION ALL SELECT list_append(path, t.dst), t.dst FROM p JOIN t ON t.src = p.node WHERE NOT list_contains(path, t.dst) AND len(path) < 5)"
+
+
+@query(PATHS + " SELECT array_to_string(path, '>') AS path FROM p WHERE len(path) > 1 AND node IN ('n3', 'n5', 'n12')", recursive=True)
 def g7_g10_simple_paths(spark, sf_dir):
-    e = _trade(spark, sf_dir)
-    both = stage(e.select("src", "dst").union(e.select("dst", "src")), "edges")
-    goals = both.filter("dst LIKE 'c%'").select(F.col("dst").alias("node")).distinct()
-    found = g.simple_paths(both, spark.createDataFrame([("n3",)], "node string"), goals, 4)
-    return found.agg(F.count("*").alias("n"))
+    ends = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    return g.simple_paths(_ties(spark, sf_dir), ends("n0"), ends("n3", "n5", "n12"), 5).select(F.array_join("path", ">").alias("path"))
 
 
 @query(TRADE + ", d AS (SELECT DISTINCT src, dst FROM o), t AS (SELECT dst AS node, count(*) AS total FROM d GROUP BY dst UNION ALL SELECT src, count(*) FROM d GROUP BY src) SELECT node, total FROM t ORDER BY total DESC, node LIMIT 10")
@@ -237,11 +253,16 @@ def g8_top_pivots(spark, sf_dir):
     return g.top_pivots(_trade(spark, sf_dir)).select("node", "total")
 
 
-@query(TRADE + " SELECT dst AS nation, 1 + count(DISTINCT src) AS n FROM o GROUP BY dst")
+#: Users tied to the host that follows theirs in a chain of forty, broken every eighth: components of several hops.
+CHAINED = """, x AS (SELECT DISTINCT CAST(substr(user_id, 2) AS BIGINT) % 40 AS n FROM e), y AS (SELECT 'c' || CAST(n AS VARCHAR) AS src, 'c' || CAST(n + 1 AS VARCHAR) AS dst, n FROM x WHERE n % 8 <> 7),
+w AS (SELECT src AS node, src AS seed FROM y UNION SELECT dst, dst FROM y UNION SELECT CASE WHEN w.node = y.src THEN y.dst ELSE y.src END, seed FROM w JOIN y ON w.node IN (y.src, y.dst)), m AS (SELECT node, min(seed) AS component FROM w GROUP BY node)"""
+
+
+@query(CHAINED + " SELECT component, count(*) AS n FROM m GROUP BY component", recursive=True)
 def g9_communities(spark, sf_dir):
-    e = _trade(spark, sf_dir)
-    named = g.connected_components(e)
-    return named.groupBy("component").agg(F.count("*").alias("n"), F.max("node").alias("nation")).select("nation", "n")
+    n = F.substring("user_id", 2, 20).cast("long") % 40
+    edges = sec_events(spark, sf_dir).select(n.alias("n")).distinct().filter("n % 8 <> 7")
+    return g.communities(edges.selectExpr("concat('c', n) AS src", "concat('c', n + 1) AS dst"))
 
 
 @query(TRADE + """ SELECT 'nodes' AS what, 'customer' AS kind, count(DISTINCT src) AS n FROM o UNION ALL SELECT 'nodes', 'host', count(DISTINCT dst) FROM o UNION ALL SELECT 'edges', 'orders_in', count(DISTINCT src) FROM o

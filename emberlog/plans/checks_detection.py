@@ -163,12 +163,30 @@ def t8_indicator_upsert(spark, sf_dir):
     return intel.upsert_indicators(intel.builtin_indicators(spark), added).groupBy("indicator_type").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT id, CAST(length(message) AS DOUBLE) AS f_message_length, CAST(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END AS DOUBLE) AS f_severity_code, CAST(hour(ts) AS DOUBLE) AS f_hour,
-  CAST(length(message) - length(regexp_replace(message, '[!@#$%^&*()\[\]{}|;:<>?]', '', 'g')) AS DOUBLE) AS f_n_special,
-  round((length(message) - length(regexp_replace(message, '[0-9]', '', 'g'))) / length(message), 6) AS digits, round((length(message) - length(regexp_replace(message, '[A-Z]', '', 'g'))) / length(message), 6) AS uppers, bytes AS f_bytes FROM e""")
+#: The features that vary over the view, as SQL; the other ones are constants.
+FEATURE_SQL = {
+    "message_length": "length(message)", "severity_code": "CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END", "hour": "hour(ts)", "n_special": r"length(message) - length(regexp_replace(message, '[!@#$%^&*()\[\]{}|;:<>?]', '', 'g'))",
+    "digit_ratio": "(length(message) - length(regexp_replace(message, '[0-9]', '', 'g'))) / greatest(length(message), 1)", "upper_ratio": "(length(message) - length(regexp_replace(message, '[A-Z]', '', 'g'))) / greatest(length(message), 1)",
+    "type_bucket": "CAST('0x' || substr(md5(event_type), 1, 8) AS BIGINT) % 10", "bytes": "coalesce(bytes, 0)",
+}
+FEATURES_SQL = ", f AS (SELECT *, " + ", ".join(f"CAST({v} AS DOUBLE) AS f_{k}" for k, v in FEATURE_SQL.items()) + " FROM e)"
+CONSTANTS = {"raw_length": 0, "source_code": 2, "has_ip": 1, "has_user": 1, "has_process": 0, "n_parsed": 0, "status_class": 0}
+
+
+@query(FEATURES_SQL + " SELECT id, " + ", ".join(f"round(f_{k}, 6) AS f_{k}" for k in FEATURE_SQL) + ", " + ", ".join(f"CAST({v} AS DOUBLE) AS f_{k}" for k, v in CONSTANTS.items()) + " FROM f")
 def a1_features(spark, sf_dir):
     df = scoring.extract_features(sec_events(spark, sf_dir))
-    return df.select("id", "f_message_length", "f_severity_code", "f_hour", "f_n_special", F.round("f_digit_ratio", 6).alias("digits"), F.round("f_upper_ratio", 6).alias("uppers"), "f_bytes")
+    return df.select("id", *(F.round(f"f_{k}", 6).alias(f"f_{k}") for k in scoring.FEATURES))
+
+
+ENTITY_SQL = FEATURES_SQL + ", m AS (" + " UNION ALL ".join(f"SELECT id, ts, '{k}:' || {k} AS k, {', '.join(f'f_{f}' for f in FEATURE_SQL)} FROM f" for k in ("host", "source", "user_id")) + "), s AS (SELECT id, count(*) OVER w AS n, (" + " + ".join(f"abs(f_{f} - avg(f_{f}) OVER w) / (coalesce(stddev_pop(f_{f}) OVER w, 0) + 1e-6)" for f in FEATURE_SQL) + """) / 15 AS z
+  FROM m WINDOW w AS (PARTITION BY k ORDER BY ts, id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING)), u AS (SELECT id, avg(z) AS z, avg(least(1.0, z / 5)) AS es FROM s WHERE n >= 10 GROUP BY id)"""
+
+
+@query(ENTITY_SQL + " SELECT e.id, round(z, 6) AS z, round(es, 5) AS entity_score FROM e LEFT JOIN u ON u.id = e.id")
+def a2_entity_baseline_all(spark, sf_dir):
+    df = scoring.entity_z(scoring.extract_features(sec_events(spark, sf_dir)))
+    return df.select("id", "z", F.round(scoring.mean_of(F.col("entity_scores")), 5).alias("entity_score"))
 
 
 @query(""", f AS (SELECT *, CAST(length(message) AS DOUBLE) AS a, coalesce(bytes, 0) AS b FROM e),
@@ -181,21 +199,26 @@ def a2_entity_baseline(spark, sf_dir):
     return df.select("id", "z")
 
 
-FREQUENCY = """, c AS (SELECT *, count(*) OVER (PARTITION BY source, event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)
+FREQUENCY = """, c AS (SELECT *, count(*) OVER (PARTITION BY source, event_type ORDER BY ts RANGE BETWEEN INTERVAL {window} PRECEDING AND CURRENT ROW)
     - count(*) OVER (PARTITION BY source, event_type, ts) + row_number() OVER (PARTITION BY source, event_type, ts ORDER BY id) AS recent FROM e),
 q AS (SELECT *, CASE WHEN count(recent) OVER w >= 20 THEN least(1.0, abs(recent - avg(recent) OVER w) / (stddev_pop(recent) OVER w + 1e-6) / 5) ELSE 0.0 END AS fs
   FROM c WINDOW w AS (PARTITION BY source, event_type ORDER BY ts, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
 
 
-@query(FREQUENCY + " SELECT id, recent, round(fs, 5) AS frequency_score FROM q")
+@query(FREQUENCY.format(window="60 SECOND") + " SELECT id, recent, round(fs, 5) AS frequency_score FROM q")
+def a6_frequency_anomaly_minute(spark, sf_dir):
+    return scoring.frequency_anomaly(sec_events(spark, sf_dir)).select("id", "recent", F.round("frequency_score", 5).alias("frequency_score"))
+
+
+@query(FREQUENCY.format(window="6 HOUR") + " SELECT id, recent, round(fs, 5) AS frequency_score FROM q")
 def a6_frequency_anomaly(spark, sf_dir):
     return scoring.frequency_anomaly(sec_events(spark, sf_dir), 6 * HOUR).select("id", "recent", F.round("frequency_score", 5).alias("frequency_score"))
 
 
-@query(FREQUENCY + " SELECT id, round((fs + least(1.0, bytes / 1000)) / 2, 5) AS anomaly FROM q WHERE bytes IS NOT NULL")
+@query(FREQUENCY.format(window="6 HOUR") + " SELECT id, round((fs + least(1.0, bytes / 1000)) / 2, 8) AS anomaly FROM q WHERE bytes IS NOT NULL")
 def a5_combined_score(spark, sf_dir):
     df = scoring.frequency_anomaly(sec_events(spark, sf_dir).filter("bytes IS NOT NULL"), 6 * HOUR)
-    return df.select("id", F.round(scoring.combined_anomaly(F.col("frequency_score"), F.lit(None).cast("double"), F.least(F.lit(1.0), F.col("bytes") / 1000)), 5).alias("anomaly"))
+    return df.select("id", F.round(scoring.combined_anomaly(F.col("frequency_score"), F.lit(None).cast("double"), F.least(F.lit(1.0), F.col("bytes") / 1000)), 8).alias("anomaly"))
 
 
 @query("SELECT count(*) AS n FROM e WHERE NOT (host = 'h3' AND starts_with(event_type, 'ssh')) AND user_id <> 'u7'")
@@ -221,27 +244,81 @@ def d3_user_deviation(spark, sf_dir):
     return scoring.user_deviation(sec_events(spark, sf_dir), 120 * HOUR).filter("deviation > 0").select("id", F.round("deviation", 6).alias("deviation"))
 
 
-RISK = COUNTED + TI + UBA + r""", r AS (SELECT d.id, d.user_id, d.event_type,
-  (CASE WHEN d.event_type = 'ssh_login_failure' AND d.severity = 'warning' THEN 25.0 * 0.9 ELSE 0 END) + (CASE WHEN regexp_matches(d.message, '/etc/(passwd|shadow|sudoers|crontab)') THEN 25.0 * 0.85 ELSE 0 END)
-    + (CASE WHEN k.n >= 5 THEN 25.0 * least(1.0, k.n / 10.0) ELSE 0 END)
-    + (CASE WHEN regexp_matches(d.message, '(/etc/shadow|/etc/passwd|sam\.hive)', 'i') THEN 25.0 ELSE 0 END) + (CASE WHEN regexp_matches(d.message, '\b(privilege.?escalat|sudo.?-i|suid)\b', 'i') THEN 25.0 ELSE 0 END)
-    + (CASE WHEN ti.score IS NOT NULL THEN 30.0 ELSE 0 END) + (CASE WHEN deviation > 0.5 THEN 20 * deviation ELSE 0 END) AS risk,
-  (d.event_type = 'ssh_login_failure' OR regexp_matches(d.message, '/etc/(passwd|shadow|sudoers|crontab)') OR coalesce(k.n, 0) >= 5) AS ruled
-  FROM d LEFT JOIN k ON k.id = d.id LEFT JOIN ti ON ti.ip = d.ip_address),
-g AS (SELECT *, least(100.0, risk) AS x FROM r), a AS (SELECT * FROM g WHERE x >= 10 AND (ruled OR x / 100 >= 0.3))"""
-RISK_RULES = (SIGNATURE, PATTERN, THRESHOLD)
+def _hits(spec: rules.RuleSpec) -> str:
+    """Confidence of a built-in rule's match as SQL over ``e`` joined with its counts; null without one."""
+    c = spec.condition
+    if spec.type == "pattern":
+        return f"CASE WHEN regexp_matches({c['field']}, '{c['pattern']}', 'i') THEN 0.85 END"
+    if spec.type == "signature":
+        wanted = {c["field"]: c["value"]} | c.get("fields", {})
+        return "CASE WHEN " + " AND ".join(f"lower({k}) = '{v}'" for k, v in wanted.items()) + " THEN 0.9 END"
+    if spec.type == "threshold":
+        return f"CASE WHEN {spec.id[:3]}{spec.id[4:]}.n >= {c['threshold']} THEN least(1.0, {spec.id[:3]}{spec.id[4:]}.n / {2.0 * c['threshold']}) END"
+    return f"CASE WHEN z.z >= {c['z_threshold']} THEN least(1.0, (z.z - {c['z_threshold']}) / {c['z_threshold']} + 0.6) END"
+
+
+def _counts(spec: rules.RuleSpec) -> str:
+    c = spec.condition
+    kept = " AND ".join(["ip_address <> ''", *(f"lower({k}) = '{v}'" for k, v in c.get("filter", {}).items())])
+    return f""", {spec.id[:3]}{spec.id[4:]} AS (SELECT id, count(*) OVER (PARTITION BY ip_address ORDER BY ts RANGE BETWEEN INTERVAL {c['window_seconds']} SECOND PRECEDING AND CURRENT ROW)
+    - count(*) OVER (PARTITION BY ip_address, ts) + row_number() OVER (PARTITION BY ip_address, ts ORDER BY id) AS n FROM e WHERE {kept})"""
+
+
+THRESHOLDS = [r for r in rules.BUILTIN_RULES if r.type == "threshold"]
+BUILTIN = ROLLED + "".join(map(_counts, THRESHOLDS)) + ", b AS (SELECT e.*, " + ", ".join(f"{_hits(r)} AS h{i}" for i, r in enumerate(rules.BUILTIN_RULES)) + " FROM e LEFT JOIN (SELECT id, z FROM z) z ON z.id = e.id" + "".join(f" LEFT JOIN {r.id[:3]}{r.id[4:]} ON {r.id[:3]}{r.id[4:]}.id = e.id" for r in THRESHOLDS) + ")"
+BY_PRIORITY = sorted(range(len(rules.BUILTIN_RULES)), key=lambda i: -rules.BUILTIN_RULES[i].priority)
+
+
+def _flagship_events(spark, sf_dir):
+    """The view with the number that a built-in rule reads from the parsed fields."""
+    return sec_events(spark, sf_dir).withColumn("parsed_fields", F.create_map(F.lit("bytes"), F.col("bytes").cast("string")))
+
+
+@query(BUILTIN + ", r AS (SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN h{i} IS NOT NULL THEN '{rules.BUILTIN_RULES[i].id}' END" for i in BY_PRIORITY) + ") AS rules, round(" + " + ".join(f"coalesce(h{i}, 0)" for i in BY_PRIORITY) + ", 6) AS confidence FROM b) SELECT * FROM r WHERE rules <> ''")
+def r5_builtin_rules(spark, sf_dir):
+    df = rules.evaluate_rules(_flagship_events(spark, sf_dir)).filter("size(matches) > 0")
+    return df.select("id", F.array_join("matches.rule_id", ",").alias("rules"), F.round(F.aggregate("matches", F.lit(0.0), lambda a, m: a + m["confidence"]), 6).alias("confidence"))
+
+
+POINTS = " + ".join(f"{scoring.RULE_POINTS[r.severity]} * coalesce(h{i}, 0)" for i, r in enumerate(rules.BUILTIN_RULES))
+KEYWORD_POINTS = " + ".join(f"CASE WHEN regexp_matches(b.message, '{p}', 'i') THEN {x} ELSE 0 END" for p, _, x in scoring.KEYWORDS)
+RULED = " OR ".join(f"h{i} IS NOT NULL" for i in BY_PRIORITY)
+USUAL = UBA.replace("120 HOUR", "1 HOUR").replace(", u AS (", ", ub AS (").replace("FROM u)", "FROM ub)")
+LEVEL_OF_RISK = "CASE WHEN x >= 80 THEN 'critical' WHEN x >= 60 THEN 'high' WHEN x >= 40 THEN 'medium' WHEN x >= 20 THEN 'low' ELSE 'info' END"
+NAMES = {r.technique for r in rules.BUILTIN_RULES}
+
+
+def _risk(anomaly: str, joined: str) -> str:
+    """Alerts ``a(id, event_type, x, anomaly, ruled)``; ``joined`` adds the table that the anomaly score comes from."""
+    return f""", r AS (SELECT b.*, deviation, ti.score IS NOT NULL AS listed, {anomaly} AS anomaly, {POINTS} + {KEYWORD_POINTS} + CASE WHEN ti.score IS NOT NULL THEN 30 ELSE 0 END
+    + CASE WHEN deviation > 0.5 THEN 20 * deviation ELSE 0 END + CASE WHEN {anomaly} > 0.6 THEN 25 * {anomaly} ELSE 0 END AS points, {RULED} AS ruled
+  FROM b JOIN d ON d.id = b.id LEFT JOIN ti ON ti.ip = b.ip_address {joined}),
+g AS (SELECT *, least(100.0, points) AS x FROM r), a AS (SELECT * FROM g WHERE x >= 10 AND (ruled OR x / 100 >= 0.3))"""
+
+
+RISK = BUILTIN + TI + USUAL + ENTITY_SQL + _risk("u.es", "LEFT JOIN u ON u.id = b.id")
+#: With the frequency as the only score, it is often high enough to count.
+RATED = BUILTIN + TI + USUAL + FREQUENCY.format(window="60 SECOND") + _risk("q.fs", "JOIN q ON q.id = b.id")
 
 
 def _alerts(spark, sf_dir):
-    return detect_threats(sec_events(spark, sf_dir), intel.builtin_indicators(spark), RISK_RULES, 120 * HOUR, 1)
+    return detect_threats(_flagship_events(spark, sf_dir), intel.builtin_indicators(spark))
+
+
+def _rated_alerts(spark, sf_dir):
+    df = scoring.frequency_anomaly(_flagship_events(spark, sf_dir))
+    return detect_threats(df, intel.builtin_indicators(spark), entities=(), scores=("frequency_score",))
+
+
+TECHNIQUES = "concat_ws(',', " + ", ".join(f"CASE WHEN {' OR '.join(f'h{i} IS NOT NULL' for i, r in enumerate(rules.BUILTIN_RULES) if r.technique == t)} THEN '{t}' END" for t in sorted(NAMES)) + ")"
 
 
-@query(RISK + " SELECT id, round(x, 4) AS risk, CASE WHEN x >= 80 THEN 'critical' WHEN x >= 60 THEN 'high' WHEN x >= 40 THEN 'medium' WHEN x >= 20 THEN 'low' ELSE 'info' END AS severity FROM a")
+@query(RISK + f" SELECT id, round(x, 4) AS risk, {LEVEL_OF_RISK} AS severity, round(anomaly, 5) AS anomaly, {TECHNIQUES} AS techniques FROM a")
 def d7_detect_threats(spark, sf_dir):
-    return _alerts(spark, sf_dir).select("id", F.round("risk", 4).alias("risk"), F.col("risk_severity").alias("severity"))
+    return _alerts(spark, sf_dir).select("id", F.round("risk", 4).alias("risk"), F.col("risk_severity").alias("severity"), F.round("anomaly", 5).alias("anomaly"), F.array_join("techniques", ",").alias("techniques"))
 
 
-@query(RISK + " SELECT CASE WHEN x >= 80 THEN 'critical' WHEN x >= 60 THEN 'high' WHEN x >= 40 THEN 'medium' WHEN x >= 20 THEN 'low' ELSE 'info' END AS severity, count(*) AS n FROM a GROUP BY 1")
+@query(RISK + f" SELECT {LEVEL_OF_RISK} AS severity, count(*) AS n FROM a GROUP BY 1")
 def d6_severity_bands(spark, sf_dir):
     return _alerts(spark, sf_dir).groupBy(F.col("risk_severity").alias("severity")).agg(F.count("*").alias("n"))
 
@@ -251,9 +328,9 @@ def d5_alert_gate_rate(spark, sf_dir):
     return detection_rate(sec_events(spark, sf_dir), _alerts(spark, sf_dir))
 
 
-@query(RISK + " SELECT event_type, round(avg(x), 4) AS mean_risk, max(ruled) AS any_rule FROM a GROUP BY event_type")
+@query(RATED + " SELECT id, event_type, round(x, 4) AS risk, ruled, anomaly > 0.6 AS strange FROM a")
 def d4_risk_composition(spark, sf_dir):
-    return _alerts(spark, sf_dir).groupBy("event_type").agg(F.round(F.avg("risk"), 4).alias("mean_risk"), F.max(F.size("matches") > 0).alias("any_rule"))
+    return _rated_alerts(spark, sf_dir).select("id", "event_type", F.round("risk", 4).alias("risk"), (F.size("matches") > 0).alias("ruled"), F.array_contains("reasons", "anomaly").alias("strange"))
 
 
 SCORE = TI + """, w AS (SELECT *, count(*) OVER (PARTITION BY source, event_type ORDER BY ts RANGE BETWEEN INTERVAL 300 SECOND PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY source, event_type, ts) + row_number() OVER (PARTITION BY source, event_type, ts ORDER BY id) AS n,
@@ -279,10 +356,13 @@ def p4_score_factors(spark, sf_dir):
     return _scored(spark, sf_dir).select("id", F.col("p_anomaly_deviation").alias("p_anomaly"), F.col("p_threat_intel").alias("p_intel"))
 
 
-@query(SCORE + """, x AS (SELECT *, round(0.25 * sv + 0.2 * f + 0.2 * h + 0.2 * a + 0.15 * t, 2) AS sc FROM s)
-SELECT CASE WHEN sc >= 80 THEN 'Critical' WHEN sc >= 60 THEN 'High' WHEN sc >= 40 THEN 'Medium' ELSE 'Low' END AS level, round(avg(sc), 1) AS mean_score, count(*) AS n FROM x GROUP BY 1""")
+@query(SCORE + """, x AS (SELECT *, round(0.25 * sv + 0.2 * f + 0.2 * h + 0.2 * a + 0.15 * t, 2) AS sc, greatest(sv, f, h, a, t) AS most FROM s),
+y AS (SELECT *, CASE WHEN sc >= 80 THEN 'Critical' WHEN sc >= 60 THEN 'High' WHEN sc >= 40 THEN 'Medium' ELSE 'Low' END AS level,
+  CASE most WHEN sv THEN 'severity' WHEN f THEN 'frequency' WHEN h THEN 'historical_behavior' WHEN a THEN 'anomaly_deviation' ELSE 'threat_intel' END AS dominant FROM x)
+SELECT id, round(sc, 1) AS score, level, dominant, true AS explained FROM y""")
 def p5_threat_score(spark, sf_dir):
-    return _scored(spark, sf_dir).groupBy("level").agg(F.round(F.avg("score"), 1).alias("mean_score"), F.count("*").alias("n"))
+    explained = F.col("explanation").startswith(F.concat("level", F.lit(" threat ("))) & F.col("explanation").endswith(F.concat(F.lit("main factor: "), "dominant"))
+    return _scored(spark, sf_dir).select("id", F.round("score", 1).alias("score"), "level", "dominant", explained.alias("explained"))
 
 
 @query("SELECT id, round(greatest(0, least(100, 0.7 * 0.9 * (1 + event_id % 3) * 0.5 * 100)), 4) AS risk FROM (SELECT id, CAST(id AS BIGINT) AS event_id FROM e) t")

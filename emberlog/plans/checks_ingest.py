@@ -9,6 +9,7 @@ from emberlog.functions.storage import new_path
 from emberlog.plans.checks_detection import table
 from emberlog.sources import logs as s
 from emberlog.sources.events import sec_events
+from emberlog.streaming.streams import run_to_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,7 +67,7 @@ def n3_rfc5424(spark, sf_dir):
     return _parsed(spark, sf_dir, "rfc5424").select("id", "severity", "host", "process_name", F.col("parsed_fields")["procid"].alias("procid"), "message", _ntz())
 
 
-@query()
+@query("WITH x AS (SELECT 1) SELECT 'windows' AS parse_format, 'error' AS severity, count(*) AS n, count(DISTINCT event_id) AS types FROM events")
 def n4_windows_events(spark, sf_dir):
     made = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_id").alias("EventID"), F.lit("Error").alias("Level"), F.concat(F.lit("dc"), "user_id").alias("Computer"))).alias("value"))
     return n.normalize_logs(made).groupBy("parse_format", "severity").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("types"))
@@ -87,9 +88,20 @@ def n7_access_log(spark, sf_dir):
     return _parsed(spark, sf_dir, "access").select("id", "severity", "message", "ip_address", "user_id", F.col("parsed_fields")["bytes"].alias("bytes"), _ntz())
 
 
-@query(f"SELECT id, split_part(value, ',', 2) AS message, 'third' AS last, {TIME} FROM r WHERE id % 7 = 4")
+#: Of three CSV lines one has an empty field, one 70 fields, one quotes that hold commas and quotes.
+CSV_LINE = """CASE id % 3 WHEN 0 THEN '2024-01-05 07:01:09,,third,' || CAST(id AS STRING)
+ WHEN 1 THEN '2024-01-05 07:01:09,m' || CAST(id AS STRING) || repeat(',x', 67) || ',last'
+ ELSE '2024-01-05 07:01:09,"say ""hi"", ' || CAST(id AS STRING) || '",third,' END"""
+
+
+@query(f"""SELECT id, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'm' || id ELSE 'say "hi", ' || id END AS message, CASE WHEN id % 3 = 1 THEN 'x' ELSE 'third' END AS third,
+  CASE id % 3 WHEN 0 THEN CAST(id AS VARCHAR) WHEN 1 THEN 'last' ELSE '' END AS last, CASE WHEN id % 3 = 1 THEN 70 ELSE 4 END AS n, {TIME} FROM r""")
 def n8_csv(spark, sf_dir):
-    return _parsed(spark, sf_dir, "csv").select("id", "message", F.col("parsed_fields")["field_2"].alias("last"), _ntz())
+    lines = _lines(spark, sf_dir).selectExpr("id", f"{CSV_LINE} AS value")
+    df = n.normalize_logs(lines, "app", "system", year=2024).filter("parse_format = 'csv'")
+    size, fields = F.size("parsed_fields"), F.col("parsed_fields")
+    last = F.try_element_at(fields, F.concat(F.lit("field_"), (size - 1).cast("string")))
+    return df.select("id", "message", fields["field_2"].alias("third"), last.alias("last"), size.alias("n"), _ntz())
 
 
 @query(f"SELECT id, CASE WHEN contains(value, 'error') THEN 'error' ELSE 'info' END AS severity, value AS message, {TIME} FROM r WHERE id % 7 = 6")
@@ -146,6 +158,16 @@ def s1_read_log_files(spark, sf_dir):
     return df.agg(F.count("*").alias("lines"))
 
 
+@query("SELECT 'part' AS source, count(*) AS lines FROM r")
+def s2_stream_log_files(spark, sf_dir):
+    """The lines of two folders of files, each file once, with the first word of its name."""
+    path = new_path(spark, "logs")
+    for i in range(2):
+        _lines(spark, sf_dir).filter(F.col("id") % 2 == i).select("value").write.text(f"{path}/{i}")
+    got = run_to_table(s.stream_log_files(spark, path), "log-lines")
+    return got.groupBy(F.regexp_extract("source", "^([a-z]+)", 1).alias("source")).agg(F.count("*").alias("lines"))
+
+
 @query("SELECT id // 10 AS batch, count(*) AS n FROM r GROUP BY 1")
 def s3_ingest_payloads(spark, sf_dir):
     made = _lines(spark, sf_dir).groupBy(F.floor(F.col("id") / 10).alias("batch")).agg(F.to_json(F.sort_array(F.collect_list("value"))).alias("json"), F.array_join(F.collect_list("value"), "\n").alias("raw"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from emberlog.operators import memory as m
 from emberlog.operators import response as r
 from emberlog.operators import search as q
-from emberlog.plans.checks_detection import E_SQL, RISK, _alerts, table
+from emberlog.operators import rules, scoring
+from emberlog.plans.checks_detection import BY_PRIORITY, E_SQL, ENTITY_SQL, RISK, TECHNIQUES, _alerts, table
 from emberlog.sources.events import sec_events
 
 QUERIES: dict = {}
@@ -25,12 +26,18 @@ def query(sql: str | None = None):
     return put
 
 
+REASONS = "concat_ws('; ', " + ", ".join([*(f"CASE WHEN h{i} IS NOT NULL THEN 'rule:{rules.BUILTIN_RULES[i].id}' END" for i in BY_PRIORITY), *(f"CASE WHEN regexp_matches(message, '{p}', 'i') THEN 'keyword:{n}' END" for p, n, _ in scoring.KEYWORDS), "CASE WHEN listed THEN 'malicious_ip' END", "CASE WHEN deviation > 0.5 THEN 'user_behaviour' END", "CASE WHEN anomaly > 0.6 THEN 'anomaly' END"]) + ")"
 BAND = "CASE WHEN x >= 80 THEN 'critical' WHEN x >= 60 THEN 'high' WHEN x >= 40 THEN 'medium' WHEN x >= 20 THEN 'low' ELSE 'info' END"
 
 
-@query(RISK + f" SELECT a.id, 'Threat: ' || a.event_type AS title, {BAND} AS severity FROM a")
+@query(RISK + f""" SELECT id, 'Threat detected: ' || event_type AS title, {BAND} AS severity, {REASONS} AS description, {TECHNIQUES} AS techniques, round(x / 100, 6) AS confidence,
+  'auto_generated,rule_based_detection' AS tags FROM a""")
 def l1_build_alerts(spark, sf_dir):
-    return r.build_alerts(_alerts(spark, sf_dir)).select(F.get("log_ids", 0).alias("id"), "title", "severity")
+    alerts = r.build_alerts(_alerts(spark, sf_dir))
+    all_of = _alerts(spark, sf_dir).select("id", F.array_join("techniques", ",").alias("techniques"))
+    df = alerts.select(F.get("log_ids", 0).alias("id"), "title", "severity", "description", "technique", F.round("confidence", 6).alias("confidence"), F.array_join("tags", ",").alias("tags"))
+    kept = df.join(all_of, "id").filter(F.coalesce("technique", F.lit("")) == F.substring_index("techniques", ",", 1))
+    return kept.drop("technique")
 
 
 @query(", h AS (SELECT *, sha256(ip_address || ':' || ':' || host || ':' || event_type || ':' || severity) AS h FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY ts, id) AS n FROM h) SELECT id, h AS dedupe_hash FROM k WHERE n = 1")
@@ -73,7 +80,7 @@ def l6_lifecycle(spark, sf_dir):
     return r.lifecycle(changes).select("id", back.alias("status"), F.col("resolved_us").isNotNull().alias("resolved"))
 
 
-@query(RISK + f", b AS (SELECT {BAND} AS severity FROM a) SELECT severity, count(*) AS n FROM b WHERE severity IN ('high', 'critical') GROUP BY severity")
+@query(RISK + f", w AS (SELECT {BAND} AS severity FROM a) SELECT severity, count(*) AS n FROM w WHERE severity IN ('high', 'critical') GROUP BY severity")
 def l7_escalate(spark, sf_dir):
     return r.escalate(r.build_alerts(_alerts(spark, sf_dir))).groupBy("severity").agg(F.count("*").alias("n"))
 
@@ -93,15 +100,16 @@ def i3_incident_breaches(spark, sf_dir):
     return r.breaches(r.incidents_of(_leveled(spark, sf_dir), "user_id"), 1_704_240_000_000_000).agg(F.count("*").alias("n"))
 
 
-@query(", t AS (SELECT user_id, count(*) AS n, least(3, count(*) FILTER (WHERE severity = 'error')) AS steps FROM e GROUP BY user_id) SELECT user_id AS id, n, steps FROM t")
+@query("SELECT user_id AS id, id AS seq, row_number() OVER w AS nth, least(3, count(*) FILTER (WHERE severity = 'error') OVER w) AS steps FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)")
 def i4_timeline(spark, sf_dir):
     events = sec_events(spark, sf_dir).select(F.col("user_id").alias("id"), "us", F.col("id").alias("seq"), F.when(F.col("severity") == "error", "escalate").otherwise("note").alias("action"), F.col("host").alias("actor"))
-    return r.timeline(events).select("id", F.size("timeline").cast("long").alias("n"), F.col("steps").cast("long").alias("steps"))
+    return r.timeline(events).select("id", "seq", "nth", "steps")
 
 
-@query(" SELECT host, string_agg(DISTINCT ip_address, ',' ORDER BY ip_address) AS ips, count(DISTINCT user_id) AS users FROM e GROUP BY host")
+@query("SELECT DISTINCT host, 'ip' AS kind, ip_address AS value FROM e UNION ALL SELECT DISTINCT host, 'host', host FROM e UNION ALL SELECT DISTINCT host, 'user', user_id FROM e")
 def i5_containment(spark, sf_dir):
-    return r.containment(sec_events(spark, sf_dir), "host").select("host", F.array_join("ips", ",").alias("ips"), F.size("users").cast("long").alias("users"))
+    df = sec_events(spark, sf_dir)
+    return r.containment(df.select("*", F.col("host").alias("grp")), "grp").select(F.col("grp").alias("host"), "kind", "value")
 
 
 @query("SELECT id, CASE WHEN event_type = 'data_exfiltration' THEN 'pb-data-breach' WHEN event_type = 'ssh_login_failure' THEN 'pb-brute-force' ELSE 'pb-malware' END AS playbook FROM e")
@@ -119,15 +127,17 @@ q AS (SELECT item_id, x AS term, count(*) AS c FROM (SELECT item_id, unnest(rege
 qn AS (SELECT item_id, sum(c) AS n FROM q GROUP BY item_id), qw AS (SELECT q.item_id, q.term, c / n * coalesce(idf, 1.0) AS q FROM q JOIN qn ON qn.item_id = q.item_id LEFT JOIN d ON d.term = q.term),
 ql AS (SELECT item_id, sqrt(sum(q * q)) AS l FROM qw GROUP BY item_id), s AS (SELECT qw.item_id, x.doc_id, sum(w * q) AS dot FROM x JOIN qw ON qw.term = x.term GROUP BY 1, 2),
 r AS (SELECT s.item_id, s.doc_id, round(dot / (norm * l), 6) AS similarity FROM s JOIN n ON n.doc_id = s.doc_id JOIN ql ON ql.item_id = s.item_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rn FROM r) SELECT item_id AS "query", round(similarity, 4) AS similarity FROM k WHERE rn <= 1""")
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rn FROM r) SELECT item_id AS "query", doc_id, round(similarity, 4) AS similarity FROM k WHERE rn <= 3""")
 def m1_similar_texts(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return m.similar_texts(table(spark, sf_dir, "documents"), asked, "doc_id", "text", 1).select("query", F.round("similarity", 4).alias("similarity"))
+    return m.similar_texts(table(spark, sf_dir, "documents"), asked, "doc_id", "text", 3).select("query", "doc_id", F.round("similarity", 4).alias("similarity"))
 
 
-@query()
+@query(""", w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), c AS (SELECT item_id, term, count(*) AS c FROM w GROUP BY 1, 2),
+b AS (SELECT item_id, CAST('0x' || substr(sha256(term), i * 4 + 1, 4) AS BIGINT) % 256 AS bucket, sum(c) AS n FROM c, range(16) t(i) GROUP BY 1, 2)
+SELECT item_id, CAST(bucket AS INT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM b""")
 def m2_hashed_embedding(spark, sf_dir):
-    return m.hashed_embedding(table(spark, sf_dir, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"))
+    return m.hashed_embedding(table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", F.col("bucket").cast("int").alias("bucket"), F.round("value", 6).alias("value"))
 
 
 @query(""", p AS (SELECT a.vec_id AS q, b.vec_id AS v, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
@@ -153,38 +163,61 @@ def m6_retention(spark, sf_dir):
     return m.retain_newest(sec_events(spark, sf_dir), "us", "id", 500).select("id")
 
 
-@query(r""", f AS (SELECT source, count(DISTINCT v) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS v FROM documents) t GROUP BY source),
-g AS (SELECT source, bool_or(regexp_matches(text, '\b(fail(?:ed|ure)?|denied|invalid|unauthorized|error|exception)\b', 'i')) AS failure FROM documents GROUP BY source) SELECT g.source, coalesce(n, 0) AS n_ips, failure FROM g LEFT JOIN f ON f.source = g.source""")
+def _distinct(pattern: str, group: int) -> str:
+    return f"(SELECT source, count(DISTINCT v) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '{pattern}', {group})) AS v FROM documents) t GROUP BY source)"
+
+
+@query(f""", i AS {_distinct(m.IP, 0)}, u AS {_distinct(m.USER, 1)}, p AS {_distinct(m.PROCESS, 1)},
+g AS (SELECT source, bool_or(regexp_matches(text, '{m.FAILURE}')) AS failure, bool_or(regexp_matches(text, '{m.PRIVILEGE}')) AS privileged FROM documents GROUP BY source)
+SELECT g.source, coalesce(i.n, 0) AS n_ips, coalesce(u.n, 0) AS n_users, coalesce(p.n, 0) AS n_processes, failure, privileged, coalesce(i.n, 0) > 5 AS multi_source,
+  CASE WHEN failure OR privileged OR coalesce(i.n, 0) > 5 THEN 'high' ELSE 'low' END AS severity FROM g LEFT JOIN i ON i.source = g.source LEFT JOIN u ON u.source = g.source LEFT JOIN p ON p.source = g.source""")
 def x1_batch_entities(spark, sf_dir):
-    return m.batch_entities(table(spark, sf_dir, "documents"), "source", "text").select("source", "n_ips", "failure")
+    return m.batch_entities(table(spark, sf_dir, "documents"), "source", "text")
+
 
+#: A text for each category, and one for none.
+PHRASES = ("brute force", "sql injection", "cmd inject", "data theft", "psexec run", "setuid bit", "ransom note", "trojan found", "spear phish", "nmap sweep", "call home", "dnscat use", "webshell up", "lsass read", "crontab edit", "all is well")
+TEXTS = ", y AS (SELECT *, list_extract([" + ", ".join(f"'{x}'" for x in PHRASES) + "], CAST(CAST(id AS BIGINT) % 16 AS INT) + 1) AS line FROM e), " + "k AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(line, '{p.replace(chr(39), chr(39) * 2)}', 'i') THEN {i}" for i, (p, _, _) in enumerate(m.CATEGORIES)) + " ELSE -1 END AS c FROM y), z(c, category, points) AS (VALUES (-1, 'unknown', 3), " + ", ".join(f"({i}, '{c}', {x})" for i, (_, c, x) in enumerate(m.CATEGORIES)) + ")"
 
-CLASS = r"CASE WHEN regexp_matches(message, 'sql.?inject|'' OR |UNION SELECT', 'i') THEN 'sql_injection' WHEN regexp_matches(message, 'escalat|sudo|setuid|privilege', 'i') THEN 'privilege_escalation' ELSE 'unknown' END"
 
+def _texts(spark, sf_dir):
+    return sec_events(spark, sf_dir).withColumn("line", F.get(F.array(*map(F.lit, PHRASES)), (F.col("id").cast("long") % 16).cast("int")))
 
-@query(f"SELECT {CLASS} AS category, count(*) AS n FROM e GROUP BY 1")
+
+@query(TEXTS + " SELECT category, points AS severity, count(*) AS n FROM k JOIN z ON z.c = k.c GROUP BY 1, 2")
 def x2_classify(spark, sf_dir):
-    return sec_events(spark, sf_dir).groupBy(m.classify(F.col("message"))["category"].alias("category")).agg(F.count("*").alias("n"))
+    kind = m.classify(F.col("line"))
+    return _texts(spark, sf_dir).groupBy(kind["category"].alias("category"), kind["severity"].alias("severity")).agg(F.count("*").alias("n"))
+
+
+NAMED = TEXTS + ", q(category, tactic, technique) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in m.CATEGORY_TECHNIQUES) + ")"
 
 
-@query(f", k AS (SELECT {CLASS} AS category FROM e) SELECT CASE category WHEN 'sql_injection' THEN 'T1190' WHEN 'privilege_escalation' THEN 'T1068' ELSE 'T0000' END AS technique, count(*) AS n FROM k GROUP BY 1")
+@query(NAMED + " SELECT q.category, tactic, technique, count(*) AS n FROM k JOIN z ON z.c = k.c JOIN q ON q.category = z.category GROUP BY 1, 2, 3")
 def x3_category_techniques(spark, sf_dir):
-    named = sec_events(spark, sf_dir).select(m.classify(F.col("message"))["category"].alias("category"))
-    return named.join(F.broadcast(m.category_techniques(spark)), "category").groupBy("technique").agg(F.count("*").alias("n"))
+    named = _texts(spark, sf_dir).select(m.classify(F.col("line"))["category"].alias("category"))
+    return named.join(F.broadcast(m.category_techniques(spark)), "category").groupBy("category", "tactic", "technique").agg(F.count("*").alias("n"))
 
 
-@query("SELECT host, round(date_diff('microsecond', min(date_trunc('second', ts)), max(date_trunc('second', ts))) / 3.6e9, 3) AS dwell_hours FROM e GROUP BY host")
+#: Times with a fraction, and every third with an offset of two hours.
+@query("SELECT host, round(date_diff('microsecond', min(t), max(t)) / 3.6e9, 3) AS dwell_hours FROM (SELECT host, date_trunc('millisecond', ts) - CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS t FROM e) x GROUP BY host")
 def x4_timeline_dwell(spark, sf_dir):
-    df = sec_events(spark, sf_dir).withColumn("line", F.concat(F.lit("at "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), F.col("message")))
+    offset = F.when(F.col("id").cast("long") % 3 == 0, "+0200").otherwise("Z")
+    df = sec_events(spark, sf_dir).withColumn("line", F.concat(F.lit("at "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), offset, F.lit(" "), F.col("message")))
     return m.dwell_hours(m.incident_timeline(df, "host", "line"), "host")
 
 
-@query()
+@query(NAMED + """, w AS (SELECT *, 'at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' user=' || user_id || ' from ' || ip_address || ' ' || line AS t FROM k),
+s AS (SELECT host, max(points) AS severity, arg_max(category, points * 1000 - ascii(category)) AS category, avg(CASE WHEN category = 'unknown' THEN 0.0 ELSE 1.0 END) AS known FROM w JOIN z ON z.c = w.c GROUP BY host),
+n AS (SELECT host, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM w JOIN z ON z.c = w.c JOIN q ON q.category = z.category WHERE z.category <> 'unknown' GROUP BY host),
+v AS (SELECT host, count(DISTINCT ip_address) AS n_indicators, count(DISTINCT user_id) AS users, round(date_diff('microsecond', min(date_trunc('second', ts)), max(date_trunc('second', ts))) / 3.6e9, 3) AS dwell_hours FROM w GROUP BY host),
+i AS (SELECT ip_address AS x, 0.6 AS f FROM e GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT user_id, 0.55 FROM e GROUP BY 1 HAVING count(*) > 1),
+o AS (SELECT host, avg(f) AS grouped FROM (SELECT DISTINCT host, ip_address AS x FROM e UNION ALL SELECT DISTINCT host, user_id FROM e) d JOIN i ON i.x = d.x GROUP BY host)
+SELECT s.host, severity, category, techniques, n_indicators, CAST(1 AS BIGINT) AS blast_hosts, users AS blast_users, users AS n_users, false AS failure, false AS privileged, dwell_hours,
+  round((nullif(known, 0) + grouped) / 2, 3) AS confidence FROM s JOIN n ON n.host = s.host JOIN v ON v.host = s.host JOIN o ON o.host = s.host""")
 def x5_merged_report(spark, sf_dir):
-    df = sec_events(spark, sf_dir)
-    named = df.select("host", m.classify(F.col("message")).alias("c"))
-    top = named.groupBy("host").agg(F.max("c.severity").alias("severity"), F.array_join(F.array_sort(F.collect_set("c.category")), ",").alias("categories"))
-    return top.join(r.containment(df, "host").select("host", F.size("ips").alias("blast_ips"), F.size("users").alias("blast_users")), "host").join(m.batch_entities(df, "host", "message"), "host")
+    written = F.concat(F.lit("at "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" user="), "user_id", F.lit(" from "), "ip_address", F.lit(" "), "line")
+    return m.merged_report(_texts(spark, sf_dir).withColumn("line", written), "host", "line").withColumn("techniques", F.array_join("techniques", ","))
 
 
 @query("SELECT count(*) FILTER (WHERE t AND d) AS tp, count(*) FILTER (WHERE d AND NOT t) AS fp, count(*) FILTER (WHERE t AND NOT d) AS fn, round(count(*) FILTER (WHERE t AND d) / count(*) FILTER (WHERE d), 6) AS precision, round(count(*) FILTER (WHERE t AND d) / count(*) FILTER (WHERE t), 6) AS recall, round(2 * count(*) FILTER (WHERE t AND d) / (count(*) FILTER (WHERE d) + count(*) FILTER (WHERE t)), 6) AS f1 FROM (SELECT event_type = 'ssh_login_failure' AS t, host IN ('h1', 'h2', 'h3') AS d FROM e) x")
@@ -193,9 +226,9 @@ def v1_evaluation(spark, sf_dir):
     return m.evaluate_detection(df.filter("event_type = 'ssh_login_failure'"), df.filter("host IN ('h1', 'h2', 'h3')"))
 
 
-@query(", b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS w, bytes FROM e WHERE bytes IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY bytes) AS n, count(*) OVER (PARTITION BY w) AS c FROM b) SELECT w AS at, round(max(c) / 21600, 6) AS per_second, round(avg(bytes), 4) AS mean, round(max(CASE WHEN n = least(floor(c * 0.95) + 1, c) THEN bytes END), 4) AS p95 FROM k GROUP BY w")
+@query(", b AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL (10 * (i + 1)) SECOND AS w, bytes FROM e, range(6) r(i) WHERE bytes IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY bytes) AS n, count(*) OVER (PARTITION BY w) AS c FROM b) SELECT w AS at, round(max(c) / 60, 6) AS per_second, round(avg(bytes), 4) AS mean, round(max(CASE WHEN n = least(floor(c * 0.95) + 1, c) THEN bytes END), 4) AS p95 FROM k GROUP BY w")
 def o1_throughput(spark, sf_dir):
-    df = m.throughput(sec_events(spark, sf_dir).filter("bytes IS NOT NULL"), "bytes", "6 hours", "6 hours")
+    df = m.throughput(sec_events(spark, sf_dir).filter("bytes IS NOT NULL"), "bytes", "60 seconds", "10 seconds")
     return df.select(F.col("at").cast("timestamp_ntz").alias("at"), F.round("per_second", 6).alias("per_second"), F.round("mean", 4).alias("mean"), F.round("p95", 4).alias("p95"))
 
 
@@ -211,7 +244,7 @@ def q1_search_logs(spark, sf_dir):
     return df.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("SELECT id, 10000 AS total, 200 AS pages, true AS has_next, true AS has_prev FROM (SELECT id FROM e ORDER BY ts DESC, id LIMIT 50 OFFSET 100) t")
+@query("SELECT id, (SELECT count(*) FROM e) AS total, (SELECT (count(*) + 49) // 50 FROM e) AS pages, true AS has_next, true AS has_prev FROM (SELECT id FROM e ORDER BY ts DESC, id LIMIT 50 OFFSET 100) t")
 def q2_paginate(spark, sf_dir):
     return q.paginate(sec_events(spark, sf_dir).select("id", "us"), 3, 50, [F.desc("us"), F.col("id")]).drop("us")
 
