@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, texts_of
+from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs, texts_of
 
 #: Who gets a token that lies in several sections: the one that holds its first character, the one that holds its last,
 #: or the one that holds most of its characters (the earlier one of equals).
@@ -49,21 +49,23 @@ def _attribute(tokenizer: str, rule: str, with_fields: bool):
 
         for batch in batches:
             parts, held = [], 0
-            given = batch.column(2).to_pylist() if with_fields else None
-            for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))):
-                ends = np.array(given[i]) if with_fields else np.cumsum([len(x) + 1 for x in text.split("\n")])
-                ends[-1] = len(text)
-                if len(ends) > 1 and not with_fields and ends[-1] == ends[-2]:
-                    ends = ends[:-1]  # the text ends with a line's end
-                ids, begins = coder.encode(text)
-                owner, crossing = owners(begins, len(text), ends, rule)
-                counts = np.bincount(owner, minlength=len(ends)) if len(ids) else np.zeros(len(ends))
-                crossed = np.bincount(owner, crossing, len(ends)) if len(ids) else np.zeros(len(ends))
-                parts.append((key, np.arange(len(ends)), np.concatenate([[0], ends[:-1]]), ends, counts, crossed))
-                held += len(ends)
-                if held >= BATCH_ROWS:
-                    yield out(parts)
-                    parts, held = [], 0
+            keys, given = batch.column(0).to_pylist(), batch.column(2).to_pylist() if with_fields else None
+            for first, texts in slabs(batch.column(1)):
+                got, begin = coder.encode_batch(texts), 0
+                for i, (text, stop) in enumerate(zip(texts_of(texts), got.ends.tolist()), first):
+                    begins, begin = got.chars[begin:stop], stop
+                    ends = np.array(given[i]) if with_fields else np.cumsum([len(x) + 1 for x in text.split("\n")])
+                    ends[-1] = len(text)
+                    if len(ends) > 1 and not with_fields and ends[-1] == ends[-2]:
+                        ends = ends[:-1]  # the text ends with a line's end
+                    owner, crossing = owners(begins, len(text), ends, rule)
+                    counts = np.bincount(owner, minlength=len(ends)) if len(begins) else np.zeros(len(ends))
+                    crossed = np.bincount(owner, crossing, len(ends)) if len(begins) else np.zeros(len(ends))
+                    parts.append((keys[i], np.arange(len(ends)), np.concatenate([[0], ends[:-1]]), ends, counts, crossed))
+                    held += len(ends)
+                    if held >= BATCH_ROWS:
+                        yield out(parts)
+                        parts, held = [], 0
             if parts:
                 yield out(parts)
 

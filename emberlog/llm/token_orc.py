@@ -11,32 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import new_path, stage
-from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, texts_of
-
-#: Rows of one output batch end at about so many ids, so that a task holds few of them.
-BATCH_IDS = 500_000
+from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs
 
 
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
-
-        def out(keys: list, ids: list[bytes]) -> pa.RecordBatch:
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
-
         for batch in batches:
-            keys, ids, held = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                keys.append(key)
-                ids.append(coder.encode(text) + end)
-                held += len(ids[-1]) // 4
-                if held >= BATCH_IDS:
-                    yield out(keys, ids)
-                    keys, ids, held = [], [], 0
-            if keys:
-                yield out(keys, ids)
+            for begin, texts in slabs(batch.column(1)):
+                got = coder.encode_batch(texts, end)
+                ids = pa.ListArray.from_arrays(np.concatenate([[0], got.ends]).astype(np.int32), pa.array(got.ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), ids], ["doc_id", "ids"])
 
     return run
 
@@ -45,14 +30,17 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZ
     """Encode ``docs(doc_id, text)`` and write ``(doc_id, ids)`` to ORC files in ascending ``doc_id`` order.
 
     Texts are dealt by ranges of ``doc_id`` first and encoded after: a text is smaller than its ids. A file holds one
-    range; in it, rows ascend, so that stripe and row-group statistics on ``doc_id`` don't overlap and the Bloom filter
-    settles the rest of a point lookup. Null text: the end id alone. Null ids: before all others. Repeated ids stay
-    neighbours in one file. No rows: no data files. Other columns are left out.
+    range; in it, rows ascend, so that stripe and row-group statistics on ``doc_id`` hardly overlap and the Bloom filter
+    settles the rest of a point lookup. Null text: the end id alone. Null ids: before all others. Rows of one id keep
+    the order in which they are read, and may be dealt over several files that follow each other. No rows: no data
+    files. Other columns are left out.
     """
+    order = [F.col("doc_id").asc_nulls_first(), F.col("nth")]
     (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("nth"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
         .mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids array<int>")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -73,22 +61,25 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(1)
         ends, values = ids.offsets.to_numpy(), np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<u4"))
-        crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "ids_crc32", "file"])
+        crcs = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64()), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_crc32", "file", "split", "row"])
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files at ``path``: ``doc_id, start, n_tokens, ids_crc32``.
 
-    ``start`` counts the ids of all documents before it. Files are put in order by their first ``doc_id``; only a row
-    per file meets in one task.
+    ``start`` counts the ids of all documents before it when the files are read one after another by their numbers, each
+    from its first row to its last: also among rows of one ``doc_id``, or without one, it is the place where the ids are.
+    Only a row per file meets in one task. No files: no rows.
     """
-    read = read_token_orc(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
-    rows = stage(read.mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, file string"), "token-index")
-    before = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))).alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("has_null"), F.sum("n_tokens").alias("n"))
-    files = files.withColumn("first", F.when(~F.col("has_null"), F.col("least"))).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")]
+    read = read_token_orc(spark, path).select("doc_id", "ids", *place)
+    rows = stage(read.mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, file string, split long, row long"), "token-index")
+    number = [F.regexp_extract("file", r"part-(\d+)-", 1).cast("long"), F.regexp_extract("file", r"\.c(\d+)\.", 1).try_cast("long")]
+    before = Window.orderBy(*number).rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # A split is read by one task, from its first row to its last.
+    within = Window.partitionBy("file").orderBy("split", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .join(files, "file")

@@ -1,18 +1,24 @@
 """Byte-level BPE inside Spark tasks.
 
 A byte-level BPE never merges across the pieces its pre-tokenizer cuts, so a text's ids are the ids of its pieces put
-end to end. The pieces repeat far more often than texts do: each task encodes a piece once with the ``tokenizers``
-library and then looks it up. ``tests/llm/test_tokens.py`` holds this against ``encode_batch`` on whole texts.
+end to end. The words between single spaces repeat far more often than texts do: an Arrow batch is split at spaces, each
+distinct word is encoded once with the ``tokenizers`` library, and numpy puts the ids together. A tokenizer that works
+otherwise encodes whole texts. ``tests/llm/test_tokens.py`` holds this against ``encode`` on whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -20,13 +26,14 @@ DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: The cut rule of the byte-level pre-tokenizer; fixed, as ids depend on it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Entries of each of a cache's two generations, for chunks and for pieces; they bound a worker's memory (about 200
-#: bytes an entry).
-CACHED_CHUNKS, CACHED_PIECES = 350_000, 120_000
-
-
+#: A single space between two other characters always begins a piece.
+_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: Pieces in each of a cache's two generations; they bound a worker's memory (about 200 bytes a piece).
+CACHED_PIECES = 150_000
+#: Texts are taken together up to so many bytes; a longer one is taken alone.
+SLAB_BYTES = 4 << 20
 #: From this character on the library's own tables of Unicode classes decide where pieces are cut.
-PLAIN_BELOW = "\u0250"
+PLAIN_BELOW = "ɐ"
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -35,6 +42,15 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(kept))}
 
 
+def cuts_at_pieces(settings: dict) -> bool:
+    """Whether a tokenizer, given as its JSON, is a byte-level BPE that PIECE alone cuts and that keeps offsets as they are."""
+    cut, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    plain = all(settings.get(k) is None for k in ("normalizer", "truncation", "padding", "post_processor"))
+    level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return plain and level and bpe
+
+
 class _Cache(dict):
     """Key -> ``make(key)``. When full, it begins anew and takes over what is asked for again from the entries before."""
 
@@ -52,25 +68,38 @@ class _Cache(dict):
         return found
 
 
+class Encoded(NamedTuple):
+    """Ids of several texts end to end, where each text's ids end, and each token's first character, if asked for."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    chars: np.ndarray | None
+
+
 class Encoder:
-    """``encode(text)`` gives the ids of a whole text, special tokens' strings being ordinary text.
+    """Ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False)``.
 
-    With ``offsets`` it gives pairs (ids, index of the character that holds each token's first byte).
+    Strings of special tokens are ordinary text. With ``offsets``, also the index of the character that holds each token's first byte.
     """
 
     def __init__(self, path: str = DEFAULT_TOKENIZER, offsets: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.cuts, self.added = cuts_at_pieces(settings), [t["content"] for t in settings.get("added_tokens") or () if not t["special"]]
+        del settings  # with the vocabulary, it is large
         self.model, self.alphabet, self.offsets = self.tokenizer.model, _byte_alphabet(), offsets
-        #: Chunk, the text between two single spaces -> its ids (and offsets) with the space before it, packed as
-        #: unsigned 32-bit values. What is empty, or begins or ends with white space, isn't sure to be cut there.
-        self.chunks = _Cache(self._chunk, CACHED_CHUNKS)
+        #: Piece -> its ids (and offsets) packed as unsigned 32-bit values.
         self.pieces = _Cache(self._piece, CACHED_PIECES)
+        self.width = 8 if offsets else 4
 
     def _piece(self, piece: str) -> bytes:
-        """Encode one piece of the pre-tokenizer's."""
+        """Encode one piece of the pre-tokenizer's, or a chunk that only the library can cut."""
+        if not piece.isascii() and max(piece) >= PLAIN_BELOW:
+            return self._whole(piece)
         raw = piece.encode()
-        tokens = self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))
+        tokens = self.model.tokenize(piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else raw.decode("latin-1").translate(self.alphabet))
         if not self.offsets:
             return array("I", [t.id for t in tokens]).tobytes()
         holds = range(len(raw)) if len(raw) == len(piece) else [i for i, c in enumerate(piece) for _ in c.encode()]
@@ -81,56 +110,124 @@ class Encoder:
             at += len(t.value)
         return pairs.tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise KeyError(chunk)
-        if chunk.isalpha() and (chunk.isascii() or max(chunk) < PLAIN_BELOW):
-            return self._piece(" " + chunk)
-        return self.packed(" " + chunk)
-
-    def _known(self, piece: str) -> bytes:
-        return self.chunks[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else self.pieces[piece]
+    def _whole(self, text: str) -> bytes:
+        got = self.tokenizer.encode(text, add_special_tokens=False)
+        if self.offsets:
+            return array("I", [x for i, (a, _) in zip(got.ids, got.offsets) for x in (i, a)]).tobytes()
+        return array("I", got.ids).tobytes()
 
-    def packed(self, text: str) -> bytes:
-        """Encode ``text`` as if nothing stood before or after it."""
-        if not text or max(text) >= PLAIN_BELOW:
-            got = self.tokenizer.encode(text, add_special_tokens=False)
-            if self.offsets:
-                return array("I", [x for i, (a, _) in zip(got.ids, got.offsets) for x in (i, a)]).tobytes()
-            return array("I", got.ids).tobytes()
-        pieces = PIECE.findall(text)
+    def _joined(self, parts: list[str], packed) -> bytes:
         if not self.offsets:
-            return b"".join(map(self._known, pieces))
+            return b"".join(packed)
         at, out = 0, []
-        for piece in pieces:
-            pairs = array("I", self._known(piece))
-            for i in range(1, len(pairs) if at else 0, 2):
-                pairs[i] += at
+        for part, own in zip(parts, packed):
+            pairs = np.frombuffer(own, np.uint32).copy()
+            pairs[1::2] += np.uint32(at)
             out.append(pairs.tobytes())
-            at += len(piece)
+            at += len(part)
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes | tuple[np.ndarray, np.ndarray]:
-        """Ids packed as little-endian unsigned 32-bit integers, or (ids, characters) as arrays."""
-        parts = text.split(" ")
-        try:
-            middle = [*map(self.chunks.__getitem__, parts[1:-1])]
-            first, last = parts[0], parts[-1] if len(parts) > 1 else None
-            if last is not None and (not last or last[0].isspace()) or last is not None and first and first[-1].isspace():
-                raise KeyError(first)
-        except KeyError:
-            whole = self.packed(text)
-            if not self.offsets:
-                return whole
-            pairs = np.frombuffer(whole, np.uint32).reshape(-1, 2)
-            return pairs[:, 0], pairs[:, 1].astype(np.int64)
-        packed = [self.packed(first), *middle] + ([] if last is None else [self.packed(" " + last)])
+    def packed(self, text: str) -> bytes:
+        """Encode ``text`` as if nothing stood before or after it."""
+        if not text:
+            return b""
+        if not text.isascii() and max(text) >= PLAIN_BELOW:
+            return self._whole(text)
+        pieces = PIECE.findall(text)
+        return self._joined(pieces, map(self.pieces.__getitem__, pieces))
+
+    def _uneven(self, text: str) -> bytes:
+        """Encode a text that has other white space beside single spaces, cut where a single space is sure to begin a piece."""
+        parts = _SPACE.split(text)
+        return self._joined(parts, map(self.packed, parts))
+
+    def _chunks(self, chunks: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """Encode chunks with the space before each: packed values, where each chunk's begin, how many it has, and (with
+        offsets) where each value's piece begins in its chunk.
+
+        What is empty, or begins or ends with white space, isn't sure to be cut there and has no values.
+        """
+        even = [c != "" and not c[0].isspace() and not c[-1].isspace() for c in chunks]
+        plain = [e and (c.isascii() or max(c) < PLAIN_BELOW) for e, c in zip(even, chunks)]
+        pieces = PIECE.findall(" " + " ".join(c for c, p in zip(chunks, plain) if p)) if any(plain) else []
+        first = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        packed = [*map(self.pieces.__getitem__, pieces)]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        counts = np.zeros(len(chunks), np.int64)
+        counts[np.flatnonzero(plain)] = np.add.reduceat(sizes, first) if len(first) else 0
+        begins = np.zeros(0, np.int64)
+        if self.offsets:  # where a token's piece begins in its chunk
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            at = np.cumsum(lengths) - lengths
+            begins = np.repeat(at - np.repeat(at[first], np.diff(np.append(first, len(pieces)))), sizes)
+        starts = np.zeros(len(chunks), np.int64)
+        starts[np.flatnonzero(plain)] = np.cumsum(counts[plain]) - counts[plain]
+        rest, end = [], int(sizes.sum())
+        for i in np.flatnonzero(np.array(even, bool) & ~np.array(plain, bool)).tolist():
+            rest.append(self.pieces[" " + chunks[i]])
+            starts[i], counts[i] = end, len(rest[-1]) // self.width
+            end += counts[i]
+        return b"".join(packed + rest), starts, counts, np.concatenate([begins, np.zeros((end - len(begins)) * self.offsets, np.int64)])
+
+    def encode_batch(self, texts: pa.Array, end: bytes = b"") -> Encoded:
+        """Encode an Arrow string array without nulls; ``end``, packed ids, follows each text's own (not with offsets)."""
+        split = pc.split_pattern(texts, " ")
+        bounds, flat = split.offsets.to_numpy().astype(np.int64), split.flatten()
+        begin, last = bounds[:-1], bounds[1:] - 1
+        words = flat.dictionary_encode()
+        codes = words.indices.to_numpy()
+        inner = np.ones(len(codes), bool)
+        inner[begin] = inner[last] = False
+        asked = np.zeros(len(words.dictionary), bool)
+        asked[codes[inner]] = True
+        own = np.flatnonzero(asked)
+        data, starts, counts, within = self._chunks(words.dictionary.take(pa.array(own)).to_numpy(zero_copy_only=False).tolist())
+        nth = np.zeros(len(asked), np.int64)
+        nth[own] = np.arange(len(own))
+        at = nth[codes]
+        # Texts that single spaces don't cut safely, and those that only the library as a whole encodes.
+        uneven = np.zeros(len(texts), bool)
+        uneven[np.searchsorted(bounds, np.flatnonzero(inner)[counts[at[inner]] == 0], "right") - 1] = True
+        whole = np.full(len(texts), not self.cuts)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        n, more = len(own), [b""]
+        heads, tails = (flat.take(pa.array(x)).to_numpy(zero_copy_only=False).tolist() for x in (begin, last))
+        for i, (head, tail, a, b) in enumerate(zip(heads, tails, begin.tolist(), last.tolist())):
+            if whole[i] or uneven[i] or b > a and (not tail or tail[0].isspace() or head[-1:].isspace()):
+                text = texts[i].as_py()
+                at[a : b + 1] = n
+                at[a] = n + len(more)
+                more.append((self._whole(text) if whole[i] else self._uneven(text)) + end)
+                continue
+            at[a] = n + len(more)
+            more.append(self.packed(head) + (b"" if b > a else end))
+            if b > a:
+                at[b] = n + len(more)
+                more.append(self.packed(" " + tail) + end)
+        extra = np.fromiter(map(len, more), np.int64, len(more)) // self.width
+        starts = np.concatenate([starts, len(data) // self.width + np.cumsum(extra) - extra])
+        counts = np.concatenate([counts, extra])[at]
+        ends = np.cumsum(counts)
+        taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - counts), counts)
+        held = np.frombuffer(data + b"".join(more), np.uint32)
+        stops = ends[last] if len(ends) else np.zeros(0, np.int64)
         if not self.offsets:
-            return b"".join(packed)
-        pairs = np.frombuffer(b"".join(packed), np.uint32).reshape(-1, 2)
-        begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts[:-1]), np.int64, len(parts) - 1) + 1) - 1])
-        counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
-        return pairs[:, 0], pairs[:, 1] + np.repeat(begins, counts)
+            return Encoded(held[taken], stops, None)
+        pairs = held.reshape(-1, 2)
+        inside = pairs[:, 1].astype(np.int64)
+        inside[: len(within)] += within
+        # A chunk is encoded with the space before it; what stands for the head or for a whole text begins at its text.
+        chars = pc.utf8_length(flat).to_numpy().astype(np.int64) + 1
+        places = np.cumsum(chars) - chars
+        places -= np.repeat(places[begin], np.diff(bounds)) + 1
+        places[begin] = 0
+        return Encoded(pairs[taken, 0], stops, inside[taken] + np.repeat(places, counts))
+
+    def encode(self, text: str) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+        """Ids of one text, or (ids, characters)."""
+        got = self.encode_batch(pa.array([text], pa.string()))
+        return (got.ids, got.chars) if self.offsets else got.ids
 
 
 @lru_cache(maxsize=2)
@@ -139,6 +236,20 @@ def encoder(path: str = DEFAULT_TOKENIZER, offsets: bool = False) -> Encoder:
     return Encoder(path, offsets)
 
 
+def slabs(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """A string column in slices of about SLAB_BYTES, null as the empty text: (place of the first, texts)."""
+    texts = pc.fill_null(column, "")
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and held + n > SLAB_BYTES:
+            yield begin, texts.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(texts):
+        yield begin, texts.slice(begin)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray):
     """The texts of an Arrow column one at a time, null as the empty text."""
     for x in column:
