@@ -1,57 +1,56 @@
-"""Best-fit packing of tokenised documents into sequences of bounded length."""
+"""Best-fit packing of tokenised documents into sequences of bounded length, in bulk-synchronous rounds."""
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
-from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, texts_of
+from emberlog.llm.names import unused
+from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs
 
-#: Pieces of one length whose ranks one task deals out, about.
-RANK_ROWS = 1 << 18
-BATCH_IDS = 500_000
-PLACE = "sequence_id long, offset long"
+#: A sweep takes documents of at least this share of the longest that waits, and all once that is a sixth of the capacity.
+SWEEP_SHARE, SWEEP_ALL = (2, 3), 6
+#: Ranges of sizes that are swept apart before their leftovers meet.
+RANGES = 16
+#: Steps that are broadcast at most; there are about as many as lengths and rounds, whatever the number of rows.
+BROADCAST_STEPS = 1_000_000
+GAP, WAITING, PLACED, FILLED, LATER, SUMMARY = range(6)
+#: A run of ``n`` equal things. Gaps: sequences ``at``, ``at + 1``, ...; ``size`` is what a sweep sorts by, ``left`` the
+#: room in each, ``slots`` how many documents each may take in this sweep. Documents: ranks ``at``, ``at + 1``, ... of
+#: length ``size``. Placed: ranks from ``at`` on are in sequences from ``sequence`` on, ``slots`` in each, from ``offset`` on.
+RUN = "kind int, size long, at long, n long, slots long, left long, sequence long, offset long"
+_RUN = [f.split()[0] for f in RUN.split(", ")]
+STEP = ("size", "at", "n", "slots", "sequence", "offset")
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-
-        def out(rows: list[tuple], ids: list[bytes]) -> pa.RecordBatch:
-            columns = [pa.array(x, pa.int64()) for x in zip(*rows)]
-            if keep_ids:
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())))
-            return pa.RecordBatch.from_arrays(columns, names)
-
         for batch in batches:
-            rows, ids, held = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                packed = coder.encode(text) + end
-                n = len(packed) // 4
-                begin = 0
-                stop = n % capacity or min(n, capacity)  # only the first piece may be short
-                piece = 0
-                while begin < n:
-                    part = packed[4 * begin : 4 * stop]
-                    rows.append((key, piece, begin, stop - begin, zlib.crc32(part)))
-                    if keep_ids:
-                        ids.append(part)
-                    begin, stop, piece = stop, stop + capacity, piece + 1
-                held += n
-                if held >= BATCH_IDS:
-                    yield out(rows, ids)
-                    rows, ids, held = [], [], 0
-            if rows:
-                yield out(rows, ids)
+            for at, texts in slabs(batch.column(1)):
+                got = coder.encode_batch(texts, end)
+                sizes = np.diff(got.ends, prepend=0)
+                pieces = -(-sizes // capacity)
+                first = sizes - (pieces - 1) * capacity  # only the first piece may be short
+                owner = np.repeat(np.arange(len(sizes)), pieces)
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = np.where(nth == 0, 0, first[owner] + (nth - 1) * capacity)
+                length = np.where(nth == 0, first[owner], capacity)
+                stops = np.cumsum(length)
+                crcs = [zlib.crc32(got.ids[a:b]) for a, b in zip((stops - length).tolist(), stops.tolist())]
+                keys = batch.column(0).slice(at, len(texts)).take(pa.array(owner))
+                columns = [keys, pa.array(nth, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(np.concatenate([[0], stops]).astype(np.int32), pa.array(got.ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -60,103 +59,203 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT
     """Encode ``docs(doc_id, text)``, end each with ``end_id`` and cut those of over ``capacity`` ids.
 
     Returns ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``. All pieces of a cut document are
-    full but the first. Null and empty texts are one piece of the end id; rows that repeat give pieces that repeat.
+    full but the first. Null and empty texts are one piece of the end id; rows that repeat give pieces that repeat; null
+    ids stay null; other columns are left out. No rows: none.
     """
-    schema = "doc_id long, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id, keep_ids), schema)
+    return _given(docs).mapInArrow(_pieces(tokenizer, capacity, end_id, keep_ids), _schema(keep_ids))
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
 
+def _schema(keep_ids: bool) -> str:
+    return "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
-def successor_sweep(counts: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best fit of ``counts[length]`` pieces, longest first, on sorted lists that are held as runs.
 
-    Equal lengths form one run of the sorted pieces, equal gaps one run of the sorted gaps, so both lists have at most
-    ``capacity`` runs however many pieces there are. A superstep takes one run of pieces: its successor is the first
-    run of gaps no smaller; pieces and gaps of two such runs meet by rank, as many pieces to a gap as it holds (what is
-    left of it stays the best fit for the next of them); the gaps shrink and go back into their list; and so on until
-    the run is placed. Pieces without a successor open new sequences. Returns steps ``(length, rank, sequence, copies,
-    offset)``: from that rank on, each ``copies`` pieces share a sequence, from that sequence on, at that offset.
+def sweep(runs: Iterable[tuple], capacity: int) -> Iterator[tuple]:
+    """One successor sweep over runs in descending order of size, gaps before documents of the same size.
+
+    The gaps passed so far are those that are large enough, and the last of them is the smallest: it is the successor of
+    the document at hand, which so gets the best fit that no longer document, nor one before it, has claimed. A gap
+    takes at most its ``slots`` in a sweep.
     """
-    gaps: list[int] = []
-    runs: dict[int, list[tuple[int, int]]] = {}
-    steps, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                insort(gaps, gap)
-            runs.setdefault(gap, []).append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
-            else:
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            copies = gap // length
-            full = min(n, left // copies)
-            if full:
-                steps.append((length, rank, first, copies, capacity - gap))
-                put(gap - copies * length, first, full)
-                rank, left, first, n = rank + full * copies, left - full * copies, first + full, n - full
-            if left and n:  # fewer are left than the next gap holds
-                steps.append((length, rank, first, left, capacity - gap))
-                put(gap - left * length, first, 1)
-                rank, left, first, n = rank + left, 0, first + 1, n - 1
-            put(gap, first, n)
-    return steps
+    free: list[list[int]] = []
+    for kind, size, at, n, slots, left, sequence, offset in runs:
+        if kind == GAP:
+            free.append([size, at, n, slots, left])
+            continue
+        if kind != WAITING:
+            yield kind, size, at, n, slots, left, sequence, offset
+            continue
+        while n and free:
+            own, first, m, slots, left = free[-1]
+            each, gaps = (slots, min(m, n // slots)) if n >= slots else (n, 1)
+            yield PLACED, size, at, each * gaps, each, 0, first, capacity - left
+            at, n, left = at + each * gaps, n - each * gaps, left - each * size
+            free[-1][1:3] = first + gaps, m - gaps
+            if m == gaps:
+                free.pop()
+            if each < slots:
+                free.append([own, first, 1, slots - each, left])
+            elif left:
+                yield FILLED, left, first, gaps, 0, left, 0, 0
+        if n:
+            yield WAITING, size, at, n, 0, 0, 0, 0
+    for own, first, n, slots, left in free:
+        yield GAP, own, first, n, slots, left, 0, 0
 
 
-def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Give each row of ``pieces`` a place: its columns plus ``sequence_id`` and ``offset``.
+def least_of_sweep(longest: int, capacity: int) -> int:
+    """The shortest documents that a sweep takes."""
+    return -(-longest * SWEEP_SHARE[0] // SWEEP_SHARE[1]) if longest * SWEEP_ALL > capacity else 1
+
 
-    ``length`` says how much room a row needs, from 1 to ``capacity``. Rows of a length are ranked in parallel: they are
-    dealt over hashed parts, counted, and numbered within their part, so that a length which a third of all rows share
-    is no single task's. The driver holds the lengths' counts and the steps of :func:`successor_sweep`, whose number
-    depends on ``capacity`` and not on the rows. Null ids, ties and repeated rows are rows like any other; no rows give
-    none. ``pieces`` must come out the same each time it is read (a table, or a staged result).
+def summary(runs: list[tuple], capacity: int) -> tuple:
+    """What the next round needs to know: ``at`` the longest document that waits, ``n`` sequences to open for it.
+
+    Documents longer than all gaps, of those that the next sweep takes, need a sequence each if no two fit together,
+    else as many as hold their ids at least.
     """
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    if bad := [x for x in counts if x is None or not 1 <= x <= capacity]:
-        raise ValueError(f"lengths must be from 1 to {capacity}: {bad[:3]}")
-    parts = -(-max(counts.values(), default=1) // RANK_ROWS)
-    plain = [c for c in pieces.columns if c != "ids"]
-    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64(*plain), F.lit(parts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("length", "__part").agg(F.count("*").alias("__n")).select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("length", "__part").orderBy(*plain)
-    ranked = dealt.withColumn("__rank", F.row_number().over(within) - 1).join(bases, ["length", "__part"])
-    ranked = ranked.select(*pieces.columns, (F.col("__base") + F.col("__rank")).alias("__rank"))
-    steps = np.array(successor_sweep(counts, capacity), np.int64).reshape(-1, 5)
-    order = np.lexsort((steps[:, 1], steps[:, 0]))
-    steps = steps[order]
-    names = pieces.columns
-    at_length, at_rank = names.index("length"), len(names)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = steps[:, 0] << 48 | steps[:, 1]
+    docs, gaps = [r for r in runs if r[0] in (WAITING, LATER)], [r[5] for r in runs if r[0] in (GAP, FILLED)]
+    longest, widest = max((r[1] for r in docs), default=0), max(gaps, default=0)
+    stuck = [(size, n) for _, size, _, n, *_ in docs if size > widest and size >= least_of_sweep(longest, capacity)] if longest > widest else []
+    alone, total = sum(n for size, n in stuck if 2 * size > capacity), sum(size * n for size, n in stuck)
+    return SUMMARY, 0, longest, alone or -(-total // capacity), 0, 0, 0, 0
+
+
+def _swept(capacity: int, last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def done() -> pa.RecordBatch:
+            rows = list(sweep(held, capacity))
+            columns = list(zip(*rows, *[summary(rows, capacity)] * last)) or [[]] * len(_RUN)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.int32()) for i, c in enumerate(columns)], _RUN)
+
         for batch in batches:
-            length, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (at_length, at_rank))
-            step = steps[np.searchsorted(starts, length << 48 | rank, "right") - 1]
-            nth = rank - step[:, 1]
-            places = [step[:, 2] + nth // step[:, 3], step[:, 4] + nth % step[:, 3] * length]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at_rank], *map(pa.array, places)], [*names, "sequence_id", "offset"])
+            for new, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if new != part:
+                    if part is not None:
+                        yield done()
+                    part, held = new, []
+                held.append(row)
+        yield done()
+
+    return run
+
+
+def _dealt(runs: DataFrame, part: Column | None = None) -> DataFrame:
+    """``runs`` with the range ``part`` before them, or all in one, sorted for a sweep; of a gap's rows the one begun comes last."""
+    dealt = runs.select((F.lit(0) if part is None else part).cast("int").alias("part"), *_RUN)
+    dealt = dealt.repartition(1) if part is None else dealt.repartition("part")
+    return dealt.sortWithinPartitions("part", F.desc("size"), "kind", F.desc("slots"), "at")
+
+
+def _round(state: DataFrame, capacity: int, longest: int, opened: int, new: int) -> DataFrame:
+    """One superstep: open ``new`` sequences, sweep each range of sizes by itself, then what is left over together."""
+    if new:
+        added = [F.lit(x).cast(t.split()[1]).alias(t.split()[0]) for x, t in zip((GAP, capacity, opened, new, 0, capacity, 0, 0), RUN.split(", "))]
+        state = state.unionByName(state.sparkSession.range(1).select(*added))
+    kind = F.when(F.col("kind") == GAP, F.lit(GAP)).when(F.col("size") >= least_of_sweep(longest, capacity), F.lit(WAITING)).otherwise(F.lit(LATER))
+    slots = F.when(F.col("kind") == GAP, F.greatest(F.lit(1), F.floor(F.col("left") / longest)))
+    runs = state.withColumn("slots", F.coalesce(slots, F.lit(0)).cast("long")).withColumn("kind", kind)
+    local = _dealt(runs, F.floor(F.col("size") * RANGES / (capacity + 1))).mapInArrow(_swept(capacity, False), RUN)
+    return _dealt(local).mapInArrow(_swept(capacity, True), RUN)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", " + PLACE
-    return ranked.mapInArrow(place, schema)
+
+def best_fit(counts: DataFrame, capacity: int) -> DataFrame:
+    """Steps ``size, at, n, slots, sequence, offset`` that place ``counts(size, n)``, documents of equal length as one run.
+
+    Documents and gaps are runs, sorted by ranges of size. A round matches each document with its successor among the
+    gaps; where several claim one gap, the longest and then the least rank wins, and the others go on to the next gap or
+    round. Then gaps shrink by what they took, and the next round begins. Documents longer than all gaps open new
+    sequences (:func:`summary`). Runs number about as many as lengths, not rows; the driver sees one row of a round,
+    which says whether documents wait.
+    """
+    waiting = counts.select(F.lit(WAITING).alias("kind"), "size", F.lit(0).cast("long").alias("at"), "n", *(F.lit(0).cast("long").alias(c) for c in ("slots", "left", "sequence", "offset")))
+    # No gaps and nothing that a sweep may take yet: this only sums up.
+    swept = stage(_dealt(waiting.withColumn("kind", F.lit(LATER))).mapInArrow(_swept(capacity, True), RUN), "pack-round")
+    opened, steps = 0, []
+    while True:
+        row = swept.filter(F.col("kind") == SUMMARY).select("at", "n").first()
+        if row is None or not row["at"]:  # an empty input may have no summary
+            break
+        longest, new = row
+        gaps = swept.filter(F.col("kind").isin(GAP, FILLED)).withColumn("kind", F.lit(GAP)).withColumn("size", F.col("left"))
+        state = gaps.unionByName(swept.filter(F.col("kind").isin(WAITING, LATER)))
+        swept = stage(_round(state, capacity, longest, opened, new), "pack-round")
+        steps.append(swept.filter(F.col("kind") == PLACED))
+        opened += new
+    found = steps[0] if steps else swept.limit(0)
+    for more in steps[1:]:
+        found = found.unionByName(more)
+    return found.select(*STEP)
+
+
+def _numbered(at: int, names: list[str]):
+    """Add the task and each row's place among the task's rows of its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            nth = []
+            for length in batch.column(at).to_pylist():
+                nth.append(seen.get(length, 0))
+                seen[length] = nth[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(nth), pa.int32()), pa.array(nth, pa.int64())], names)
+
+    return run
+
+
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """Give each row of ``pieces`` a place: its columns plus ``sequence_id`` and ``offset`` (long), by :func:`best_fit`.
+
+    ``length`` says how much room a row needs, from 1 to ``capacity``; other lengths, null too, raise an error. Rows are
+    written down with their task and their place among its rows of that length; counts per length and task give each
+    row its rank, so that no length, however many rows share it, is one task's, and rows that are alike are dealt like
+    others. Null ids, ties and repeated rows are rows like any other; no rows give none. Columns of ``pieces`` that are
+    named ``sequence_id`` or ``offset`` are replaced; other names never clash.
+    """
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    given = pieces.select(*(f"`{c}`" for c in kept))
+    return _packed(given, None, given.dtypes, capacity)
+
+
+def _packed(given: DataFrame, made: Callable | None, dtypes: list[tuple[str, str]], capacity: int) -> DataFrame:
+    """Pack the rows of ``given``, or those that ``made`` makes of its batches, with columns of ``dtypes``."""
+    kept = [n for n, _ in dtypes]
+    length, part, nth, task, base, *step = unused([*kept, "sequence_id", "offset"], "own_length", "part", "nth", "task", "base", *STEP)
+    numbered = _numbered(kept.index("length"), [*kept, part, nth])
+    schema = ", ".join(f"`{n}` {t}" for n, t in dtypes) + f", `{part}` int, `{nth}` long"
+    rows = stage(given.mapInArrow(numbered if made is None else lambda batches: numbered(made(batches)), schema), "pieces")
+    sized = stage(rows.groupBy(F.col("length").cast("long").alias(length), F.col(part).alias(task)).agg(F.count("*").alias("n")), "piece-counts")
+    if bad := sized.filter(~F.coalesce(F.col(length).between(1, capacity), F.lit(False))).first():
+        raise ValueError(f"lengths must be from 1 to {capacity}: {bad[length]}")
+    earlier = Window.partitionBy(length).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sized.select(length, task, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(base))
+    ranked = rows.join(bases, (F.col("length").cast("long") == F.col(length)) & (F.col(part) == F.col(task)))
+    steps = stage(best_fit(sized.groupBy(F.col(length).alias("size")).agg(F.sum("n").alias("n")), capacity), "pack-steps")
+    named = steps.toDF(*step)
+    if steps.count() <= BROADCAST_STEPS:
+        named = F.broadcast(named)
+    size, at, n, each, sequence, offset = map(F.col, step)
+    own = F.col(base) + F.col(nth) - at
+    found = ranked.join(named, (F.col(length) == size) & own.between(0, n - 1))
+    return found.select(*(f"`{c}`" for c in kept), (sequence + F.floor(own / each)).alias("sequence_id"), (offset + own % each * size).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """:func:`token_pieces` of ``docs``, staged, and :func:`pack` of them."""
-    return pack(stage(token_pieces(docs, capacity, tokenizer, end_id, keep_ids), "pieces"), capacity)
+    """:func:`pack` of the :func:`token_pieces` of ``docs``, which are numbered by the task that cuts them."""
+    dtypes = [tuple(c.split()) for c in _schema(keep_ids).split(", ")]
+    return _packed(_given(docs), _pieces(tokenizer, capacity, end_id, keep_ids), dtypes, capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The sequences themselves, ``sequence_id, ids``, of what :func:`pack_documents` placed with ``keep_ids``."""
+    """The sequences themselves, ``sequence_id, ids``, of what :func:`pack_documents` placed with ``keep_ids``.
+
+    A sequence gathers at most its capacity of ids. Rows without ``ids`` add none; no rows give none.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(F.filter(parts, lambda p: p["ids"].isNotNull()), lambda p: p["ids"])).alias("ids"))
