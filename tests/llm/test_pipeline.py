@@ -9,8 +9,8 @@ from emberlog.functions.storage import stage
 from emberlog.llm.secrets import find_secrets
 from emberlog.llm.tokens import DEFAULT_TOKENIZER
 from test_decontaminate import brute as contaminated
+from test_near_copies import brute as near_copies
 from test_quality import brute as quality
-from test_simhash import brute_components, brute_print
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,13 +27,9 @@ def test_stages(spark):
         steps.append(docs)
     good = {k: t for k, t in rows.items() if quality(t)[-1]}
     assert {r.doc_id: r.text for r in steps[0].collect()} == good
-    prints = {k: brute_print(t) for k, t in good.items()}
-    parts = brute_components(set(prints.values()), 3)
-    first = {}
-    for k in sorted(good):
-        first.setdefault(min(parts[prints[k]]), k)
-    single = {k: good[k] for k in first.values()}
-    assert {r.doc_id: r.text for r in steps[1].collect()} == single
+    keys = sorted(good)
+    single = {keys[i]: good[keys[i]] for i in near_copies([(k, good[k]) for k in keys])}
+    assert {r.doc_id: r.text for r in steps[1].collect()} == single and len(single) < len(good)
     shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (re.findall(r"\w+", t.lower()) for t in items)]
     near = {k: [t for t, s in zip(items, shingles) if any(tuple(w[i : i + 5]) in s for i in range(len(w) - 4))] for k, w in ((k, re.findall(r"\w+", t.lower())) for k, t in single.items())}
     clean = {k: t for k, t in single.items() if not any(contaminated(t, item) for item in near[k])}
