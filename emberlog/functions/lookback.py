@@ -117,7 +117,7 @@ def with_trailing_moments(df: DataFrame, columns: Sequence[str], last: int, keys
     out = []
     for c in columns:
         mean = F.col(f"__fs_{c}") / n
-        out += [(F.col(f"__f_{c}") + mean).alias(f"{c}_mean"), F.when(F.col(f"__still_{c}"), F.when(F.col("n") > 0, 0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col(f"__fq_{c}") / n - mean * mean))).alias(f"{c}_dev")]
+        out += [(F.col(f"__f_{c}") + mean).alias(f"{c}_mean"), F.when(F.col(f"__still_{c}") & (F.col("n") > 0), 0.0).when(F.col("n") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col(f"__fq_{c}") / n - mean * mean))).alias(f"{c}_dev")]
     return placed.filter("owned").select(*(f"`{c}`" for c in df.columns), "n", *out)
 
 

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from emberlog.functions.normalize import normalize_logs, parse_time, redact
+from emberlog.functions.normalize import csv_fields, normalize_logs, parse_time, redact
 from pyspark.sql import functions as F
 
 LINES = {
@@ -53,3 +53,11 @@ def test_times_and_redaction(spark):
     assert got[:6] == [dt.datetime(2026, 3, 31, 17, 10)] * 6 and got[6:] == [None, None]
     row = spark.range(1).select(redact(F.create_map(F.lit("API_Key"), F.lit("x"), F.lit("name"), F.lit("y"))).alias("m")).first()
     assert row.m == {"API_Key": "[REDACTED]", "name": "y"}
+
+
+def test_csv_keeps_every_field_in_its_place(spark):
+    lines = ["2024-01-05 07:01:09,,third", ",".join(["2024-01-05 07:01:09", *(f"v{i}" for i in range(69))]), '2024-01-05 07:01:09,"a ""b"", c",,', '2024-01-05 07:01:09,"open, to the end', 'x,y"z"']
+    import csv
+
+    got = [r.c for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").orderBy("i").select(csv_fields(F.col("value")).alias("c")).collect()]
+    assert got == [next(csv.reader([x])) for x in lines]
