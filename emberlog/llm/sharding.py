@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
+from emberlog.llm.names import unused
 
 #: Rows of one shard that one task permutes after the exchange, about.
 BUCKET_ROWS = 4096
-#: Partitions whose row counts every worker holds, 8 bytes each; 100 TB in parts of 128 MB are 0.8 million.
+#: Partitions whose row counts every worker holds, 8 bytes each; 100 TB in parts of 128 MB are 0.8 million. More are merged.
 MOST_PARTITIONS = 8_000_000
 _POSITION = (1 << 33) - 1
 
@@ -80,40 +82,45 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_rows: in
     that a uniform permutation has; each partition's rows are permuted against those counts, exchanged, and permuted
     again in their shard, in buckets of about ``bucket_rows`` by a random key whose counts give the places. Slots run
     from 0 in each shard. One full exchange; no column's values matter, so null, repeated, empty and hot ones are like
-    any other. No rows: none. Columns of ``docs`` named ``shard`` or ``slot`` are replaced.
+    any other. No rows: none. Columns of ``docs`` named ``shard`` or ``slot`` are replaced; other names never clash.
     """
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    part, at, key, bucket, nth, base, to, of = unused([*kept, "shard", "slot"], "part", "at", "key", "bucket", "nth", "base", "to", "of")
     place = F.monotonically_increasing_id()
-    rows = stage(docs.select(*(f"`{c}`" for c in kept), F.shiftright(place, 33).alias("__part"), place.bitwiseAND(F.lit(_POSITION)).alias("__at")), "shards")
-    counts = {r["__part"]: r["n"] for r in rows.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    n_parts = max(counts, default=0) + 1
-    if n_parts > MOST_PARTITIONS:
-        raise ValueError(f"{n_parts} partitions; merge some: the most is {MOST_PARTITIONS}")
-    before = np.concatenate([[0], np.cumsum([counts.get(p, 0) for p in range(n_parts)], dtype=np.int64)])
+    rows = stage(docs.select(*(f"`{c}`" for c in kept), F.shiftright(place, 33).alias(part), place.bitwiseAND(F.lit(_POSITION)).alias(at)), "shards")
+    found = rows.groupBy(part).agg(F.count("*").alias("n")).toArrow()
+    if found.num_rows > MOST_PARTITIONS:
+        return shard_rows(rows.select(*(f"`{c}`" for c in kept)).coalesce(MOST_PARTITIONS), shards, seed, bucket_rows)
+    parts = found.column(0).to_numpy()
+    counts = np.zeros(int(parts.max(initial=-1)) + 1, np.int64)
+    counts[parts] = found.column(1).to_numpy()
+    before = np.concatenate([[0], np.cumsum(counts)])
     total = int(before[-1])
     sizes = shard_sizes(total, shards, seed)
     held = docs.sparkSession.sparkContext.broadcast(before)
 
     @F.pandas_udf("int")
-    def shard_of(part: pd.Series, at: pd.Series) -> pd.Series:
-        @lru_cache(maxsize=2)
+    def shard_of(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @lru_cache(maxsize=4)  # kept from one batch of the task to the next
         def labels(p: int) -> np.ndarray:
             own = np.repeat(np.arange(shards, dtype=np.int32), matrix_row(held.value, sizes, p, seed))
             return np.random.default_rng([seed, 2, p]).permutation(own)
 
-        p, i = part.to_numpy(), at.to_numpy()
-        out = np.empty(len(p), np.int32)
-        for value in np.unique(p).tolist():
-            mine = p == value
-            out[mine] = labels(value)[i[mine]]
-        return pd.Series(out)
+        for p, i in columns:
+            p, i = p.to_numpy(), i.to_numpy()
+            out = np.empty(len(p), np.int32)
+            for value in np.unique(p).tolist():
+                mine = p == value
+                out[mine] = labels(value)[i[mine]]
+            yield pd.Series(out)
 
     buckets = max(1, -(-total // (shards * bucket_rows)))
-    key = F.xxhash64(F.lit(seed), "__part", "__at")
-    dealt = rows.withColumn("shard", shard_of("__part", "__at")).withColumn("__key", key).withColumn("__bucket", F.pmod(F.shiftright("__key", 16), F.lit(buckets)))
-    earlier = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sized = rows.select("__part", "__at").withColumn("shard", shard_of("__part", "__at")).withColumn("__bucket", F.pmod(F.shiftright(key, 16), F.lit(buckets)))
-    bases = sized.groupBy("shard", "__bucket").agg(F.count("*").alias("n")).select("shard", "__bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("shard", "__bucket").orderBy("__key", "__part", "__at")
-    slotted = dealt.withColumn("__nth", F.row_number().over(within) - 1).join(bases, ["shard", "__bucket"])
-    return slotted.select(*(f"`{c}`" for c in kept), "shard", (F.col("__base") + F.col("__nth")).alias("slot"))
+    own_bucket = F.pmod(F.shiftright(F.xxhash64(F.lit(seed), part, at), 16), F.lit(buckets))
+    dealt = rows.withColumn("shard", shard_of(part, at)).withColumn(key, F.xxhash64(F.lit(seed), part, at)).withColumn(bucket, own_bucket)
+    # The same labels, from the two narrow columns alone: only counts are exchanged.
+    earlier = Window.partitionBy(to).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    sized = rows.select(shard_of(part, at).alias(to), own_bucket.alias(of)).groupBy(to, of).agg(F.count("*").alias("n"))
+    bases = sized.select(to, of, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(base))
+    within = Window.partitionBy("shard", bucket).orderBy(key, part, at)
+    slotted = dealt.withColumn(nth, F.row_number().over(within) - 1).join(bases, (F.col("shard") == F.col(to)) & (F.col(bucket) == F.col(of)))
+    return slotted.select(*(f"`{c}`" for c in kept), "shard", (F.col(base) + F.col(nth)).alias("slot"))

@@ -43,3 +43,15 @@ def test_repeated_null_and_no_rows(spark):
     got = shard_rows(docs, 16).collect()
     assert len(got) == 41 and set(Counter(r.shard for r in got).values()) <= {2, 3}
     assert shard_rows(docs.limit(0), 16).count() == 0
+
+
+def test_names_and_many_partitions(spark, monkeypatch):
+    from emberlog.llm import sharding
+
+    docs = spark.range(0, 60, numPartitions=6).selectExpr("id AS doc_id", *(f"{i} AS {n}" for i, n in enumerate(("part", "at", "key", "bucket", "nth", "base", "__part", "SLOT", "to", "of"))))
+    monkeypatch.setattr(sharding, "MOST_PARTITIONS", 2)
+    got = shard_rows(docs, 4)
+    assert got.columns == [*(c for c in docs.columns if c != "SLOT"), "shard", "slot"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(60)) and sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(4) for i in range(15)]
+    assert {tuple(r)[1:8] for r in rows} == {tuple(range(7))}
