@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.samples import sample_texts
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,6 +24,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_RATIO, LEAST_MEAN = 12.0, 0.5
 #: Documents whose words, and digests of whose words, train the models.
 SAMPLE_ROWS = 100
+SEED = 5
 #: Tasks that make and count the training strings.
 TRAIN_PARTS = 12
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -72,13 +75,12 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def labelled_samples(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``string, is_random`` from at most ``sample_rows`` documents: the first that a read of ``docs`` gives.
+    """``string, is_random`` from at most ``sample_rows`` documents (:func:`sample_texts`).
 
     Ordinary strings are their words of letters, digits and joining marks, by themselves and joined as identifiers are;
     random ones are digests of the same words, written in hexadecimal, base 64 and base 64 without its marks.
     """
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit(""))).limit(sample_rows).collect()
-    texts = docs.sparkSession.createDataFrame(rows, "text string")
+    texts = sample_texts(docs, sample_rows, SEED)
     # Without what the fixed patterns find: those words aren't ordinary.
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("w"))
