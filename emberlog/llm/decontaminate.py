@@ -125,7 +125,10 @@ class Index:
             total = np.concatenate([[0], np.cumsum(hit)])
             for n, size in sizes:
                 m = size.m
-                if len(hashes) < m or total[-1] < self.similarity * m:
+                if total[-1] < self.similarity * m:
+                    continue
+                if len(hashes) < m:  # a text shorter than the items is its own window
+                    self._windows(words, hashes, len(words), size, np.array([0]), best)
                     continue
                 starts = np.flatnonzero(total[m:] - total[:-m] >= self.similarity * m - 1e-9)
                 for part in np.split(starts, np.flatnonzero(np.diff(starts) > 4096) + 1) if len(starts) else ():
@@ -134,18 +137,19 @@ class Index:
         return [(key, s, -start, n) for (key, _), (s, start, n) in best.items()]
 
     def _windows(self, words, hashes, n, size, starts, best) -> None:
-        low, high = int(starts[0]), int(starts[-1]) + size.m
+        own = n - size.k + 1
+        low, high = int(starts[0]), int(starts[-1]) + own
         sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes[low:high]), axis=0, dtype=np.int32)])
-        prints = _prints(sums[starts - low + size.m] - sums[starts - low], size.m)
+        prints = _prints(sums[starts - low + own] - sums[starts - low], own)
         for start, fp in zip(starts.tolist(), prints):
             bag = None
             for i in size.candidates(fp):
-                key, own, wanted = size.items[i]
+                key, item, wanted = size.items[i]
                 bag = bag if bag is not None else _bag(words[start : start + n], size.k)
                 shared = sum(min(c, wanted[s]) for s, c in bag.items() if s in wanted)
-                similarity = shared / (2 * size.m - shared)
+                similarity = shared / (own + size.m - shared)
                 if similarity >= self.similarity:
-                    mark = (key, id(own))
+                    mark = (key, id(item))
                     best[mark] = max(best.get(mark, (0, 0, 0)), (similarity, -start, n))
 
 
@@ -173,7 +177,7 @@ def _parts(benchmark: DataFrame, part_chars: int) -> Iterator[tuple]:
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, part_chars: int = PART_CHARS) -> DataFrame:
     """``doc_id, item_id, similarity, first_word, n_words``: each item that a document holds, and the window most like it.
 
-    An item of ``n`` words is compared with every window of ``n`` words: the similarity is the weighted Jaccard of
+    An item of ``n`` words is compared with every window of ``n`` words, or with the whole of a shorter text: the similarity is the weighted Jaccard of
     their bags of ``shingle_words`` words in a row, case and punctuation aside. Items of fewer words match nothing: too
     many documents hold them by chance.
     Documents aren't shuffled; the benchmark is taken in parts of bounded size, each against all documents. Null and

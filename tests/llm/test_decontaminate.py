@@ -10,11 +10,11 @@ def brute(text, item, k=5, least=0.8):
     n = len(own)
     bag = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     best = None
-    for start in range(len(words) - n + 1) if n >= k else ():
+    for start in range(max(1, len(words) - n + 1)) if n >= k <= len(words) else ():
         a, b = bag(words[start : start + n]), bag(own)
         s = sum((a & b).values()) / sum((a | b).values())
         if s >= least and (best is None or s > best[0]):
-            best = (s, start, n)
+            best = (s, start, min(n, len(words)))
     return best
 
 
@@ -34,6 +34,7 @@ def tables():
             at = rnd.randrange(len(words) + 1)
             words[at:at] = [w.upper() + rnd.choice(["", ",", "."]) for w in own]
         docs.append((i, " ".join(words)))
+    docs += [(300 + i, " ".join(items[6][1].split()[:-1])) for i in range(2)] + [(310, " ".join(items[5][1].split()[3:])), (311, " ".join(items[5][1].split()[9:]))]
     return docs + [(500, None), (500, ""), (None, items[5][1]), (None, items[5][1]), (600, "the " * 300), (601, "long " * 30_000 + items[6][1])], items
 
 
