@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
+from emberlog.llm.names import unused
 from emberlog.llm.tokens import texts_of
 from emberlog.operators.components import connected_components
 
@@ -43,7 +44,11 @@ def simhash(text: str, words: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3, name: str = "fingerprint") -> DataFrame:
-    """All columns of ``docs`` and the SimHash of ``text`` (null: empty) as a signed 64-bit column."""
+    """All columns of ``docs`` and the SimHash of ``text`` (null: empty) as a signed 64-bit column.
+
+    A column of ``docs`` that is named ``name`` is replaced. Rows that repeat have equal fingerprints; no rows give none.
+    """
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != name.lower()))
     names, at = [*docs.columns, name], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +190,11 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """One row of each component of :func:`near_duplicates`, all columns as they were: that with the smallest ``doc_id``.
 
     Of rows that share it the first read stays; rows without a ``doc_id`` stay only if none of their component has one.
+    Columns may have any names; no rows give none.
     """
-    numbered = with_fingerprints(docs.withColumn("__row", F.monotonically_increasing_id()), words, "__fp")
-    rows = stage(numbered, "simhash")
-    narrow = stage(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row"), "simhash-ids")
-    parts = narrow.join(_components(narrow, radius), "fp")
-    first = parts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("__row").alias("__row"))
-    return rows.join(first.select("__row"), "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    at, fp = unused(docs.columns, "row", "fp")
+    rows = stage(with_fingerprints(docs.withColumn(at, F.monotonically_increasing_id()), words, fp), "simhash")
+    narrow = stage(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(at).alias("row")), "simhash-ids")
+    parts = narrow.join(_components(narrow.select("doc_id", "fp"), radius), "fp")
+    first = parts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias(at))
+    return rows.join(first.select(at), at, "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -87,7 +87,8 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     is suspect, who is linked to by a trusted one is not. Hosts without links on lose what flows from them. Rounds go
     on until no more than ``tolerance`` of the mass moves; :func:`rounds_needed` bounds them, and fewer ``rounds`` that
     don't get there are an error. Both flows run in one plan; each round is one join and one
-    aggregate with sums combined before the shuffle, and hubs' joins can be split.
+    aggregate with sums combined before the shuffle, and hubs' joins can be split. No links: seeds keep what they have,
+    less the damping. Links that repeat add up; null hosts are hosts that nothing else links to; no seeds give no rows.
     """
     both = links.select(F.lit(0).alias("kind"), F.col("src").alias("node"), F.col("dst").alias("to"), "n").union(links.select(F.lit(1), "dst", "src", "n"))
     out = both.groupBy("kind", "node").agg(F.sum("n").alias("all"))
@@ -96,6 +97,8 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     base = seeded.select("kind", "node", ((1 - damping) * F.col("mass")).alias("mass"))
     total = seeded.agg(F.sum("mass")).first()[0] or 0.0
     scores, done, rounds = seeded, 0, rounds_needed(damping, tolerance) if rounds is None else rounds
+    if edges.isEmpty():  # nothing moves
+        scores, rounds = base, 0
     while done < rounds:
         for _ in range(min(ROUNDS_A_STAGE, rounds - done)):
             moved = scores.join(edges, ["kind", "node"]).select("kind", F.col("to").alias("node"), (damping * F.col("mass") * F.col("part")).alias("mass"))
@@ -108,7 +111,8 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
             break
         scores = scores.drop("moved")
     else:
-        raise RuntimeError(f"scores still move after {done} rounds")
+        if rounds:
+            raise RuntimeError(f"scores still move after {done} rounds")
     return scores.groupBy(F.col("node").alias("host")).agg(*(F.round(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)), 9).alias(n) for k, n in enumerate(("trust", "distrust"))))
 
 
