@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,7 +30,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: A single space between two other characters always begins a piece.
 _SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: Pieces in each of a cache's two generations; they bound a worker's memory (about 200 bytes a piece).
-CACHED_PIECES = 150_000
+CACHED_PIECES = 100_000
 #: Texts are taken together up to so many bytes; a longer one is taken alone.
 SLAB_BYTES = 4 << 20
 #: From this character on the library's own tables of Unicode classes decide where pieces are cut.
@@ -42,13 +43,14 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(kept))}
 
 
-def cuts_at_pieces(settings: dict) -> bool:
-    """Whether a tokenizer, given as its JSON, is a byte-level BPE that PIECE alone cuts and that keeps offsets as they are."""
-    cut, model = settings.get("pre_tokenizer") or {}, settings["model"]
-    plain = all(settings.get(k) is None for k in ("normalizer", "truncation", "padding", "post_processor"))
+def cuts_at_pieces(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer is a byte-level BPE that PIECE alone cuts and that keeps offsets as they are."""
+    plain = all(getattr(tokenizer, k) is None for k in ("normalizer", "truncation", "padding", "post_processor"))
+    if not plain or tokenizer.pre_tokenizer is None or not isinstance(tokenizer.model, BPE):
+        return False
+    cut, model = json.loads(tokenizer.pre_tokenizer.__getstate__()), tokenizer.model
     level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
-    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-    return plain and level and bpe
+    return level and not any((model.dropout, model.continuing_subword_prefix, model.end_of_word_suffix, model.byte_fallback))
 
 
 class _Cache(dict):
@@ -85,10 +87,8 @@ class Encoder:
     def __init__(self, path: str = DEFAULT_TOKENIZER, offsets: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            settings = json.load(f)
-        self.cuts, self.added = cuts_at_pieces(settings), [t["content"] for t in settings.get("added_tokens") or () if not t["special"]]
-        del settings  # with the vocabulary, it is large
+        self.cuts = cuts_at_pieces(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.special]
         self.model, self.alphabet, self.offsets = self.tokenizer.model, _byte_alphabet(), offsets
         #: Piece -> its ids (and offsets) packed as unsigned 32-bit values.
         self.pieces = _Cache(self._piece, CACHED_PIECES)
