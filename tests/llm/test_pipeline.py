@@ -47,3 +47,17 @@ def test_stages(spark):
     assert sizes == {k: len(whole.encode(t, add_special_tokens=False).ids) + 1 for k, t in redacted.items()}
     last = corpus_pipeline.run(spark, DATA)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in last.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in steps[4].collect())
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    good = " ".join(f"plain{i % 97} word{i % 61}" for i in range(400))
+    rows = [(None, good + " one", "en", None), (5, good, "en", "a"), (5, good, "en", "b"), (None, None, None, None), (6, "", "en", "a"), (7, " ".join(f"x{i} y{i}" for i in range(150_000)), "de", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS n_chars", "2 AS __row", "3 AS row", "4 AS fp", "5 AS part", "6 AS n", "7 AS bands", "8 AS __alive")
+    spark.createDataFrame([(1, "some benchmark item of seven words"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for given, ids in ((docs, [5, 7]), (docs.limit(0), [])):
+        for _, function in corpus_pipeline.STAGES[:-1]:
+            given = stage(function(spark, given, str(tmp_path)), "test")
+            assert given.columns == docs.columns
+        assert sorted(r.doc_id for r in given.select("doc_id").collect()) == ids
+        packed = corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path))
+        assert sorted(r.doc_id for r in packed.select("doc_id").distinct().collect()) == ids
