@@ -6,10 +6,14 @@ with a halo of the rows before it that its windows reach into.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from emberlog.functions.storage import stage
 
@@ -86,39 +90,70 @@ def with_previous(df: DataFrame, columns: Mapping[str, str], keys: Sequence[str]
     return placed.select("*", *(F.lag(c).over(before).alias(n) for n, c in columns.items())).filter("owned").drop("bucket", "owned", "pos")
 
 
+def _moments(keys: int, columns: int, last: int, skip: int):
+    """Moments of rows ``bucket, keys..., numbers...`` that come sorted: the rows with ``n``, means and deviations after.
+
+    Sums run through a bucket and a frame's is the difference of two of them. Numbers are taken from the first of their
+    keys, and a frame in which nothing changes has a deviation of exactly 0.
+    """
+
+    def of_bucket(table: pa.Table) -> pa.RecordBatch:
+        batch = table.combine_chunks().to_batches()[0]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for c in batch.columns[1 : 1 + keys]:
+            codes = pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        at = np.arange(batch.num_rows)
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        high = at - skip
+        low = np.minimum(np.maximum(first, high - last + 1), high + 1)
+        n = high + 1 - low
+        none, out = n == 0, []
+        for c in batch.columns[1 + keys : 1 + keys + columns]:
+            x = c.to_numpy(zero_copy_only=False)
+            d = x - x[first]
+            total, square = (np.concatenate([[0.0], np.cumsum(v)]) for v in (d, d * d))
+            changes = np.concatenate([[0], np.cumsum(np.concatenate([[0], x[1:] != x[:-1]]))])
+            count = np.maximum(n, 1)
+            mean = (total[high + 1] - total[low]) / count
+            spread = np.sqrt(np.maximum(0.0, (square[high + 1] - square[low]) / count - mean * mean))
+            still = changes[high + 1] == changes[np.minimum(low + 1, high + 1)]
+            out += [pa.array(x[first] + mean, mask=none), pa.array(np.where(still, 0.0, spread), mask=none)]
+        names = [*batch.schema.names, "n", *(f"m{i}" for i in range(2 * columns))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), *out], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held and b > a and held[0].column(0)[0].as_py() != bucket[a]:
+                    yield of_bucket(pa.Table.from_batches(held))
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield of_bucket(pa.Table.from_batches(held))
+
+    return run
+
+
 def with_trailing_moments(df: DataFrame, columns: Sequence[str], last: int, keys: Sequence[str] = (), order: Sequence[str] = ("us", "id"), include_self: bool = True) -> DataFrame:
     """``df`` with ``n``, and ``{column}_mean`` and ``{column}_dev`` (population deviation) of each number in ``columns``
     over the ``last`` rows of the same keys, the row itself included or those before it. The columns hold no nulls.
 
-    Sums run through a bucket and the frame's is the difference of two of them, so a row costs the same for any frame.
-    Values are taken from the bucket's first one, and a frame in which nothing changes has a deviation of exactly 0.
+    A row costs the same for any frame; a task holds one bucket of rows at a time.
     """
     placed = with_halo(with_global_position(df, [*keys, *order]), last if not include_self else last - 1)
-    rows = Window.partitionBy("bucket", *keys).orderBy("pos")
-    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    skip = 0 if include_self else 1
-    nth = F.row_number().over(rows)
-    shifted = [(F.col(c) - F.first(c).over(upto)).alias(f"__x_{c}") for c in columns]
-    changes = [F.when(F.col(c) == F.lag(c).over(rows), 0).otherwise(1).alias(f"__d_{c}") for c in columns]
-    placed = placed.select("*", nth.alias("__nth"), *(F.first(c).over(upto).alias(f"__f_{c}") for c in columns), *shifted, *changes)
-    sums = [s.over(upto).alias(f"__{k}_{c}") for c in columns for k, s in (("s", F.sum(f"__x_{c}")), ("q", F.sum(F.col(f"__x_{c}") * F.col(f"__x_{c}"))), ("c", F.sum(f"__d_{c}")))]
-    placed = placed.select("*", *sums)
-
-    def frame(name: str) -> Column:
-        low = F.coalesce(F.lag(name, last + skip).over(rows), F.lit(0.0))
-        return (F.lag(name, skip).over(rows) if skip else F.col(name)) - low
-
-    framed = [f.alias(n) for c in columns for n, f in ((f"__fs_{c}", frame(f"__s_{c}")), (f"__fq_{c}", frame(f"__q_{c}")))]
-    # Changes after the frame's first row; before the bucket has so many rows its first row is the frame's.
-    first = lambda c: F.coalesce(F.lag(f"__c_{c}", last + skip - 1).over(rows), F.lit(1))
-    still = [((F.lag(f"__c_{c}", skip).over(rows) if skip else F.col(f"__c_{c}")) == first(c)).alias(f"__still_{c}") for c in columns]
-    placed = placed.select("*", F.least(F.col("__nth") - skip, F.lit(last)).cast("long").alias("n"), *framed, *still)
-    n = F.nullif(F.col("n"), F.lit(0))
-    out = []
-    for c in columns:
-        mean = F.col(f"__fs_{c}") / n
-        out += [(F.col(f"__f_{c}") + mean).alias(f"{c}_mean"), F.when(F.col(f"__still_{c}") & (F.col("n") > 0), 0.0).when(F.col("n") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col(f"__fq_{c}") / n - mean * mean))).alias(f"{c}_dev")]
-    return placed.filter("owned").select(*(f"`{c}`" for c in df.columns), "n", *out)
+    given = [F.col("bucket").alias("__bucket"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns))]
+    kept = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col("pos").alias("__pos"), F.col("owned").alias("__owned")]
+    rows = placed.select(*given, *kept).repartition("__bucket").sortWithinPartitions("__bucket", *(f"__k{i}" for i in range(len(keys))), "__pos")
+    schema = StructType([*rows.schema.fields, StructField("n", LongType()), *(StructField(f"m{i}", DoubleType()) for i in range(2 * len(columns)))])
+    found = rows.mapInArrow(_moments(len(keys), len(columns), last, 0 if include_self else 1), schema).filter("__owned")
+    named = [F.col(f"m{2 * i + j}").alias(f"{c}_{what}") for i, c in enumerate(columns) for j, what in enumerate(("mean", "dev"))]
+    return found.select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns), "n", *named)
 
 
 def with_earlier_counts(df: DataFrame, counts: Mapping[str, Sequence[str]], order: Sequence[str] = ("us", "id"), sums: Mapping[str, str] | None = None) -> DataFrame:
