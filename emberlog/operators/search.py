@@ -30,15 +30,18 @@ def paginate(df: DataFrame, page: int, size: int, order: Sequence[Column]) -> Da
 
 
 def severity_distribution(df: DataFrame) -> DataFrame:
+    """Rows per severity, in lower case."""
     return df.groupBy(F.lower(F.coalesce("severity", F.lit("unknown"))).alias("severity")).agg(F.count("*").alias("n"))
 
 
 def kpis(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
+    """One row of counts: critical and high alerts, all alerts, incidents."""
     counted = alerts.agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.count("*").alias("alerts"))
     return counted.join(F.broadcast(incidents.agg(F.count("*").alias("incidents"))), F.lit(True))
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``name, n``: the rows of each table."""
     out = None
     for name, df in tables.items():
         part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
@@ -47,4 +50,5 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def top(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order."""
     return df.orderBy(*order).limit(n)
