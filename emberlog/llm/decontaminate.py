@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.memory import give_back
 from emberlog.llm.tokens import texts_of
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -211,6 +212,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle_words: int
             index = _index(token, items, shingle_words, similarity)
             for batch in batches:
                 yield batch.filter(pa.array([not index.matches(text) for text in texts_of(batch.column(at))], pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(run, schema)
     return docs

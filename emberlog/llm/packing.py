@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
+from emberlog.llm.memory import give_back
 from emberlog.llm.names import unused
 from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs
 
@@ -51,6 +52,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(np.concatenate([[0], stops]).astype(np.int32), pa.array(got.ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     return run
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import new_path, stage
+from emberlog.llm.memory import give_back
 from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs
 
 
@@ -22,6 +23,7 @@ def _encode(tokenizer: str, end_id: int):
                 got = coder.encode_batch(texts, end)
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], got.ends]).astype(np.int32), pa.array(got.ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), ids], ["doc_id", "ids"])
+        give_back()
 
     return run
 

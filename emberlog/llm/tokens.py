@@ -30,9 +30,9 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: A single space between two other characters always begins a piece.
 _SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: Pieces in each of a cache's two generations; they bound a worker's memory (about 200 bytes a piece).
-CACHED_PIECES = 100_000
+CACHED_PIECES = 80_000
 #: Texts are taken together up to so many bytes; a longer one is taken alone.
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 3 << 20
 #: From this character on the library's own tables of Unicode classes decide where pieces are cut.
 PLAIN_BELOW = "ɐ"
 
