@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm.attribution import attribute_tokens
+from emberlog.llm.collocations import collocations
 from emberlog.llm.decontaminate import benchmark_matches
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.quality import quality_report
@@ -65,6 +66,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language; see :func:`~emberlog.llm.collocations.collocations` for odd rows."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS first FROM p)
@@ -97,9 +103,30 @@ FROM v
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM d),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang HAVING sum(len(w)) > 0),
+u AS (SELECT lang, id, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM p),
+v AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase FROM v UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM v WHERE w2 IS NOT NULL UNION ALL
+      SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM v WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM v WHERE w4 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, CAST(k AS BIGINT) AS k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, j.j, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (l.a + r.a) AS BIGINT) AS score
+      FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1) c JOIN range(1, 4) j(j) ON j.j < c.k
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : j.j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j.j + 1 :], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM s),
+h AS (SELECT DISTINCT lang, a, array_to_string(w[i.i : i.i + m.m - 1], ' ') AS phrase
+      FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 2) x JOIN range(2, 4) m(m) ON m.m < x.k JOIN range(1, 4) i(i) ON i.i + m.m - 1 <= x.k),
+q AS (SELECT b.* FROM b WHERE best = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.lang AND h.phrase = b.phrase AND CAST(100 AS HUGEINT) * h.a >= CAST(80 AS HUGEINT) * b.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, t.n, o.score FROM o JOIN t ON t.lang = o.lang WHERE o.rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op3_warc": OP3_SQL, "op7_quality_rules": OP7_SQL, "op13_collocations": OP13_SQL}
