@@ -12,6 +12,7 @@ from emberlog.llm.collocations import collocations
 from emberlog.llm.decontaminate import benchmark_matches
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.quality import quality_report
+from emberlog.llm.repair import repair_damaged
 from emberlog.llm.secrets import find_secrets
 from emberlog.llm.sharding import shard_rows
 from emberlog.llm.simhash import near_duplicates
@@ -71,6 +72,11 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation; see :func:`~emberlog.llm.repair.repair_damaged` for odd rows."""
+    return repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS first FROM p)
@@ -124,9 +130,45 @@ SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, t.n, o.score FROM o JOIN t ON t.
 """
 
 
+def _op12_sql() -> str:
+    """The same repairs from the last row back: ``b0`` to ``b3`` hold, by state, the cost in nine digits, the audit, a mark and the repaired lines."""
+    add = lambda x, cost, edit, line="''": f"lpad(CAST(CAST(substr({x}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{edit}' || substr({x}, 10, strpos({x}, chr(1)) - 9) || {line} || substr({x}, strpos({x}, chr(1)) + 1)"
+    never, none = "'900000000' || chr(1)", "'000000000' || chr(1)"
+    after, name, ins = (2, 2, 3, 2), {2: "user", 3: "assistant"}, lambda x, q: add(x, 2, "I", f"'{name[q]}:' || chr(10)")
+    keeps = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+    def opened(q: int) -> str:
+        kept = " ".join(f"WHEN NOT must AND initial = '{c}' THEN {add(f'b{r}', 'cut', 'K', 'line')}" for c, r in keeps[q].items())
+        same = f"WHEN NOT must AND initial = '' THEN {add(f'b{q}', 'cut', 'K', 'line')}"
+        moved = add(f"b{after[q]}", "2 + cut", "R", f"'{name[after[q]]}:' || text || chr(10)")
+        return f"least(CASE {kept} {same} ELSE {never} END, CASE WHEN must THEN {never} ELSE {moved} END, {add(f'b{q}', 3, 'D')})"
+
+    opens = ", ".join(f"{opened(q)} AS o{q}" for q in range(4))
+    return f"""
+WITH RECURSIVE n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+c AS (SELECT * EXCLUDE (k), xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, CAST(3988292384 AS BIGINT)) ELSE xor(a, x) >> 1 END), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM n),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
+r AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial, role || ':' || text || chr(10) AS line, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS next FROM m),
+f AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
+g AS (SELECT conv_id, i, initial, line, text, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM f),
+s AS (SELECT conv_id, coalesce(CAST(CAST(max(turn) AS HUGEINT) - min(turn) + 1 - count(DISTINCT turn) AS BIGINT), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+  count_if(next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+w AS (SELECT conv_id, n AS i, {none} AS b0, {ins(ins(none, 3), 2)} AS b1, {ins(none, 3)} AS b2, {none} AS b3 FROM s
+  UNION ALL SELECT conv_id, i - 1, least(o0, {ins('x2', 2)}), least(o1, {ins('x2', 2)}), x2, x3 FROM (SELECT *, least(o2, {ins('o3', 3)}) AS x2, least(o3, {ins('o2', 2)}) AS x3 FROM (SELECT w.conv_id, w.i, {opens} FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i) e) y)
+SELECT d.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, coalesce(CAST(substr(b0, 1, 9) AS BIGINT), 0) AS cost,
+  coalesce(substr(b0, 10, strpos(b0, chr(1)) - 10), '') AS audit, sha256(coalesce(substr(b0, strpos(b0, chr(1)) + 1, greatest(0, length(b0) - strpos(b0, chr(1)) - 1)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM d.conv_id AND w.i = 0
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts, op13_collocations)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts, op12_repair, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_quality_rules": OP7_SQL, "op13_collocations": OP13_SQL}
+    return {"op3_warc": OP3_SQL, "op7_quality_rules": OP7_SQL, "op12_repair": OP12_SQL, "op13_collocations": OP13_SQL}
