@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.attribution import attribute_tokens
 from emberlog.llm.collocations import collocations
+from emberlog.llm.cutting_stock import pack_cutting_stock
 from emberlog.llm.decontaminate import benchmark_matches
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.quality import quality_report
@@ -72,6 +73,11 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op11_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 ids; see :func:`~emberlog.llm.cutting_stock.pack_cutting_stock` for odd rows."""
+    return pack_cutting_stock(_table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every damaged conversation; see :func:`~emberlog.llm.repair.repair_damaged` for odd rows."""
     return repair_damaged(_table(spark, sf_dir, "conversations"))
@@ -167,7 +173,7 @@ OP12_SQL = _op12_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts, op12_repair, op13_collocations)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts, op11_cutting_stock, op12_repair, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
