@@ -124,9 +124,9 @@ def _languages(langs: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.encode(), 11) for x in distinct.dictionary.to_pylist()], np.uint64)[distinct.indices.to_numpy()]
 
 
-def _own(key: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Keys within their shard, as signed values."""
-    return _mixed(key + (shard.astype(np.uint64) + np.uint64(1)) * _MIX[0]).view(np.int64)
+def _salts(shards: int) -> np.ndarray:
+    """What a key is xor-ed with in each shard, as signed values."""
+    return _mixed(np.arange(1, shards + 1, dtype=np.uint64) * _MIX[0]).view(np.int64)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +139,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _local(n: int, frequent) -> Callable:
+def _local(n: int, shards: int, frequent) -> Callable:
     """Counts, block by block, of phrases of ``n`` words whose first and last words but one may be frequent in the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards, languages = batch.column(0).to_numpy(), _languages(batch.column(1))
+            shard, languages = batch.column(0).to_numpy(), _languages(batch.column(1))
+            salts = _salts(shards)[shard]
             for block in (Words(*x) for x in _blocks(batch.column(2))):
                 last = None
                 for m, (key, there) in enumerate(block.keys(languages), 1):
@@ -155,13 +156,12 @@ def _local(n: int, frequent) -> Callable:
                 if frequent is not None and len(at):
                     key0, there0 = last
                     kept = there0.copy()
-                    kept[there0] = may_hold(frequent.value, _own(key0[there0], shards[block.doc[there0]]))
+                    kept[there0] = may_hold(frequent.value, key0[there0].view(np.int64) ^ salts[block.doc[there0]])
                     at = at[kept[at] & kept[at + 1]]
-                own = _own(key[at], shards[block.doc[at]])
-                own, first, counts = np.unique(own, return_index=True, return_counts=True)
+                _, first, counts = np.unique(key[at].view(np.int64) ^ salts[block.doc[at]], return_index=True, return_counts=True)
                 docs = block.doc[at[first]]
-                columns = [pa.array(shards[docs]), batch.column(1).take(pa.array(docs)), pa.array(key[at[first]].view(np.int64)), pa.array(own), pa.array(counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "key", "own", "n"])
+                columns = [pa.array(shard[docs]), batch.column(1).take(pa.array(docs)), pa.array(key[at[first]].view(np.int64)), pa.array(counts.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "key", "n"])
         give_back()
 
     return run
@@ -203,7 +203,10 @@ def frequent_phrases(docs: DataFrame, support: int = 30, shards: int = SHARDS) -
     hashes and only choose what is counted: the last pass counts words, and every place of a phrase or none.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    given = docs.select(F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
+    # A shard is pieces of the files read, so that a task sees few shards; rows that come from no file are one shard.
+    shard = F.pmod(F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.lit(shards)).cast("int")
+    salts = F.array(*(F.lit(int(x)) for x in _salts(shards)))
+    given = docs.select(shard.alias("shard"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     context = docs.sparkSession.sparkContext
     sized = stage(given.mapInArrow(_word_counts, "shard int, lang string, n long").groupBy("shard", "lang").agg(F.sum("n").alias("n")), "phrase-words")
     totals = sized.groupBy("lang").agg(F.sum("n").alias("total")).filter("total > 0")
@@ -212,9 +215,10 @@ def frequent_phrases(docs: DataFrame, support: int = 30, shards: int = SHARDS) -
     limits = sized.filter("n > 0").join(totals, "lang").select("shard", "lang", least.alias("least"))
     frequent, found = None, None
     for n in range(1, LONGEST + 1):
-        rows = given.mapInArrow(_local(n, frequent), "shard int, lang string, key long, own long, n long")
-        counted = rows.groupBy("shard", "lang", "key", "own").agg(F.sum("n").alias("n"))
-        local = stage(counted.join(limits, ["shard", "lang"]).filter("n >= least").select("key", "own"), f"phrases-{n}")
+        rows = given.mapInArrow(_local(n, shards, frequent), "shard int, lang string, key long, n long")
+        counted = rows.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
+        own = F.col("key").bitwiseXOR(F.get(salts, F.col("shard"))).alias("own")
+        local = stage(counted.join(limits, ["shard", "lang"]).filter("n >= least").select("key", own), f"phrases-{n}")
         frequent = context.broadcast(bitmap_of(local.select(F.col("own").alias("hash"))))
         found = local.select("key") if found is None else found.unionByName(local.select("key"))
     union = context.broadcast(bitmap_of(found.select(F.col("key").alias("hash"))))

@@ -53,9 +53,10 @@ def test_against_brute_force(spark, support, monkeypatch):
     assert sorted(map(tuple, collocations(docs, support).collect())) == brute(rows, support)
 
 
-def test_all_shards_and_limits_give_the_same(spark):
+def test_all_shards_and_limits_give_the_same(spark, tmp_path):
     rows = rows_of(5)
-    docs = spark.createDataFrame(rows, "lang string, text string")
+    spark.createDataFrame(rows, "lang string, text string").repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     found = [sorted(map(tuple, frequent_phrases(docs, 10, shards)[0].collect())) for shards in (1, 40)]
     assert found[0] == found[1]
     assert sorted(map(tuple, collocations(docs, 3, most=4).collect())) == brute(rows, 3, 4)
