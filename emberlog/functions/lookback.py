@@ -90,12 +90,47 @@ def with_previous(df: DataFrame, columns: Mapping[str, str], keys: Sequence[str]
     return placed.select("*", *(F.lag(c).over(before).alias(n) for n, c in columns.items())).filter("owned").drop("bucket", "owned", "pos")
 
 
-def _moments(keys: int, columns: int, last: int, skip: int):
-    """Moments of rows ``bucket, keys..., numbers...`` that come sorted: the rows with ``n``, means and deviations after.
+def sliding_moments(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population deviations of the ``n`` values of each row of ``x`` from ``first`` on; NaN where ``n`` is 0.
 
-    Sums run through a bucket and a frame's is the difference of two of them. Numbers are taken from the first of their
-    keys, and a frame in which nothing changes has a deviation of exactly 0.
+    States of a mean and a sum of squares around it are merged (Chan) along a tree of blocks of 1, 2, 4, ... values; a
+    frame is the blocks of the bits of its length. A value, however large, so touches only the frames that hold it. Frames with
+    infinities or NaN have a deviation of NaN and the mean that numpy gives; in those where nothing changes it is 0.
     """
+    odd = ~np.isfinite(x)
+    counts = lambda flags: np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(flags, axis=1)], axis=1)
+    within = lambda sums, a, b: sums[:, b] - sums[:, a]
+    end, held = first + n, np.zeros(len(n), np.int64)
+    mean, squares = np.zeros((len(x), len(n))), np.zeros((len(x), len(n)))
+    block, around, size, at = np.where(odd, 0.0, x), np.zeros(x.shape), 1, end.copy()
+    with np.errstate(over="ignore", invalid="ignore"):
+        while True:
+            own = np.flatnonzero(n & size)
+            at[own] -= size
+            before, total = held[own], held[own] + size
+            step = mean[:, own] - block[:, at[own]]
+            squares[:, own] += around[:, at[own]] + step * step * (before * (size / total))
+            mean[:, own] = block[:, at[own]] + step * (before / total)
+            held[own] = total
+            if 2 * size > int(n.max(initial=0)):
+                break
+            step = block[:, size:] - block[:, :-size]
+            around = around[:, :-size] + around[:, size:] + step * step * (size / 2)
+            block, size = block[:, :-size] + step / 2, 2 * size
+        spread = np.sqrt(squares / np.maximum(n, 1))
+    if odd.any():
+        low, high, none = (within(counts(f), first, end) for f in (x == -np.inf, x == np.inf, np.isnan(x)))
+        mean = np.where(none + low * high > 0, np.nan, np.where(high > 0, np.inf, np.where(low > 0, -np.inf, mean)))
+        spread = np.where(low + high + none > 0, np.nan, spread)
+    changes = np.zeros(x.shape, bool)
+    changes[:, 1:] = x[:, 1:] != x[:, :-1]
+    changed = counts(changes)
+    still = (within(changed, np.minimum(first + 1, end), end) == 0) & ~np.isnan(spread)
+    return np.where(n > 0, mean, np.nan), np.where(n > 0, np.where(still, 0.0, spread), np.nan)
+
+
+def _moments(keys: int, columns: int, last: int, skip: int):
+    """Moments of rows ``bucket, keys..., numbers...`` that come sorted: the rows with ``n``, means and deviations after."""
 
     def of_bucket(table: pa.Table) -> pa.RecordBatch:
         batch = table.combine_chunks().to_batches()[0]
@@ -109,17 +144,9 @@ def _moments(keys: int, columns: int, last: int, skip: int):
         high = at - skip
         low = np.minimum(np.maximum(first, high - last + 1), high + 1)
         n = high + 1 - low
-        none, out = n == 0, []
-        for c in batch.columns[1 + keys : 1 + keys + columns]:
-            x = c.to_numpy(zero_copy_only=False)
-            d = x - x[first]
-            total, square = (np.concatenate([[0.0], np.cumsum(v)]) for v in (d, d * d))
-            changes = np.concatenate([[0], np.cumsum(np.concatenate([[0], x[1:] != x[:-1]]))])
-            count = np.maximum(n, 1)
-            mean = (total[high + 1] - total[low]) / count
-            spread = np.sqrt(np.maximum(0.0, (square[high + 1] - square[low]) / count - mean * mean))
-            still = changes[high + 1] == changes[np.minimum(low + 1, high + 1)]
-            out += [pa.array(x[first] + mean, mask=none), pa.array(np.where(still, 0.0, spread), mask=none)]
+        x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns[1 + keys : 1 + keys + columns]], float).reshape(columns, -1)
+        mean, spread = sliding_moments(x, low, n)
+        out = [pa.array(v, mask=n == 0) for pair in zip(mean, spread) for v in pair]
         names = [*batch.schema.names, "n", *(f"m{i}" for i in range(2 * columns))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), *out], names)
 
@@ -144,7 +171,8 @@ def with_trailing_moments(df: DataFrame, columns: Sequence[str], last: int, keys
     """``df`` with ``n``, and ``{column}_mean`` and ``{column}_dev`` (population deviation) of each number in ``columns``
     over the ``last`` rows of the same keys, the row itself included or those before it. The columns hold no nulls.
 
-    A row costs the same for any frame; a task holds one bucket of rows at a time.
+    A row's cost grows with the logarithm of the frame; a task holds one bucket of rows at a time. What an odd value does to
+    a frame is in :func:`sliding_moments`.
     """
     placed = with_halo(with_global_position(df, [*keys, *order]), last if not include_self else last - 1)
     given = [F.col("bucket").alias("__bucket"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -13,6 +14,8 @@ from emberlog.functions.lookback import with_trailing_counts, with_trailing_mome
 MATCH = "struct<rule_id:string,rule_type:string,severity:string,technique:string,priority:int,confidence:double,matched:string>"
 #: Rules of one array expression, so that its generated code stays below the method limit.
 CHUNK = 50
+# What a statistical rule takes where it says nothing else.
+Z_THRESHOLD, MIN_SAMPLES = 3.0, 30
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,11 @@ def _equal(df: DataFrame, name: str, value) -> Column:
     return F.lower(_text(df, name)) == str(value).lower()
 
 
+def helper(spec: RuleSpec) -> str:
+    """The column that holds what a rule's window gives. Ids may hold anything, so that it is named by a digest."""
+    return "__" + hashlib.md5(repr((spec.id, spec.type, sorted(spec.condition.items(), key=repr))).encode()).hexdigest()[:16]
+
+
 def signature(df: DataFrame, spec: RuleSpec) -> tuple[Column, Column, Column]:
     """Equality of a field, and of further ones, without regard to case; null counts as the empty string."""
     c = spec.condition
@@ -86,13 +94,13 @@ def threshold(df: DataFrame, spec: RuleSpec) -> tuple[Column, Column, Column]:
     counted = _text(df, c["field"]) != ""
     for name, value in c.get("filter", {}).items():
         counted = counted & _equal(df, name, value)
-    n = F.col(f"__{spec.id}_n")
+    n = F.col(helper(spec))
     return counted & (n >= c["threshold"]), F.least(F.lit(1.0), n / (2.0 * c["threshold"])), _text(df, c["field"])
 
 
 def statistical(df: DataFrame, spec: RuleSpec) -> tuple[Column, Column, Column]:
-    """The z-score of a number against the last 1000 values, its own included."""
-    limit, z = float(spec.condition["z_threshold"]), F.col(f"__{spec.id}_z")
+    """The z-score of a number against the last 1000 values, its own included; a limit of 3 where none is given."""
+    limit, z = float(spec.condition.get("z_threshold", Z_THRESHOLD)), F.col(helper(spec))
     return z >= limit, F.least(F.lit(1.0), (z - limit) / limit + 0.6), _text(df, spec.condition["field"])
 
 
@@ -106,22 +114,22 @@ def with_threshold_count(df: DataFrame, spec: RuleSpec) -> DataFrame:
     counted = _text(df, c["field"]) != ""
     for name, value in c.get("filter", {}).items():
         counted = counted & _equal(df, name, value)
-    key = f"__{spec.id}"
+    key = helper(spec)
     # Rows that don't count get keys of their own, so that no partition gathers them.
     keyed = df.withColumn(f"{key}_k", F.when(counted, _text(df, c["field"])).otherwise(F.concat(F.lit("\0"), F.col("id").cast("string"))))
-    return with_trailing_counts(keyed, {f"{key}_n": [f"{key}_k"]}, int(c["window_seconds"] * 1_000_000)).drop(f"{key}_k")
+    return with_trailing_counts(keyed, {key: [f"{key}_k"]}, int(c["window_seconds"] * 1_000_000)).drop(f"{key}_k")
 
 
-def with_rolling_z(df: DataFrame, field_name: str, out: str, min_samples: int = 50, last: int = 1000, keys: Sequence[str] = (), order: Sequence[str] = ("us", "id")) -> DataFrame:
+def with_rolling_z(df: DataFrame, field_name: str, out: str, min_samples: int = MIN_SAMPLES, last: int = 1000, keys: Sequence[str] = (), order: Sequence[str] = ("us", "id")) -> DataFrame:
     """``out``: |x - mean| / population deviation against the last ``last`` rows with a number, per ``keys`` or over all.
 
-    Null below ``min_samples``, where nothing varies, and in rows without a number. Rows go by pieces of the order, each
+    Null below ``min_samples``, where nothing varies, where the frame holds an infinity or NaN, and in rows without a number. Rows go by pieces of the order, each
     with the ``last`` rows before it, so that neither the whole nor a key is one task's.
     """
     numbers = df.withColumn(out, value_of(df, field_name).try_cast("double"))
     known = with_trailing_moments(numbers.filter(F.col(out).isNotNull()), [out], last, keys, order)
     deviation = F.col(f"{out}_dev")
-    z = F.when((F.col("n") >= min_samples) & (deviation > 0), F.abs(F.col(out) - F.col(f"{out}_mean")) / F.nullif(deviation, F.lit(0.0)))
+    z = F.when((F.col("n") >= min_samples) & (deviation > 0) & ~F.isnan(deviation), F.abs(F.col(out) - F.col(f"{out}_mean")) / F.nullif(deviation, F.lit(0.0)))
     scored = known.select(*(f"`{c}`" for c in df.columns), z.alias(out))
     return scored.unionByName(numbers.filter(F.col(out).isNull()))
 
@@ -137,10 +145,12 @@ def evaluate_rules(df: DataFrame, rules: Sequence[RuleSpec] = BUILTIN_RULES, com
     active = sorted((r for r in rules if r.enabled), key=lambda r: -r.priority)
     columns = df.columns
     for r in active:
+        if helper(r) in df.columns:  # the same rule twice
+            continue
         if r.type == "threshold":
             df = with_threshold_count(df, r)
         elif r.type == "statistical":
-            df = with_rolling_z(df, r.condition["field"], f"__{r.id}_z", r.condition.get("min_samples", 50), 1000, r.condition.get("keys", ()))
+            df = with_rolling_z(df, r.condition["field"], helper(r), r.condition.get("min_samples", MIN_SAMPLES), 1000, r.condition.get("keys", ()))
     found = []
     for r in active:
         fits, confidence, matched = compilers[r.type](df, r)

@@ -77,7 +77,8 @@ def extract_features(df: DataFrame) -> DataFrame:
 
 def entity_z(df: DataFrame, keys: Sequence[str] = ("host", "source", "user_id"), features: Sequence[str] = FEATURES, last: int = 500, least: int = 10) -> DataFrame:
     """``id, z``: the mean |z| of an event's features against the ``last`` events before it of each of its entities,
-    averaged over the entities with ``least`` such events; null without one. ``entity_scores`` has a fifth of each
+    averaged over the entities with ``least`` such events; null without one. Features whose frame holds an infinity or
+    NaN are left out. ``entity_scores`` has a fifth of each
     entity's, at most 1."""
     melted, columns = None, [f"f_{f}" for f in features]
     for k in keys:
@@ -86,7 +87,8 @@ def entity_z(df: DataFrame, keys: Sequence[str] = ("host", "source", "user_id"),
         melted = part if melted is None else melted.unionAll(part)
     before = with_trailing_moments(melted, columns, last, ["entity"], include_self=False)
     z = [F.abs(F.col(c) - F.col(f"{c}_mean")) / (F.coalesce(F.col(f"{c}_dev"), F.lit(0.0)) + 1e-6) for c in columns]
-    mean = F.aggregate(F.array(*z), F.lit(0.0), lambda a, x: a + x) / len(columns)
+    known = F.filter(F.array(*z), lambda v: ~F.isnan(v))
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
     scored = before.select("id", F.when(F.col("n") >= least, mean).alias("z"))
     return scored.groupBy("id").agg(F.round(F.avg("z"), 6).alias("z"), F.collect_list(F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), F.col("z") / 5))).alias("entity_scores"))
 
