@@ -117,7 +117,7 @@ FROM v
 
 OP13_SQL = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
-p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM d),
+p AS (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM d),
 t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang HAVING sum(len(w)) > 0),
 u AS (SELECT lang, id, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM p),
 v AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
@@ -156,14 +156,14 @@ c AS (SELECT * EXCLUDE (k), xor(list_reduce(list_prepend(CAST(4294967295 AS BIGI
   lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, CAST(3988292384 AS BIGINT)) ELSE xor(a, x) >> 1 END), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM n),
 m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
 r AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial, role || ':' || text || chr(10) AS line, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS next FROM m),
-f AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS next FROM m),
+f AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
 g AS (SELECT conv_id, i, initial, line, text, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM f),
 s AS (SELECT conv_id, coalesce(CAST(CAST(max(turn) AS HUGEINT) - min(turn) + 1 - count(DISTINCT turn) AS BIGINT), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
   count_if(next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
 w AS (SELECT conv_id, n AS i, {none} AS b0, {ins(ins(none, 3), 2)} AS b1, {ins(none, 3)} AS b2, {none} AS b3 FROM s
   UNION ALL SELECT conv_id, i - 1, least(o0, {ins('x2', 2)}), least(o1, {ins('x2', 2)}), x2, x3 FROM (SELECT *, least(o2, {ins('o3', 3)}) AS x2, least(o3, {ins('o2', 2)}) AS x3 FROM (SELECT w.conv_id, w.i, {opens} FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i) e) y)
-SELECT d.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, coalesce(CAST(substr(b0, 1, 9) AS BIGINT), 0) AS cost,
+SELECT d.conv_id, coalesce(s.gaps, 0) AS gaps, CAST(coalesce(s.blank, 0) AS BIGINT) AS blank, CAST(coalesce(s.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(s.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(s.illegal, 0) AS BIGINT) AS illegal, coalesce(CAST(substr(b0, 1, 9) AS BIGINT), 0) AS cost,
   coalesce(substr(b0, 10, strpos(b0, chr(1)) - 10), '') AS audit, sha256(coalesce(substr(b0, strpos(b0, chr(1)) + 1, greatest(0, length(b0) - strpos(b0, chr(1)) - 1)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM d.conv_id AND w.i = 0
 """
