@@ -56,6 +56,29 @@ def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return stage(sorted_rows.select("*", F.shiftright(place, 33).cast("int").alias("__part"), place.bitwiseAND(F.lit(_POSITION)).alias("__at")), "ordered")
 
 
+def with_rank(df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``name``, a row's number among those of the same keys in ``order``, from 1. Null keys are keys like others.
+
+    Rows are dealt by ranges of keys and order: a row's number is that within its range plus the rows of its keys in the
+    ranges before, of which there is one count each.
+    """
+    rows = in_ranges(df, [*keys, *order])
+    own = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__part", *keys).orderBy("__at"))
+    found = joined(rows.withColumn("__in", within), own.select(*keys, "__part", before.alias("__base")), [*keys, "__part"])
+    return found.select(*(f"`{c}`" for c in df.columns), (F.col("__in") + F.col("__base")).cast("long").alias(name))
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``table`` where all ``keys`` are the same; nulls are the same."""
+    other = table.select(*(F.col(f"`{c}`").alias(f"__k_{c}" if c in keys else c) for c in table.columns))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__k_{k}`"))
+    return rows.join(other, same, how).drop(*(f"__k_{k}" for k in keys))
+
+
 def with_global_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``df`` with ``pos``, its place in one global order, from 0, without bringing all rows to one task.
 

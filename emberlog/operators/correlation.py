@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.lookback import with_previous
+from emberlog.functions.lookback import in_ranges, joined, with_previous
 from emberlog.functions.storage import stage
 from emberlog.operators.components import connected_components
 from emberlog.operators.scoring import mapped
@@ -227,35 +227,63 @@ def match_chains(df: DataFrame, scope: Sequence[str] = ("ip_address",), raw: str
     return joined.select(*keys, "matched", ratio.alias("ratio"), confidence.alias("confidence"), (ratio < 1).alias("is_partial")).filter("ratio >= 0.5")
 
 
+# Words of privileged actions, points of a session's anomalies.
 PRIVILEGE_WORDS = ("sudo", "su ", "runas", "admin", "root", "privilege", "elevated", "setuid")
 SESSION_POINTS = {"burst_activity": 2.5, "privilege_escalation": 3.0, "abnormal_duration": 1.5, "impossible_travel": 4.0}
+_PART, _AT = "__part", "__at"
 
 
-def sessionize(df: DataFrame, timeout_us: int = 1_800_000_000) -> DataFrame:
+def session_key(raw_id: str = "id") -> Column:
+    """Address, user and host as one text; an event with neither address nor user has its own."""
+    empty = (F.coalesce("ip_address", F.lit("")) == "") & (F.coalesce("user_id", F.lit("")) == "")
+    return F.concat_ws("|", F.coalesce("ip_address", F.lit("")), F.coalesce("user_id", F.lit("")), F.coalesce("host", F.lit("")), F.when(empty, F.col(raw_id)))
+
+
+def sessionize(df: DataFrame, timeout_us: int = 1_800_000_000, keep_parts: bool = False) -> DataFrame:
     """``df`` with ``session``: a new one after a gap of over ``timeout_us`` in one (address, user, host).
 
-    A gap of exactly the time-out stays. An event with neither address nor user is a session by itself.
+    A gap of exactly the time-out stays. An event with neither address nor user is a session by itself; so is one without
+    a time. A segmented scan: rows are dealt by ranges of key and time; a range tells of each of its keys the first and
+    last time and how many sessions begin inside, and over these rows, one a key and range, the numbers go on. So no
+    key is one task's. ``keep_parts`` leaves range and place (``__part``, ``__at``) for :func:`session_summary`.
     """
-    empty = (F.coalesce("ip_address", F.lit("")) == "") & (F.coalesce("user_id", F.lit("")) == "")
-    key = F.concat_ws("|", F.coalesce("ip_address", F.lit("")), F.coalesce("user_id", F.lit("")), F.coalesce("host", F.lit("")), F.when(empty, F.col("id")))
-    order = Window.partitionBy("__key").orderBy("us", "id")
-    new = F.when(F.col("us") - F.lag("us").over(order) <= timeout_us, 0).otherwise(1)
-    rows = df.withColumn("__key", key).withColumn("__new", new).withColumn("__nth", F.sum("__new").over(order))
-    return rows.withColumn("session", F.concat_ws("#", "__key", "__nth")).drop("__key", "__new", "__nth")
+    rows = in_ranges(df.withColumn("__key", session_key()), ["__key", "us", "id"])
+    inside = Window.partitionBy(_PART, "__key").orderBy(_AT)
+    begins = lambda gap: F.when(gap <= timeout_us, 0).otherwise(1)
+    rows = rows.withColumn("__new", F.when(F.row_number().over(inside) == 1, 0).otherwise(begins(F.col("us") - F.lag("us").over(inside)))).withColumn("__in", F.sum("__new").over(inside))
+    ends = rows.groupBy("__key", _PART).agg(F.min_by("us", _AT).alias("lo"), F.max("us").alias("hi"), F.sum("__new").alias("new"))
+    along = Window.partitionBy("__key").orderBy(_PART)
+    ends = ends.withColumn("first", begins(F.col("lo") - F.lag("hi").over(along)))
+    before = F.coalesce(F.sum(F.col("first") + F.col("new")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("first")
+    placed = joined(rows, ends.select("__key", _PART, before.alias("__base")), ["__key", _PART])
+    kept = [f"`{c}`" for c in df.columns] + [_PART, _AT] * keep_parts
+    return placed.select(*kept, F.concat_ws("#", "__key", F.col("__base") + F.col("__in")).alias("session"))
 
 
 def session_summary(events: DataFrame, raw: str = "message", burst_per_minute: float = 60, travel_hours: float = 1500 / 700) -> DataFrame:
-    """One row per session: count, times, the four anomalies, ``risk`` 0-10. Anomalies are tested at each event."""
-    order = Window.partitionBy("session").orderBy("us", "id")
-    seconds = (F.col("us") - F.min("us").over(order)) / 1e6
-    rate = F.row_number().over(order) / F.nullif(seconds / 60, F.lit(0.0))
+    """One row per session: count, times, the four anomalies, ``risk`` 0-10. Anomalies are tested at each event.
+
+    Rows lie in ranges, as :func:`sessionize` leaves them, or are dealt so. A range knows of each session it holds how many
+    events, the first time and the last place; what the ranges before bring along is put together over one row a session
+    and range, and every event is then tested where it lies.
+    """
+    rows = events if {_PART, _AT} <= set(events.columns) else in_ranges(events, ["session", "us", "id"])
     text = F.lower(F.coalesce(F.nullif(F.col(raw), F.lit("")), "event_type", F.lit("")))
     privileged = F.lit(False)
     for w in PRIVILEGE_WORDS:
         privileged = privileged | text.contains(w)
     located = F.when(F.coalesce("country", F.lit("")) != "", F.struct("country", "us"))
-    last = F.last(located, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = events.withColumn("__burst", (seconds >= 1) & (rate > burst_per_minute)).withColumn("__priv", privileged).withColumn("__last", last)
+    rows = rows.select("session", _PART, _AT, "us", "country", privileged.alias("__priv"), located.alias("__place"))
+    ends = rows.groupBy("session", _PART).agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max_by("__place", F.when(F.col("__place").isNotNull(), F.col(_AT))).alias("place"))
+    before = Window.partitionBy("session").orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    brought = [F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.min("lo").over(before).alias("__lo"), F.last("place", ignorenulls=True).over(before).alias("__from")]
+    rows = joined(rows, ends.select("session", _PART, *brought), ["session", _PART])
+    inside = Window.partitionBy(_PART, "session").orderBy(_AT)
+    start = F.least("__lo", F.min("us").over(inside))
+    seconds = (F.col("us") - start) / 1e6
+    rate = (F.col("__n") + F.row_number().over(inside)) / F.nullif(seconds / 60, F.lit(0.0))
+    last = F.coalesce(F.last("__place", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__from"))
+    rows = rows.withColumn("__burst", (seconds >= 1) & (rate > burst_per_minute)).withColumn("__last", last)
     jump = (F.col("__last.country") != F.col("country")) & ((F.col("us") - F.col("__last.us")) / 3.6e9 < travel_hours)
     flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     found = rows.groupBy("session").agg(F.count("*").alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), flag(F.col("__burst")).alias("burst_activity"), flag(F.col("__priv")).alias("privilege_escalation"), flag(jump & (F.col("country") != "")).alias("impossible_travel"))

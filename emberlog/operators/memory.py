@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.lookback import with_rank
 from emberlog.functions.storage import stage
 from emberlog.operators.correlation import entity_groups
 from emberlog.operators.intel import dimension, extract_iocs
@@ -45,6 +48,8 @@ PRIVILEGE = r"(?i)\b(root|admin(?:istrat(?:or|ive))?|sudo|su\b|privilege|elevate
 STAMP = r"\b(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:?\d{2})?\b"
 #: Weights of one block of queries, and vectors of one, that the driver and each worker hold.
 BLOCK_TERMS, BLOCK_VECTORS = 1_000_000, 4096
+#: Cells of texts and queries, and products of weights, that a task holds at once.
+CELLS = 4_000_000
 
 
 def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -69,14 +74,16 @@ class _Best:
         self.k, self.held = k, [[] for _ in range(queries)]
         self.least = np.full(queries, -np.inf)
 
-    def add(self, key, scores: np.ndarray, wanted: np.ndarray) -> None:
-        for q in np.flatnonzero(wanted & (scores >= self.least)).tolist():
-            own = self.held[q]
-            own.append((-float(scores[q]), key))
-            own.sort()
-            del own[self.k :]
-            if len(own) == self.k:
-                self.least[q] = -own[-1][0]
+    def extend(self, at: np.ndarray, scores: np.ndarray, keys: list) -> None:
+        """Add scores of queries ``at``, which rise."""
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        negated = (-scores).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                q = int(at[a])
+                self.held[q] = heapq.nsmallest(self.k, [*self.held[q], *zip(negated[a:b], keys[a:b])])
+                if len(self.held[q]) == self.k:
+                    self.least[q] = -self.held[q][-1][0]
 
 
 def _blocks(queries: DataFrame, rows: int, most: int) -> Iterator[list]:
@@ -103,23 +110,37 @@ def similar_texts(corpus: DataFrame, queries: DataFrame, key: str, text: str, k:
     kind, found = dict(corpus.dtypes)[key], []
     for rows in _blocks(asked, asked.count(), block_terms):
         names = sorted({r["query"] for r in rows})
-        at, postings = {q: i for i, q in enumerate(names)}, {}
-        for r in rows:
-            postings.setdefault(r["term"], ([], []))[0].append(at[r["query"]])
-            postings[r["term"]][1].append(r["q"])
-        held = corpus.sparkSession.sparkContext.broadcast((names, {t: (np.array(i), np.array(w)) for t, (i, w) in postings.items()}))
+        at, terms = {q: i for i, q in enumerate(names)}, sorted({r["term"] for r in rows})
+        place = {t: i for i, t in enumerate(terms)}
+        entries = sorted((place[r["term"]], at[r["query"]], r["q"]) for r in rows)
+        begins = np.searchsorted([e[0] for e in entries], np.arange(len(terms) + 1))
+        held = corpus.sparkSession.sparkContext.broadcast((names, pa.array(terms), begins, np.array([e[1] for e in entries]), np.array([e[2] for e in entries])))
 
         def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, postings = held.value
+            names, terms, begins, owners, weights = held.value
             best = _Best(len(names), k)
             for batch in batches:
-                for key, norm, terms, ws in zip(*(c.to_pylist() for c in batch.columns)):
-                    dots = np.zeros(len(names))
-                    for t, w in zip(terms, ws):
-                        if t in postings:
-                            i, q = postings[t]
-                            dots[i] += w * q
-                    best.add(key, np.round(dots / norm, 6), dots > 0)
+                keys, norms, lists = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2)
+                codes = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy()
+                ws, ends = batch.column(3).flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+                counts = np.where(codes < 0, 0, begins[codes + 1] - begins[codes])
+                products = np.concatenate([[0], np.cumsum(counts)])
+                first = 0
+                while first < len(keys):
+                    # Texts from ``first`` to ``last``: so many that their products and cells stay bounded, one at least.
+                    low = ends[first - 1] if first else 0
+                    last = int(np.searchsorted(products[ends], products[low] + CELLS, "right"))
+                    last = min(max(last, first + 1), first + max(1, CELLS // len(names)))
+                    own = np.arange(low, ends[last - 1])
+                    n = counts[own]
+                    entry = np.arange(n.sum()) + np.repeat(begins[codes[own]] - (np.cumsum(n) - n), n)
+                    text = np.searchsorted(ends, own, "right") - first
+                    cells = np.repeat(text, n) + owners[entry] * (last - first)
+                    dots = np.bincount(cells, np.repeat(ws[own], n) * weights[entry], (last - first) * len(names)).reshape(len(names), -1)
+                    scores = np.round(dots / norms[first:last], 6)
+                    q, i = np.nonzero((dots > 0) & (scores >= best.least[:, None]))
+                    best.extend(q, scores[q, i], [keys[first + j] for j in i.tolist()])
+                    first = last
             out = [(names[q], key, -s) for q, own in enumerate(best.held) for s, key in own]
             yield pa.RecordBatch.from_pylist([dict(zip(("query", "key", "similarity"), r)) for r in out], schema)
 
@@ -171,18 +192,14 @@ def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int
                     part = batch.slice(begin, 1024)
                     own = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
                     keys = part.column(0).to_pylist()
-                    rough = lengths[:, None] - 2 * asked @ own.T + (own * own).sum(axis=1)
-                    # A row's rank in a chunk is certain but for rounding: a few more than k are worked out exactly.
-                    most = min(k + 8, rough.shape[1])
-                    chosen = np.argpartition(rough, most - 1, axis=1)[:, :most]
-                    exact = ((own[chosen] - asked[:, None, :]) ** 2).sum(axis=2)
-                    for j in range(most):
-                        scores = -exact[:, j]
-                        for q in np.flatnonzero(scores >= best.least).tolist():
-                            entry = (-float(scores[q]), keys[chosen[q, j]])
-                            best.held[q] = sorted([*best.held[q], entry])[:k]
-                            if len(best.held[q]) == k:
-                                best.least[q] = -best.held[q][-1][0]
+                    squares = (own * own).sum(axis=1)
+                    rough = lengths[:, None] - 2 * asked @ own.T + squares
+                    # What may be among the k nearest but for rounding, ties too, is worked out exactly.
+                    slack = 8 * (own.shape[1] + 4) * np.finfo(float).eps * (lengths[:, None] + squares.max(initial=0))
+                    most = min(k, rough.shape[1])
+                    limit = np.minimum(np.partition(rough, most - 1, axis=1)[:, most - 1], -best.least)
+                    at, chosen = np.nonzero(rough <= limit[:, None] + 2 * slack)
+                    best.extend(at, -((own[chosen] - asked[at]) ** 2).sum(axis=1), [keys[i] for i in chosen.tolist()])
             out = [(names[q], key, d) for q, own in enumerate(best.held) for d, key in own]
             yield pa.RecordBatch.from_pylist([dict(zip(("query", "key", "distance"), r)) for r in out], schema)
 
@@ -262,9 +279,9 @@ def written_time(text: Column) -> Column:
 
 
 def incident_timeline(df: DataFrame, incident: str, text: str) -> DataFrame:
-    """``incident, at, nth``: the first time written in each text, in order."""
+    """``incident, at, nth``: the first time written in each text, in order of time and text. No incident is one task's."""
     rows = df.select(incident, written_time(F.col(text)).alias("at"), text).filter("at IS NOT NULL")
-    return rows.select(incident, "at", F.row_number().over(Window.partitionBy(incident).orderBy("at", text)).alias("nth"))
+    return with_rank(rows, "nth", [incident], ["at", text]).select(incident, "at", "nth")
 
 
 def dwell_hours(timeline: DataFrame, incident: str) -> DataFrame:
@@ -284,8 +301,8 @@ def merged_report(df: DataFrame, incident: str, text: str, key: str = "id") -> D
     """
     kind = classify(F.col(text))
     rows = df.select(key, incident, text, "ip_address", "user_id", "host", kind["category"].alias("category"), kind["severity"].alias("points"))
-    worst = F.max_by("category", F.struct("points", -F.ascii("category"), -F.length("category")))
-    base = rows.groupBy(incident).agg(worst.alias("category"), F.max("points").alias("severity"), F.nullif(F.avg(F.when(F.col("category") == "unknown", 0.0).otherwise(1.0)), F.lit(0.0)).alias("known"))
+    worst = F.min(F.struct((-F.col("points")).alias("points"), "category"))
+    base = rows.groupBy(incident).agg(worst["category"].alias("category"), F.max("points").alias("severity"), F.nullif(F.avg(F.when(F.col("category") == "unknown", 0.0).otherwise(1.0)), F.lit(0.0)).alias("known"))
     named = rows.select(incident, "category").distinct().join(F.broadcast(category_techniques(df.sparkSession)), "category").filter("category <> 'unknown'")
     techniques = named.groupBy(incident).agg(F.array_sort(F.collect_set("technique")).alias("techniques"))
     iocs = extract_iocs(rows.select(incident, text), F.col(text), incident).distinct().groupBy(incident).agg(F.count("*").alias("n_indicators"))

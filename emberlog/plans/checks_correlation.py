@@ -147,33 +147,37 @@ z AS (SELECT user_id, nth, count(*) AS n, date_diff('microsecond', min(ts), max(
 SIX = 6 * 3_600_000_000
 
 
+#: A session's name: address, user and host with the session's number.
+SESSION_ID = "'192.0.2.' || CAST(CAST(substr(user_id, 2) AS BIGINT) % 60 AS VARCHAR) || '|' || user_id || '|h' || CAST(CAST(substr(user_id, 2) AS BIGINT) % 20 AS VARCHAR) || '#' || CAST(nth AS VARCHAR) AS session"
+
+
 def _sessions(spark, sf_dir):
-    return c.session_summary(c.sessionize(sec_events(spark, sf_dir), SIX), burst_per_minute=0.05)
+    return c.session_summary(c.sessionize(sec_events(spark, sf_dir), SIX, keep_parts=True), burst_per_minute=0.05)
 
 
-@query(SESSIONS + " SELECT n, count(*) AS sessions FROM z GROUP BY n")
+@query(SESSIONS + f" SELECT {SESSION_ID}, n, round(sec, 3) AS seconds FROM z")
 def e1_sessions(spark, sf_dir):
-    return _sessions(spark, sf_dir).groupBy("n").agg(F.count("*").alias("sessions"))
+    return _sessions(spark, sf_dir).select("session", "n", F.round((F.col("end_us") - F.col("start_us")) / 1e6, 3).alias("seconds"))
 
 
-@query(SESSIONS + " SELECT coalesce(burst, false) AS burst, priv, count(*) AS n FROM z GROUP BY 1, 2")
+@query(SESSIONS + f" SELECT {SESSION_ID}, coalesce(burst, false) AS burst, priv FROM z")
 def e2_e3_burst_and_privilege(spark, sf_dir):
-    return _sessions(spark, sf_dir).groupBy(F.col("burst_activity").alias("burst"), F.col("privilege_escalation").alias("priv")).agg(F.count("*").alias("n"))
+    return _sessions(spark, sf_dir).select("session", F.col("burst_activity").alias("burst"), F.col("privilege_escalation").alias("priv"))
 
 
-@query(SESSIONS + " SELECT sec > 28800 AS long, coalesce(jump, false) AS jump, count(*) AS n FROM z GROUP BY 1, 2")
+@query(SESSIONS + f" SELECT {SESSION_ID}, sec > 28800 AS long, coalesce(jump, false) AS jump FROM z")
 def e4_e5_duration_and_travel(spark, sf_dir):
-    return _sessions(spark, sf_dir).groupBy(F.col("abnormal_duration").alias("long"), F.col("impossible_travel").alias("jump")).agg(F.count("*").alias("n"))
+    return _sessions(spark, sf_dir).select("session", F.col("abnormal_duration").alias("long"), F.col("impossible_travel").alias("jump"))
 
 
-@query(SESSIONS + """ SELECT round(least(10.0, CASE WHEN burst THEN 2.5 ELSE 0 END + CASE WHEN priv THEN 3.0 ELSE 0 END + CASE WHEN sec > 28800 THEN 1.5 ELSE 0 END + CASE WHEN jump THEN 4.0 ELSE 0 END + least(2.0, n * 0.02)), 2) AS risk, count(*) AS n FROM z GROUP BY 1""")
+@query(SESSIONS + f""" SELECT {SESSION_ID}, round(least(10.0, CASE WHEN burst THEN 2.5 ELSE 0 END + CASE WHEN priv THEN 3.0 ELSE 0 END + CASE WHEN sec > 28800 THEN 1.5 ELSE 0 END + CASE WHEN jump THEN 4.0 ELSE 0 END + least(2.0, n * 0.02)), 2) AS risk FROM z""")
 def e6_session_risk(spark, sf_dir):
-    return _sessions(spark, sf_dir).groupBy("risk").agg(F.count("*").alias("n"))
+    return _sessions(spark, sf_dir).select("session", "risk")
 
 
-@query(SESSIONS + """, w AS (SELECT user_id, nth, max(ts) AS last FROM s GROUP BY 1, 2) SELECT CASE WHEN TIMESTAMP '2024-01-20' - last > INTERVAL 6 HOUR THEN 'expired' ELSE 'open' END AS state, count(*) AS n FROM w GROUP BY 1""")
+@query(SESSIONS + f""", w AS (SELECT user_id, nth, max(ts) AS last FROM s GROUP BY 1, 2) SELECT {SESSION_ID}, CASE WHEN TIMESTAMP '2024-01-20' - last > INTERVAL 6 HOUR THEN 'expired' ELSE 'open' END AS state FROM w""")
 def e7_session_states(spark, sf_dir):
-    return c.session_states(_sessions(spark, sf_dir), 1_705_708_800_000_000, SIX).groupBy("state").agg(F.count("*").alias("n"))
+    return c.session_states(_sessions(spark, sf_dir), 1_705_708_800_000_000, SIX).select("session", "state")
 
 
 TRADE = ", o AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS src, 'n' || CAST(c_nationkey AS VARCHAR) AS dst FROM orders JOIN customer ON o_custkey = c_custkey)"

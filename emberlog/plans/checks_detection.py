@@ -71,7 +71,7 @@ def r4_statistical_rule_global(spark, sf_dir):
 
 @query(ROLLED.replace("(ORDER BY ts", "(PARTITION BY event_type ORDER BY ts") + " SELECT id, round(z, 6) AS z FROM z WHERE z >= 2.0")
 def r4_statistical_rule_keyed(spark, sf_dir):
-    df = rules.with_rolling_z(sec_events(spark, sf_dir), "bytes", "z", keys=["event_type"])
+    df = rules.with_rolling_z(sec_events(spark, sf_dir), "bytes", "z", 50, keys=["event_type"])
     return df.filter("z >= 2.0").select("id", F.round("z", 6).alias("z"))
 
 

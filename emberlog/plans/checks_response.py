@@ -208,7 +208,7 @@ def x4_timeline_dwell(spark, sf_dir):
 
 
 @query(NAMED + """, w AS (SELECT *, 'at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' user=' || user_id || ' from ' || ip_address || ' ' || line AS t FROM k),
-s AS (SELECT host, max(points) AS severity, arg_max(category, points * 1000 - ascii(category)) AS category, avg(CASE WHEN category = 'unknown' THEN 0.0 ELSE 1.0 END) AS known FROM w JOIN z ON z.c = w.c GROUP BY host),
+s AS (SELECT host, max(points) AS severity, list(category ORDER BY points DESC, category)[1] AS category, avg(CASE WHEN category = 'unknown' THEN 0.0 ELSE 1.0 END) AS known FROM w JOIN z ON z.c = w.c GROUP BY host),
 n AS (SELECT host, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM w JOIN z ON z.c = w.c JOIN q ON q.category = z.category WHERE z.category <> 'unknown' GROUP BY host),
 v AS (SELECT host, count(DISTINCT ip_address) AS n_indicators, count(DISTINCT user_id) AS users, round(date_diff('microsecond', min(date_trunc('second', ts)), max(date_trunc('second', ts))) / 3.6e9, 3) AS dwell_hours FROM w GROUP BY host),
 i AS (SELECT ip_address AS x, 0.6 AS f FROM e GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT user_id, 0.55 FROM e GROUP BY 1 HAVING count(*) > 1),

@@ -72,21 +72,30 @@ def w3_stream_threshold(spark, sf_dir):
     return streams.run_to_table(streams.threshold_hits(_stream(spark, sf_dir), "user_id", 5, 86_400_000_000), "hits").select("id", "n")
 
 
-@query()
+def _closed(spark, sf_dir, batches: int = 1):
+    """The events as a stream in so many micro-batches, and an event a year later, in a batch of its own, that closes what they leave open."""
+    df = sec_events(spark, sf_dir)
+    path = new_path(spark, "events")
+    for i in range(batches):
+        df.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).coalesce(1).write.parquet(f"{path}/part={i}")
+    end = df.agg((F.max("us") + F.lit(365 * 86_400_000_000)).alias("us")).select(F.lit("end").alias("id"), "us", F.timestamp_micros("us").alias("ts"), *(F.lit("end").alias(c) for c in ("host", "user_id", "source", "event_type")))
+    df.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.parquet(f"{path}/part={batches}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+
+
+@query(""", l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, id) AS nth FROM l)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, nth""")
 def w4_stream_sessions(spark, sf_dir):
-    return streams.run_to_table(streams.sessions(_stream(spark, sf_dir), ["user_id"], "6 hours"), "sessions").groupBy("n").agg(F.count("*").alias("sessions"))
+    """All sessions, each as the watermark passes its end."""
+    got = streams.run_to_table(streams.sessions(_closed(spark, sf_dir), ["user_id"], "6 hours"), "sessions")
+    return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query(SESSIONS + """ SELECT user_id, n, round(sec, 3) AS seconds, coalesce(burst, false) AS burst, priv, sec > 28800 AS long, coalesce(jump, false) AS jump,
   round(least(10.0, CASE WHEN burst THEN 2.5 ELSE 0 END + CASE WHEN priv THEN 3.0 ELSE 0 END + CASE WHEN sec > 28800 THEN 1.5 ELSE 0 END + CASE WHEN jump THEN 4.0 ELSE 0 END + least(2.0, n * 0.02)), 2) AS risk FROM z""")
 def w4_stream_session_anomalies(spark, sf_dir):
     """All sessions: an event a year later closes those that the events leave open."""
-    df = sec_events(spark, sf_dir)
-    path = new_path(spark, "events")
-    df.coalesce(1).write.parquet(f"{path}/part=1")
-    end = df.agg((F.max("us") + F.lit(365 * 86_400_000_000)).alias("us")).select(F.lit("end").alias("id"), "us", F.timestamp_micros("us").alias("ts"), F.lit("end").alias("host"), F.lit("end").alias("user_id"))
-    df.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.parquet(f"{path}/part=2")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    stream = _closed(spark, sf_dir)
     got = streams.run_to_table(streams.session_anomalies(stream, SIX, burst_per_minute=0.05), "session-anomalies")
     user = F.split("key", r"\|")[1].alias("user_id")
     return got.select(user, "n", F.round((F.col("end_us") - F.col("start_us")) / 1e6, 3).alias("seconds"), F.col("burst_activity").alias("burst"), F.col("privilege_escalation").alias("priv"), F.col("abnormal_duration").alias("long"), F.col("impossible_travel").alias("jump"), "risk")
