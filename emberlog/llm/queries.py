@@ -124,13 +124,14 @@ v AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(
 g AS (SELECT lang, 1 AS k, w1 AS phrase FROM v UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM v WHERE w2 IS NOT NULL UNION ALL
       SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM v WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM v WHERE w4 IS NOT NULL),
 f AS MATERIALIZED (SELECT lang, CAST(k AS BIGINT) AS k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
-s AS (SELECT c.lang, c.phrase, c.a, c.k, j.j, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (l.a + r.a) AS BIGINT) AS score
-      FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1) c JOIN range(1, 4) j(j) ON j.j < c.k
-      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : j.j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j.j + 1 :], ' ')),
+c AS MATERIALIZED (SELECT lang, phrase, a, k, j, array_to_string(w[1 : j], ' ') AS x, array_to_string(w[j + 1 :], ' ') AS y
+      FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k > 1) i),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, c.j, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (l.a + r.a) AS BIGINT) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y),
 b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM s),
-h AS (SELECT DISTINCT lang, a, array_to_string(w[i.i : i.i + m.m - 1], ' ') AS phrase
-      FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 2) x JOIN range(2, 4) m(m) ON m.m < x.k JOIN range(1, 4) i(i) ON i.i + m.m - 1 <= x.k),
-q AS (SELECT b.* FROM b WHERE best = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.lang AND h.phrase = b.phrase AND CAST(100 AS HUGEINT) * h.a >= CAST(80 AS HUGEINT) * b.a)),
+h AS MATERIALIZED (SELECT lang, max(a) AS a, phrase FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' '), array_to_string(w[3 : 4], ' '), array_to_string(w[1 : 3], ' '), array_to_string(w[2 : 4], ' ')]) AS phrase, phrase AS whole
+      FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 2) x) y WHERE phrase <> whole GROUP BY lang, phrase),
+q AS (SELECT b.* FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE best = 1 AND (h.a IS NULL OR CAST(100 AS HUGEINT) * h.a < CAST(80 AS HUGEINT) * b.a)),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
 SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, t.n, o.score FROM o JOIN t ON t.lang = o.lang WHERE o.rank <= 2000
 """
