@@ -4,8 +4,27 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of a batch of whole texts that goes to a Python worker, where many would only wait there.
+TEXT_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """What is written inside goes to Python workers in batches of at most ``rows``: a batch lies in the JVM and in the
+    worker as a whole. The session's setting is put back after."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def give_back() -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
-from emberlog.llm.memory import give_back
+from emberlog.llm.memory import give_back, small_batches
 from emberlog.llm.names import unused
 from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs
 
@@ -231,7 +231,8 @@ def _packed(given: DataFrame, made: Callable | None, dtypes: list[tuple[str, str
     length, part, nth, task, base, *step = unused([*kept, "sequence_id", "offset"], "own_length", "part", "nth", "task", "base", *STEP)
     numbered = _numbered(kept.index("length"), [*kept, part, nth])
     schema = ", ".join(f"`{n}` {t}" for n, t in dtypes) + f", `{part}` int, `{nth}` long"
-    rows = stage(given.mapInArrow(numbered if made is None else lambda batches: numbered(made(batches)), schema), "pieces")
+    with small_batches(given.sparkSession):
+        rows = stage(given.mapInArrow(numbered if made is None else lambda batches: numbered(made(batches)), schema), "pieces")
     sized = stage(rows.groupBy(F.col("length").cast("long").alias(length), F.col(part).alias(task)).agg(F.count("*").alias("n")), "piece-counts")
     if bad := sized.filter(~F.coalesce(F.col(length).between(1, capacity), F.lit(False))).first():
         raise ValueError(f"lengths must be from 1 to {capacity}: {bad[length]}")
