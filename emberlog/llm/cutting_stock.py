@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.lookback import in_ranges
 from emberlog.functions.storage import stage
-from emberlog.llm.memory import give_back
+from emberlog.llm.memory import give_back, small_batches
 from emberlog.llm.prefilter import possible
 from emberlog.llm.tokens import slabs
 from emberlog.llm.word_tokens import WORD_TOKENIZER, word_encoder
@@ -202,7 +202,8 @@ def pack_cutting_stock(docs: DataFrame, capacity: int = 4096, tokenizer: str = W
         raise ValueError("the grain must divide the capacity")
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stage(given.mapInArrow(_encoded(capacity, tokenizer, end_id), PIECE), "rests")
+    with small_batches(spark):
+        rows = stage(given.mapInArrow(_encoded(capacity, tokenizer, end_id), PIECE), "rests")
     counts = stage(rows.filter("rest > 0").groupBy(F.col("rest").alias("length"), F.col("part").alias("task")).agg(F.count("*").alias("n")), "rest-counts")
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places, planned = plan(lengths, capacity, grain)

@@ -41,7 +41,7 @@ def test_any_text(texts):
 
 def test_odd_words():
     rnd = random.Random(1)
-    parts = ["it's", "IT'S", "'s", "''s", "don't", "<|endoftext|>", "É", "É", "é", "á ́b", "x\n\ny", "  ", "\x1c", "a\x1cb", "İstanbul", "ΑΣ", "ΣΑΣ ΑΣ", "日本", "①", "1²½", "word</w>", "a\xa0b", "\xad", "🙂"]
+    parts = ["it's", "IT'S", "'s", "''s", "don't", "<|endoftext|>", "É", "É", "é", "á ́b", "x\n\ny", "  ", "\x1c", "a\x1cb", "İstanbul", "ΑΣ", "ΣΑΣ ΑΣ", "日本", "①", "1²½", "word</w>", "a\xa0b", "\xad", "🙂", "İ!", "!İ", "a×b", "÷", "é1", "ž_", "ŉa"]
     check(["", " ", *parts, *("".join(rnd.choice(parts) + rnd.choice(["", " ", "\n"]) for _ in range(12)) for _ in range(200))])
 
 
