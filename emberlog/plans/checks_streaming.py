@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from emberlog.functions.storage import new_path
 from emberlog.operators import correlation, intel, isolation, response, rules, scoring
 from emberlog.plans.checks_correlation import SESSIONS, SIX
-from emberlog.plans.checks_detection import E_SQL
+from emberlog.plans.checks_detection import E_SQL, FREQUENCY, HOUR, UBA
 from emberlog.plans.checks_ingest import _lines
 from emberlog.plans.detection import detect_stateless
 from emberlog.sources.events import sec_events
-from emberlog.streaming import streams
+from emberlog.streaming import streams, windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -69,15 +69,18 @@ def w3_stream_window_counts(spark, sf_dir):
 
 @query("SELECT id, n FROM (SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, ts) + row_number() OVER (PARTITION BY user_id, ts ORDER BY id) AS n FROM e) t WHERE n >= 5")
 def w3_stream_threshold(spark, sf_dir):
-    return streams.run_to_table(streams.threshold_hits(_stream(spark, sf_dir), "user_id", 5, 86_400_000_000), "hits").select("id", "n")
+    """Four micro-batches out of order find what one batch finds."""
+    with windows.rocksdb(spark):
+        return streams.run_to_table(windows.threshold_hits(_closed(spark, sf_dir, 4), "user_id", 5, 86_400_000_000, "3 days"), "hits").select("id", "n")
 
 
 def _closed(spark, sf_dir, batches: int = 1):
-    """The events as a stream in so many micro-batches, and an event a year later, in a batch of its own, that closes what they leave open."""
+    """The events as a stream in so many micro-batches, up to two days out of order, and an event a year later, in a batch of its own, that closes what they leave open."""
     df = sec_events(spark, sf_dir)
-    path = new_path(spark, "events")
+    path, come = new_path(spark, "events"), F.col("us") + F.pmod(F.xxhash64("id"), F.lit(2 * 86_400_000_000))
+    low, high = df.agg(F.min(come), F.max(come)).first()
     for i in range(batches):
-        df.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).coalesce(1).write.parquet(f"{path}/part={i}")
+        df.filter(F.floor((come - low) / (high - low + 1) * batches) == i).coalesce(1).write.parquet(f"{path}/part={i}")
     end = df.agg((F.max("us") + F.lit(365 * 86_400_000_000)).alias("us")).select(F.lit("end").alias("id"), "us", F.timestamp_micros("us").alias("ts"), *(F.lit("end").alias(c) for c in ("host", "user_id", "source", "event_type")))
     df.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.parquet(f"{path}/part={batches}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
@@ -113,6 +116,22 @@ def w6_stream_baseline_join(spark, sf_dir):
     return got.groupBy("user_id").agg(F.max("usual").alias("n"))
 
 
+@query(UBA + " SELECT id, round(deviation, 6) AS deviation FROM d")
+def w6_stream_behaviour(spark, sf_dir):
+    """D3 of every event, in four micro-batches out of order."""
+    with windows.rocksdb(spark):
+        got = streams.run_to_table(windows.user_deviation(_closed(spark, sf_dir, 4), 120 * HOUR, late="3 days"), "behaviour")
+    return got.filter("id <> 'end'").select("id", F.round("deviation", 6).alias("deviation"))
+
+
+@query(FREQUENCY.format(window="6 HOUR") + " SELECT id, recent, round(fs, 5) AS frequency_score FROM q")
+def w6_stream_frequency(spark, sf_dir):
+    """A6 of every event, in four micro-batches out of order."""
+    with windows.rocksdb(spark):
+        got = streams.run_to_table(windows.frequency_anomaly(_closed(spark, sf_dir, 4), 6 * HOUR, late="3 days"), "frequency")
+    return got.filter("id <> 'end'").select("id", "recent", F.round("frequency_score", 5).alias("frequency_score"))
+
+
 @query("SELECT time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL (10 * (i + 1)) SECOND AS w_end, round(count(*) / 60, 6) AS per_second FROM e, range(6) r(i) GROUP BY 1")
 def w7_stream_metrics(spark, sf_dir):
     got = streams.run_to_table(streams.metrics(_stream(spark, sf_dir)), "metrics", "complete")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,40 +29,10 @@ def ingest(lines: DataFrame, logs_path: str, quarantine_path: str, checkpoint: s
 
 
 def sliding_counts(events: DataFrame, key: str, window: str, slide: str, late: str = "10 minutes") -> DataFrame:
-    """Events per key and sliding window: the cheap form of the threshold rule."""
+    """Events per key and sliding window: the cheap form of the threshold rule (exact: ``windows.threshold_hits``)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w"), key).agg(F.count("*").alias("n"))
 
 
-def threshold_hits(events: DataFrame, key: str, n: int, window_us: int, late: str = "10 minutes") -> DataFrame:
-    """``key, id, us, n`` of each event that makes ``n`` or more in its key's trailing window: the exact form.
-
-    State per key is the sorted times that a window still can reach: those after the watermark less a window. Events of a
-    batch are taken in order of time and id; a late one counts what had come by then and lies in its own window. A key
-    is forgotten once the watermark has passed its last window.
-    """
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "id"])
-        out = []
-        for name, us in zip(rows["id"], rows["us"].tolist()):
-            insort(times, us)
-            hits = bisect_right(times, us) - bisect_left(times, us - window_us)
-            if hits >= n:
-                out.append((k[0], name, us, hits))
-        kept = times[bisect_left(times, state.getCurrentWatermarkMs() * 1000 - window_us) :]
-        state.update((kept or times[-1:],))
-        state.setTimeoutTimestamp(max((times[-1] + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "id", "us", "n"])
-
-    shaped = events.withWatermark("ts", late).select(F.col(key).alias("key"), "id", "us", "ts")
-    return shaped.groupBy("key").applyInPandasWithState(run, "key string, id string, us long, n long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def sessions(events: DataFrame, keys: list[str], gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions by gap; one is given out when the watermark has passed its end."""
     w = F.session_window("ts", gap).alias("w")
