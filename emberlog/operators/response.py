@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.lookback import in_ranges, with_earlier_counts, with_previous
+from emberlog.functions.folds import group_starts
+from emberlog.functions.lookback import in_ranges, joined, with_earlier_counts, with_previous
 from emberlog.operators.scoring import mapped
 
 # Hours to answer by severity, weights and ranks of severities.
@@ -105,12 +106,21 @@ def escalate(alerts: DataFrame) -> DataFrame:
     return alerts.filter(F.col("severity").isin("high", "critical")).select(F.sha2(F.concat(F.lit("incident:"), "alert_id"), 256).alias("incident_id"), F.concat(F.lit("Incident: "), "title").alias("title"), "severity", F.array("alert_id").alias("alert_ids"), "us", F.lit("open").alias("status"))
 
 
+def incident_values(alerts: DataFrame, group: str = "grp") -> DataFrame:
+    """``group, kind, value``: the distinct ``host``s and ``vector``s of each group, a row each, however many there are."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("host", "host"), ("vector", "attack_vector"))))
+    return alerts.select(group, F.inline(kinds)).filter("value IS NOT NULL").distinct()
+
+
 def incidents_of(alerts: DataFrame, group: str = "grp") -> DataFrame:
-    """One incident per group: highest severity, sorted hosts and vectors, size, deadline, title."""
+    """One incident per group: size, highest severity, numbers of distinct hosts and vectors, deadline, title; the hosts and
+    vectors themselves are rows of :func:`incident_values`. The title names the first vector."""
     rank = F.max(mapped(F.col("severity"), RANK, 2))
-    out = alerts.groupBy(group).agg(F.count("*").alias("n"), F.element_at(F.array(*map(F.lit, NAMES)), rank).alias("severity"), F.array_sort(F.collect_set("host")).alias("hosts"), F.array_sort(F.collect_set("attack_vector")).alias("vectors"), F.min("us").alias("us"))
-    out = deadlines(out, INCIDENT_HOURS)
-    return out.withColumn("title", F.concat_ws(" ", F.upper("severity"), F.lit("incident:"), F.coalesce(F.get("vectors", 0), F.lit("unknown")), F.lit("on"), F.size("hosts").cast("string"), F.lit("host(s)"))).withColumn("status", F.lit("open"))
+    out = alerts.groupBy(group).agg(F.count("*").alias("n"), F.element_at(F.array(*map(F.lit, NAMES)), rank).alias("severity"), F.min("us").alias("us"))
+    values = incident_values(alerts, group).groupBy(group).agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("host", "vector")), F.min(F.when(F.col("kind") == "vector", F.col("value"))).alias("first_vector"))
+    out = deadlines(joined(out, values, [group], "left").withColumns({f"{k}s": F.coalesce(f"{k}s", F.lit(0)) for k in ("host", "vector")}), INCIDENT_HOURS)
+    title = F.concat_ws(" ", F.upper("severity"), F.lit("incident:"), F.coalesce("first_vector", F.lit("unknown")), F.lit("on"), F.col("hosts").cast("string"), F.lit("host(s)"))
+    return out.withColumn("title", title).withColumn("status", F.lit("open")).drop("first_vector")
 
 
 def auto_group(alerts: DataFrame, gap_us: int = 1_800_000_000) -> DataFrame:
@@ -118,7 +128,7 @@ def auto_group(alerts: DataFrame, gap_us: int = 1_800_000_000) -> DataFrame:
 
     Blocks of alerts with no larger gap come first, in parallel. A block is bridged to the group before it iff its first
     alert's host is in that group; the second fold runs over blocks, of which there are far fewer, with the last block
-    of each host. Missing hosts equal each other.
+    of each host, as a parallel prefix (:func:`emberlog.functions.folds.group_starts`). Missing hosts equal each other.
     """
     blocks = group_alerts(alerts.withColumn("__host", F.col("host")).withColumn("host", F.lit(None).cast("string")), gap_us).withColumnRenamed("grp", "block")
     named = blocks.select("block", "us", "id", F.coalesce("__host", F.lit("\0")).alias("h"))
@@ -129,18 +139,10 @@ def auto_group(alerts: DataFrame, gap_us: int = 1_800_000_000) -> DataFrame:
     asked = seen.withColumn("asks", F.lit(1)).unionByName(firsts.select("h", F.col("block").alias("at"), F.lit(0).alias("asks")))
     last = asked.withColumn("last", F.max(F.when(F.col("asks") == 1, F.col("at"))).over(order)).filter("asks = 0").select(F.col("at").alias("block"), F.coalesce("last", F.lit(-1)).alias("last"))
 
-    def fold(batches):
-        start, n = None, 0
-        for pdf in batches:
-            out = []
-            for block, last_seen in zip(pdf["block"], pdf["last"]):
-                if start is None or last_seen < start:
-                    start, n = block, n + 1
-                out.append(n)
-            yield pdf.assign(grp=out)[["block", "grp"]]
-
-    # Where a group begins depends on all groups before it: the fold is one task's, over two numbers a block, in a stream.
-    return last.repartition(1).sortWithinPartitions("block").select("block", "last").mapInPandas(fold, "block long, grp long")
+    starts = group_starts(last, "block", "last")
+    # Groups are numbered in order: a block's is the number of those that began up to it.
+    begun = with_earlier_counts(starts, {"before": []}, ["number"], {"before": "new"})
+    return begun.select(F.col("number").alias("block"), (F.col("before") + F.col("new")).cast("long").alias("grp"))
 
 
 def timeline(events: DataFrame) -> DataFrame:

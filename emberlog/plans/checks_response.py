@@ -16,11 +16,11 @@ SQL: dict[str, str] = {}
 AS_OF = 1_706_745_600_000_000  # 2024-02-01
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {E_SQL}{sql if sql.startswith(',') else ' ' + sql}"
+            SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{E_SQL}{sql if sql.startswith(',') else ' ' + sql}"
         return f
 
     return put
@@ -85,12 +85,18 @@ def l7_escalate(spark, sf_dir):
     return r.escalate(r.build_alerts(_alerts(spark, sf_dir))).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query(LEVELED + " SELECT host AS grp, count(*) AS n, CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 1 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' ELSE 'low' END AS severity, count(DISTINCT event_type) AS vectors FROM v GROUP BY host")
+@query(LEVELED + " SELECT host AS grp, count(*) AS n, CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 1 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' ELSE 'low' END AS severity, CAST(1 AS BIGINT) AS hosts, count(DISTINCT event_type) AS vectors, CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 1 END) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' ELSE 'LOW' END || ' incident: ' || min(event_type) || ' on 1 host(s)' AS title FROM v GROUP BY host")
 def i1_incidents(spark, sf_dir):
-    return r.incidents_of(_leveled(spark, sf_dir), "host").select(F.col("host").alias("grp"), "n", "severity", F.size("vectors").cast("long").alias("vectors"))
+    return r.incidents_of(_leveled(spark, sf_dir), "host").select(F.col("host").alias("grp"), "n", "severity", "hosts", "vectors", "title")
 
 
-@query()
+@query(""", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, id) <= INTERVAL 60 SECOND THEN 0 ELSE 1 END AS new FROM e),
+b AS (SELECT *, sum(new) OVER (ORDER BY ts, id) AS block FROM g),
+f AS (SELECT block, arg_min(host, ts) AS h FROM b GROUP BY block),
+l AS MATERIALIZED (SELECT f.block, coalesce(max(b.block), -1) AS last FROM f LEFT JOIN b ON b.host = f.h AND b.block < f.block GROUP BY f.block),
+w AS (SELECT CAST(1 AS BIGINT) AS block, CAST(1 AS BIGINT) AS start, CAST(1 AS BIGINT) AS grp UNION ALL
+  SELECT CAST(l.block AS BIGINT), CAST(CASE WHEN l.last < w.start THEN l.block ELSE w.start END AS BIGINT), w.grp + CASE WHEN l.last < w.start THEN 1 ELSE 0 END FROM w JOIN l ON l.block = w.block + 1)
+SELECT grp, count(*) AS blocks FROM w GROUP BY grp""", recursive=True)
 def i2_auto_group(spark, sf_dir):
     return r.auto_group(_leveled(spark, sf_dir), 60_000_000).groupBy("grp").agg(F.count("*").alias("blocks"))
 

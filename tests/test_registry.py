@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One or two of each family: the driver compares all of them.
 COMPARED = ("r3_threshold_rule", "r4_statistical_rule_global", "t2_domain_reputation", "t5_substring_indicators", "a6_frequency_anomaly", "d7_detect_threats", "p5_threat_score", "c5_group_summary", "k3_chain_confidence", "e6_session_risk", "g9_communities", "l4_group_alerts", "m1_similar_texts", "n7_access_log", "s8_batch_receipt", "w3_stream_threshold", "w5_stream_dedupe", "n8_csv", "x4_timeline_dwell", "x5_merged_report", "g6_distances", "l1_build_alerts", "d4_risk_composition", "w4_stream_session_anomalies", "w8_late_rows", "u2_own_chain_and_playbook")
-RUN = ("i2_auto_group", "m4_cluster", "w4_stream_sessions", "a3_a4_isolation_forest")
+RUN = ("m4_cluster", "a3_a4_isolation_forest")
 
 
 def rows(df: pd.DataFrame) -> list:
