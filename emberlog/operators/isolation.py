@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.lookback import with_global_position
 from emberlog.functions.storage import stage
 
 NODE = "tree int, node int, feature int, cut double, size int"
@@ -18,6 +19,47 @@ def _average_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
+def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int, int, float, int]]:
+    """``node, feature, cut, size`` of one tree on the rows of ``x``."""
+    out, work = [], [(0, 0, np.arange(len(x)))]
+    while work:
+        node, depth, own = work.pop()
+        spread = np.ptp(x[own], axis=0) if len(own) else np.zeros(x.shape[1])
+        if depth >= limit or len(own) <= 1 or not (spread > 0).any():
+            out.append((node, -1, 0.0, len(own)))
+            continue
+        f = int(rng.choice(np.flatnonzero(spread > 0)))
+        cut = float(rng.uniform(x[own, f].min(), x[own, f].max()))
+        left = x[own, f] <= cut
+        out.append((node, f, cut, len(own)))
+        work += [(2 * node + 1, depth + 1, own[left]), (2 * node + 2, depth + 1, own[~left])]
+    return out
+
+
+def _packed(index, feature, cut, size) -> tuple:
+    """A tree as arrays by rising node, with the path that is left at each node."""
+    order = np.argsort(index)
+    return tuple(np.asarray(c)[order] for c in (index, feature, cut)) + (np.array([_average_path(s) for s in np.asarray(size)[order]]),)
+
+
+def _score(x: np.ndarray, trees, norm: float) -> np.ndarray:
+    """The published score of each row."""
+    total = np.zeros(len(x))
+    for index, feature, cut, rest in trees:
+        at, depth, live = np.zeros(len(x), np.int64), np.zeros(len(x)), np.ones(len(x), bool)
+        while live.any():
+            i = np.searchsorted(index, at[live])
+            f, rows = feature[i], np.flatnonzero(live)
+            leaf = f < 0
+            depth[rows[leaf]] += rest[i[leaf]]
+            live[rows[leaf]] = False
+            rows, i, f = rows[~leaf], i[~leaf], f[~leaf]
+            depth[rows] += 1
+            at[rows] = np.where(x[rows, f] <= cut[i], 2 * at[rows] + 1, 2 * at[rows] + 2)
+        total += depth
+    return 2.0 ** (-(total / max(len(trees), 1)) / max(norm, 1e-9))
+
+
 def fit_forest(df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42, key: str | None = None) -> DataFrame:
     """Nodes of all trees in NODE; ``feature`` is -1 at a leaf, a node's children are 2n+1 and 2n+2.
 
@@ -38,19 +80,8 @@ def fit_forest(df: DataFrame, features: list[str], trees: int = 100, sample: int
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         rng, x = np.random.default_rng([seed, tree]), pdf.sort_values(["__h", "__id"])[features].to_numpy()
-        limit, out, work = math.ceil(math.log2(max(sample, 2))), [], [(0, 0, np.arange(len(x)))]
-        while work:
-            node, depth, own = work.pop()
-            spread = np.ptp(x[own], axis=0) if len(own) else np.zeros(len(features))
-            if depth >= limit or len(own) <= 1 or not (spread > 0).any():
-                out.append((tree, node, -1, 0.0, len(own)))
-                continue
-            f = int(rng.choice(np.flatnonzero(spread > 0)))
-            cut = float(rng.uniform(x[own, f].min(), x[own, f].max()))
-            left = x[own, f] <= cut
-            out.append((tree, node, f, cut, len(own)))
-            work += [(2 * node + 1, depth + 1, own[left]), (2 * node + 2, depth + 1, own[~left])]
-        return pd.DataFrame(out, columns=["tree", "node", "feature", "cut", "size"])
+        found = _grow(x, rng, math.ceil(math.log2(max(sample, 2))))
+        return pd.DataFrame([(tree, *n) for n in found], columns=["tree", "node", "feature", "cut", "size"])
 
     return chosen.groupBy("tree").applyInPandas(grow, NODE)
 
@@ -61,27 +92,53 @@ def score_forest(df: DataFrame, forest: DataFrame, features: list[str], sample:
     The forest has at most 2 * ``sample`` nodes a tree, whatever the data's size; it is broadcast.
     """
     nodes = forest.toPandas()
-    grown = {int(t): g.set_index("node")[["feature", "cut", "size"]].sort_index() for t, g in nodes.groupby("tree")}
-    packed = {t: (g.index.to_numpy(), g["feature"].to_numpy(), g["cut"].to_numpy(), np.array([_average_path(s) for s in g["size"]])) for t, g in grown.items()}
+    packed = [_packed(g["node"], g["feature"], g["cut"], g["size"]) for _, g in nodes.groupby("tree")]
     held, norm = df.sparkSession.sparkContext.broadcast(packed), _average_path(sample)
 
     @F.pandas_udf("double")
     def isolation(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.fillna(0.0).to_numpy(float) for c in columns])
-        total = np.zeros(len(x))
-        for index, feature, cut, rest in held.value.values():
-            at, depth, live = np.zeros(len(x), np.int64), np.zeros(len(x)), np.ones(len(x), bool)
-            while live.any():
-                i = np.searchsorted(index, at[live])
-                f, rows = feature[i], np.flatnonzero(live)
-                leaf = f < 0
-                depth[rows[leaf]] += rest[i[leaf]]
-                live[rows[leaf]] = False
-                rows, i, f = rows[~leaf], i[~leaf], f[~leaf]
-                depth[rows] += 1
-                at[rows] = np.where(x[rows, f] <= cut[i], 2 * at[rows] + 1, 2 * at[rows] + 2)
-            total += depth
-        score = 2.0 ** (-(total / max(len(held.value), 1)) / max(norm, 1e-9))
+        score = _score(np.column_stack([c.fillna(0.0).to_numpy(float) for c in columns]), held.value, norm)
         return pd.Series(np.clip(2 * score, 0, 1) if scale == "reference" else score)
 
     return df.withColumn("isolation", isolation(*(F.col(f).cast("double") for f in features)))
+
+
+def score_versions(df: DataFrame, features: list[str], every: int = 500, last: int = 10_000, least: int = 100, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42, order: tuple[str, ...] = ("us", "id")) -> DataFrame:
+    """``df`` with ``forest``, ``isolation`` and ``outlier``: each row scored by the version of the forest of its time.
+
+    Version ``v`` is fitted when ``v * every`` rows have come, by ``order``, on the ``last`` of them, the newest included, if they are
+    ``least`` or more; it scores that row and those up to the next version. ``isolation`` is 2s clipped to 0..1; ``outlier``
+    says that s is within the highest ``contamination`` of the rows the version was fitted on. Rows before the first
+    version have nulls. A version is one task's, which holds ``last + every`` rows; each row goes to ``last / every``
+    versions, so choose a larger ``every`` for more rows. Features that are null or no number are 0, infinite ones very large.
+    """
+    names = [f"__f{i}" for i in range(len(features))]
+    placed = stage(with_global_position(df, order), "forest-order")
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(n) for f, n in zip(features, names)]
+    own = F.floor((F.col("pos") + 1) / every)
+    # A row at p is among the last of versions v with p < v * every <= p + last.
+    first, newest = F.floor(F.col("pos") / every) + 1, F.floor((F.col("pos") + last) / every)
+    versions = F.array_distinct(F.concat(F.array(own), F.when(newest >= first, F.sequence(first, newest)).otherwise(F.array().cast("array<bigint>"))))
+    dealt = placed.select("pos", *values).withColumn("version", F.explode(versions)).filter((F.col("version") > 0) & (F.col("version") * every >= least))
+    limit = math.ceil(math.log2(max(sample, 2)))
+
+    def fit_and_score(pdf: pd.DataFrame) -> pd.DataFrame:
+        version, pdf = int(pdf["version"].iloc[0]), pdf.sort_values("pos")
+        pos, x = pdf["pos"].to_numpy(), np.nan_to_num(pdf[names].to_numpy(float), nan=0.0, posinf=1e300, neginf=-1e300)
+        mine = (pos + 1) // every == version
+        if not mine.any():
+            return pd.DataFrame({"pos": [], "forest": [], "isolation": [], "outlier": []})
+        seen = x[(pos < version * every) & (pos >= version * every - last)]
+        grown = []
+        for tree in range(trees):
+            rng = np.random.default_rng([seed, version, tree])
+            taken = seen[rng.permutation(len(seen))[:sample]]
+            grown.append(_packed(*zip(*_grow(taken, rng, limit))))
+        size = _average_path(min(sample, len(seen)))
+        limit_of = np.quantile(_score(seen, grown, size), 1 - contamination)
+        score = _score(x[mine], grown, size)
+        return pd.DataFrame({"pos": pos[mine], "forest": version, "isolation": np.clip(2 * score, 0, 1), "outlier": score > limit_of})
+
+    found = dealt.groupBy("version").applyInPandas(fit_and_score, "pos long, forest long, isolation double, outlier boolean")
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return placed.join(found, "pos", "left").select(*kept, "forest", "isolation", "outlier")

@@ -6,12 +6,12 @@ import time
 
 from pyspark.sql import functions as F
 
-from emberlog.functions.storage import new_path
+from emberlog.functions.storage import new_path, stage
 from emberlog.operators import correlation, intel, isolation, response, rules, scoring
 from emberlog.plans.checks_correlation import SESSIONS, SIX
 from emberlog.plans.checks_detection import E_SQL, FREQUENCY, HOUR, UBA
 from emberlog.plans.checks_ingest import _lines
-from emberlog.plans.detection import detect_stateless
+from emberlog.plans.detection import detect_stateless, detect_threats
 from emberlog.sources.events import sec_events
 from emberlog.streaming import streams, windows
 
@@ -201,3 +201,20 @@ def a3_a4_isolation_forest(spark, sf_dir):
     names = [f"f_{f}" for f in scoring.FEATURES]
     df = scoring.extract_features(sec_events(spark, sf_dir))
     return isolation.score_forest(df, isolation.fit_forest(df, names, key="id"), names).select("id", F.round("isolation", 6).alias("isolation"))
+
+
+@query()
+def a3_forest_versions(spark, sf_dir):
+    """Forests fitted every 2000 events on the last 10 000, each scoring what comes next."""
+    df = scoring.extract_features(sec_events(spark, sf_dir))
+    got = isolation.score_versions(df, [f"f_{f}" for f in scoring.FEATURES], 2000)
+    return got.select("id", "forest", F.round("isolation", 6).alias("isolation"), "outlier")
+
+
+@query()
+def d7_detect_threats_with_forest(spark, sf_dir):
+    """The flagship, its anomaly averaged with the score of the forest of the event's time."""
+    names = [f"f_{f}" for f in scoring.FEATURES]
+    df = isolation.score_versions(scoring.extract_features(sec_events(spark, sf_dir)), names, 2000).drop(*names)
+    found = detect_threats(stage(df, "forest-scores"), intel.builtin_indicators(spark), scores=["isolation"])
+    return found.select("id", F.round("anomaly", 6).alias("anomaly"), F.round("risk", 6).alias("risk"), "risk_severity")
