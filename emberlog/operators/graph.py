@@ -80,18 +80,37 @@ def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 10, kind
     return path[::-1]
 
 
+def hops_to(edges: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """``node, hops``: the least number of edges, ``most`` at most, from each node to any of ``goals(node)``."""
+    own = edges.select("src", "dst").distinct()
+    seen = front = stage(goals.select("node", F.lit(0).alias("hops")).distinct(), "goals")
+    for hop in range(1, most + 1):
+        step = own.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        front = stage(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops")), "towards-goals")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, most_nodes: int = 6) -> DataFrame:
     """``path`` from any of ``starts(node)`` to any of ``goals(node)`` without repeated nodes, of ``most_nodes`` at most.
 
-    All paths grow one edge a round, to all goals at once. Their number can grow exponentially; ``most_nodes`` bounds it.
+    All paths grow one edge a round, to all goals at once, and only to nodes from which some goal is near enough for what is
+    left of ``most_nodes`` (:func:`hops_to`): branches that lead nowhere cost no row. The number of paths can grow
+    exponentially; ``most_nodes`` bounds it.
     """
     own = edges.select("src", "dst").distinct()
+    useful = stage(own.join(hops_to(own, goals, most_nodes - 2).withColumnRenamed("node", "dst"), "dst").select("src", "dst", "hops"), "useful-edges")
     paths = starts.select(F.array("node").alias("path"), F.col("node").alias("last"))
     found = None
-    for _ in range(most_nodes - 1):
-        paths = stage(paths.join(own, F.col("last") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last")), "paths")
-        ended = paths.join(goals.select(F.col("node").alias("last")), "last", "left_semi").select("path")
+    for nodes in range(2, most_nodes + 1):
+        grown = paths.join(useful.filter(F.col("hops") <= most_nodes - nodes), F.col("last") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
+        paths = stage(grown.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last"), (F.col("hops") == 0).alias("ended")), "paths")
+        ended = paths.filter("ended").select("path")
         found = ended if found is None else found.union(ended)
+        if paths.isEmpty():
+            break
     return found if found is not None else paths.select("path").limit(0)
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.storage import stage
+
 #: Rows up to which a dimension is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Values that are compiled into a projection; more are joined.
+#: Values that are compiled into a projection; more are looked for by automata.
 SHORT_LIST = 200
+#: Characters of the values of one automaton (about 100 bytes each in a worker).
+PART_CHARS = 1_000_000
 INDICATOR = "indicator string, indicator_type string, category string, score double, techniques array<string>, custom boolean"
 
 # Listed addresses (address, category, score, techniques).
@@ -134,12 +140,41 @@ def signature_hits(text: Column, signatures: Sequence[tuple] = SIGNATURES) -> Co
     return F.filter(F.array(*made), lambda h: h.isNotNull())
 
 
-def substring_matches(df: DataFrame, text: str, values: DataFrame, key: str = "id", gram: int = 3, listed: int = SHORT_LIST) -> DataFrame:
+def _value_parts(wanted: DataFrame, chars: int) -> Iterator[list[tuple[str, list[str]]]]:
+    """``wanted(__v, value)`` in parts of about ``chars`` characters, by a hash of ``__v``: (lower-cased, as given)."""
+    total = wanted.agg(F.sum(F.length("__v"))).first()[0] or 0
+    n = max(1, -(-total // chars))
+    for i in range(n):
+        held: dict[str, list[str]] = {}
+        for r in wanted.filter(F.pmod(F.xxhash64("__v"), F.lit(n)) == i).collect():
+            held.setdefault(r["__v"], []).append(r["value"])
+        if held:
+            yield sorted(held.items())
+
+
+_AUTOMATA: dict[str, object] = {}
+
+
+def _automaton(token: str, part):
+    """The automaton of a broadcast part, built once in a worker and kept until another part's turn."""
+    if token not in _AUTOMATA:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for low, values in part.value:
+            made.add_word(low, (low, values))
+        made.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[token] = made
+    return _AUTOMATA[token]
+
+
+def substring_matches(df: DataFrame, text: str, values: DataFrame, key: str = "id", listed: int = SHORT_LIST, part_chars: int = PART_CHARS) -> DataFrame:
     """``key, value``: custom ``value``s contained in ``text``, without regard to case; each pair once.
 
-    Up to ``listed`` values are tried one after another in a projection. More are looked up by an equality join on their
-    first ``gram`` characters, or all of a shorter one, against the distinct ones of each text; only texts with a hit
-    are read again to confirm it.
+    Up to ``listed`` values are tried one after another in a projection. More are cut into parts of about ``part_chars``
+    characters, each an Aho-Corasick automaton in every task: one pass over a text finds all values of a part, however many
+    begin alike, and no text is shuffled. Null and empty texts and values match nothing.
     """
     rows = df.filter(F.length(text) > 0).select(key, F.lower(text).alias("__t"))
     wanted = values.select(F.lower("value").alias("__v"), "value").filter("length(__v) > 0").distinct()
@@ -147,13 +182,23 @@ def substring_matches(df: DataFrame, text: str, values: DataFrame, key: str = "i
     if len(few) <= listed:
         table = F.array(*(F.struct(F.lit(r["__v"]).alias("v"), F.lit(r["value"]).alias("value")) for r in few)) if few else F.array().cast("array<struct<v:string,value:string>>")
         return rows.select(key, F.explode(F.filter(table, lambda x: F.contains("__t", x["v"]))["value"]).alias("value")).distinct()
-
-    def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length("__t")), lambda i: F.substring(F.col("__t"), i, F.lit(n)))
-
-    grams = rows.select(key, F.explode(F.array_distinct(F.concat(*map(pieces, range(1, gram + 1))))).alias("__g"))
-    hits = grams.join(dimension(wanted.withColumn("__g", F.substring("__v", 1, gram))), "__g").select(key, "__v", "value").distinct()
-    return hits.join(rows, key).filter(F.contains("__t", "__v")).select(key, "value").distinct()
+    found = None
+    for items in _value_parts(stage(wanted, "values"), part_chars):
+        token, part = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(items)
+
+        def search(batches: Iterator[pa.RecordBatch], token=token, part=part) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(token, part)
+            for batch in batches:
+                at, hits = [], []
+                for i, t in enumerate(batch.column(1)):
+                    for _, own in {low: own for _, (low, own) in automaton.iter(t.as_py())}.items():
+                        at += [i] * len(own)
+                        hits += own
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], [key, "value"])
+
+        own = rows.mapInArrow(search, f"`{key}` {dict(df.dtypes)[key]}, value string")
+        found = own if found is None else found.unionAll(own)
+    return found.distinct()
 
 
 def bump_severity(severity: Column, score: Column) -> Column:

@@ -141,6 +141,13 @@ def t5_substring_indicators(spark, sf_dir):
     return intel.substring_matches(sec_events(spark, sf_dir), "message", values)
 
 
+@query("SELECT id, v AS value FROM e, (SELECT DISTINCT v FROM (SELECT 'U' || c_custkey AS v FROM customer UNION ALL SELECT 'for u' || c_custkey || ' Port' FROM customer) y) x WHERE contains(message, 'for u') AND contains(lower(message), lower(v))")
+def t5_substring_indicators_long(spark, sf_dir):
+    """Thousands of values that overlap and begin alike: one automaton for all."""
+    values = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.explode(F.array(F.concat(F.lit("U"), "c_custkey"), F.concat(F.lit("for u"), "c_custkey", F.lit(" Port")))).alias("value"))
+    return intel.substring_matches(sec_events(spark, sf_dir).filter(F.contains("message", F.lit("for u"))), "message", values)
+
+
 @query(TI + """ SELECT id, CAST(CASE WHEN score IS NULL THEN 0 ELSE 1 END AS BIGINT) AS ioc_count, score AS ti_score, coalesce(category, '') AS categories,
   CASE WHEN score >= 90 THEN 'critical' WHEN score >= 70 AND severity <> 'critical' THEN 'high' ELSE severity END AS severity FROM e LEFT JOIN ti ON ip_address = ti.ip""")
 def t6_enrich(spark, sf_dir):
