@@ -12,7 +12,7 @@ from emberlog.llm.collocations import collocations
 from emberlog.llm.cutting_stock import pack_cutting_stock
 from emberlog.llm.decontaminate import benchmark_matches
 from emberlog.llm.packing import pack_documents
-from emberlog.llm.quality import quality_report
+from emberlog.llm.quality import keep_quality, quality_report
 from emberlog.llm.repair import repair_damaged
 from emberlog.llm.secrets import find_secrets
 from emberlog.llm.sharding import shard_rows
@@ -27,44 +27,60 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and verdict of every document; null and empty texts have no words and fail, rows that repeat are judged alike, no rows give none."""
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the cascade keeps: rules run in the order of rejections per second, and what a rule needs is only
+    worked out for rows that no rule before it has rejected."""
+    return keep_quality(_table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.length("text").cast("long").alias("chars"))
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, read back from the ORC files; null and empty texts are the end id alone, rows that repeat are written each, null ids come first, no rows give none."""
     return token_orc_index(_table(spark, sf_dir, "documents"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of rows; null texts have a size of 1, rows that repeat are dealt each, no rows give none."""
     text = F.coalesce("text", F.lit(""))
     columns = [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law")]
     return shard_rows(_table(spark, sf_dir, "documents")).select("doc_id", *columns, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold; null and empty texts hold none, rows and items that repeat are matched each, no rows give none."""
     return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The WARC record of every page, read back; null pages are empty payloads, of equal ones the largest page_id is the response, no rows give none."""
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; urls without a host have an empty one, rows that repeat are judged alike, no rows give none."""
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; null and empty texts have none, rows that repeat have the same, no rows give none."""
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece; null and empty texts are one id, rows that repeat are packed each, null ids stay null, no rows give none."""
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words have a fingerprint of zero, rows that repeat are linked, no rows give none."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by section; null and empty texts are one section without tokens, rows that repeat are counted each, no rows give none."""
     return attribute_tokens(_table(spark, sf_dir, "documents"))
 
 
@@ -137,6 +153,10 @@ SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, t.n, o.score FROM o JOIN t ON t.
 """
 
 
+#: Of OP7_SQL's documents those that are kept.
+OP7_KEPT_SQL = f"SELECT k.doc_id, d.lang, d.source, CAST(length(d.text) AS BIGINT) AS chars FROM ({OP7_SQL.strip()}) k JOIN documents d ON d.doc_id = k.doc_id WHERE k.kept"
+
+
 def _op12_sql() -> str:
     """The same repairs from the last row back: ``b0`` to ``b3`` hold, by state, the cost in nine digits, the audit, a mark and the repaired lines."""
     add = lambda x, cost, edit, line="''": f"lpad(CAST(CAST(substr({x}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{edit}' || substr({x}, 10, strpos({x}, chr(1)) - 9) || {line} || substr({x}, strpos({x}, chr(1)) + 1)"
@@ -174,8 +194,8 @@ OP12_SQL = _op12_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op8_token_orc, op9_simhash, op10_token_counts, op11_cutting_stock, op12_repair, op13_collocations)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_warc, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_quality_rules, op7_quality_kept, op8_token_orc, op9_simhash, op10_token_counts, op11_cutting_stock, op12_repair, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_quality_rules": OP7_SQL, "op12_repair": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op3_warc": OP3_SQL, "op7_quality_rules": OP7_SQL, "op7_quality_kept": OP7_KEPT_SQL, "op12_repair": OP12_SQL, "op13_collocations": OP13_SQL}
