@@ -55,10 +55,12 @@ def csv_fields(line: Column) -> Column:
 
 
 def keyword_severity(word: Column) -> Column:
+    """The severity that a word stands for; info for others."""
     return mapped(F.lower(F.trim(word)), KEYWORD_SEVERITY, "info")
 
 
 def text_severity(text: Column) -> Column:
+    """The severity of the first keyword, in their fixed order, that a text has; info without one."""
     low = F.lower(text)
     out = F.when(F.lit(False), F.lit("info"))
     for word, severity in KEYWORD_SEVERITY.items():
@@ -67,18 +69,22 @@ def text_severity(text: Column) -> Column:
 
 
 def syslog_severity(pri: Column) -> Column:
+    """The severity in the lowest three bits of a syslog priority."""
     return F.get(F.array(*map(F.lit, SYSLOG_SEVERITY)), pri.bitwiseAND(7))
 
 
 def http_severity(status: Column) -> Column:
+    """Error for a status of 500 or more, warning for 400 or more, else info."""
     return F.when(status >= 500, "error").when(status >= 400, "warning").otherwise("info")
 
 
 def first_ip(text: Column) -> Column:
+    """The first text that looks like an IPv4 address; empty without one."""
     return F.regexp_extract(text, IP, 0)
 
 
 def first_user(text: Column) -> Column:
+    """The first name after user or username; empty without one."""
     return F.regexp_extract(text, USER, 1)
 
 
@@ -144,6 +150,7 @@ def normalize_logs(df: DataFrame, source: str = "", source_type: str = "", raw:
 
 
 def canonical_source_type(kind: Column) -> Column:
+    """A known source type, or custom."""
     return F.when(kind.isin(*SOURCE_TYPES), kind).otherwise(F.lit("custom"))
 
 
@@ -165,10 +172,12 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def valid_ip(ip: Column) -> Column:
+    """Whether a text is an IPv4 address; null isn't."""
     return F.coalesce(ip.rlike(r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"), F.lit(False))
 
 
 def private_ip(ip: Column) -> Column:
+    """Whether an address is private, local or link-local; null isn't."""
     return F.coalesce(ip.rlike(r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"), F.lit(False))
 
 

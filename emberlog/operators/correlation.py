@@ -56,6 +56,7 @@ def near_in_time(members: DataFrame, window_us: int) -> DataFrame:
 
 
 def group_score(count: Column, rank: Column, span_seconds: Column, diversity: Column) -> Column:
+    """The score of a group of events, 0 to 10, from its size, highest rank, span and number of addresses."""
     three, two = F.lit(3.0), F.lit(2.0)
     return F.round(F.least(three, count * 0.3) + rank * 0.75 + F.least(two, 100.0 / (span_seconds + 1) * 0.02) + F.least(two, diversity * 0.4), 3)
 

@@ -215,4 +215,5 @@ def enrich(df: DataFrame, text: Column, indicators: DataFrame, key: str = "id")
 
 
 def techniques(spark: SparkSession) -> DataFrame:
+    """``technique, name, tactic``: the fixed table of techniques."""
     return spark.createDataFrame(TECHNIQUES, "technique string, name string, tactic string")

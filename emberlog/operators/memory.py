@@ -267,6 +267,7 @@ def classify(text: Column) -> Column:
 
 
 def category_techniques(spark) -> DataFrame:
+    """``category, tactic, technique``: the fixed table of categories."""
     return spark.createDataFrame(CATEGORY_TECHNIQUES, "category string, tactic string, technique string")
 
 

@@ -67,6 +67,7 @@ def priority(severity: Column, confidence: Column, age_hours: Column) -> Column:
 
 
 def age_hours(us: Column, as_of_us: int) -> Column:
+    """Hours from ``us`` to ``as_of_us``, both in microseconds."""
     return (F.lit(as_of_us) - us) / 3.6e9
 
 

@@ -115,6 +115,7 @@ def frequency_anomaly(df: DataFrame, window_us: int = 60_000_000, history: int =
 
 
 def whitelisted(df: DataFrame, entries: Sequence[tuple] = WHITELIST) -> Column:
+    """Whether an event is suppressed: its field has a listed value and, where the entry says so, its type the prefix."""
     out = F.lit(False)
     for name, values, prefix in entries:
         if name in df.columns:
@@ -164,12 +165,14 @@ def alert_gate(df: DataFrame) -> DataFrame:
 
 
 def severity_factor(severity: Column, matches: Column) -> Column:
+    """Points of a severity, raised by a share of the mean of its rules' points and confidence, 100 at most."""
     base = mapped(F.lower(F.coalesce(severity, F.lit("info"))), SEVERITY_POINTS, 20.0)
     total = F.aggregate(matches, F.lit(0.0), lambda a, m: a + mapped(F.lower(m["severity"]), SEVERITY_POINTS, RULE_OTHER) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), m["confidence"])))
     return F.round(F.when(F.size(matches) > 0, F.least(F.lit(100.0), base + total / F.size(matches) * RULE_SHARE)).otherwise(base), 2)
 
 
 def frequency_factor(count: Column) -> Column:
+    """Points of how many such events came lately, by bands."""
     out = F.when(F.lit(False), 0.0)
     for most, points in FREQUENCY_BANDS:
         out = out.when(count <= most, points)
@@ -177,6 +180,7 @@ def frequency_factor(count: Column) -> Column:
 
 
 def history_factor(total: Column, own: Column) -> Column:
+    """Points of the share that ``own`` has of ``total`` earlier events, by bands; one figure where too few have come."""
     share, out = own / F.greatest(total, F.lit(1)), F.when(total < HISTORY_LEAST, HISTORY_UNKNOWN)
     for least, points in HISTORY_BANDS:
         out = out.when(share >= least, points)
@@ -184,11 +188,13 @@ def history_factor(total: Column, own: Column) -> Column:
 
 
 def anomaly_factor(score: Column) -> Column:
+    """Points of an anomaly given as a share or as points, 100 at most; 25 without one."""
     x = F.greatest(F.lit(0.0), score)
     return F.when(score.isNull(), 25.0).when(x <= 1, F.round(x * 100, 2)).otherwise(F.round(F.least(F.lit(100.0), x), 2))
 
 
 def intel_factor(score: Column) -> Column:
+    """Points of an indicator's score given as a share or as points, within 0 and 100; 10 without one."""
     x = F.when(score <= 1, score * 100).otherwise(score)
     return F.when(score.isNull(), 10.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)), 2))
 
@@ -213,4 +219,5 @@ def threat_score(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, window_u
 
 
 def simple_risk(severity_weight: Column, confidence: Column, criticality: Column) -> Column:
+    """The product of weight, confidence and criticality in points, within 0 and 100."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), severity_weight * confidence * criticality * 100))
