@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
@@ -331,20 +333,33 @@ def evaluate_detection(truth: DataFrame, detected: DataFrame, key: str = "id") -
 
 
 def throughput(df: DataFrame, latency: str, window: str, slide: str) -> DataFrame:
-    """Per sliding window of event time: events a second, mean latency and its 95th percentile by nearest rank."""
-    rows = df.select(F.window("ts", window, slide).alias("w"), F.col(latency).alias("l"))
-    totals = rows.groupBy("w").agg(F.count("*").alias("n"), F.avg("l").alias("mean"))
-    values = rows.filter("l IS NOT NULL").groupBy("w", "l").agg(F.count("*").alias("c"))
-    part = stage(values.repartitionByRange("w", "l").withColumn("part", F.spark_partition_id()), "latencies")
-    # A range's sum places it among its window's; only the range that has the rank is looked into.
+    """Per sliding window of event time: events a second, mean latency and its 95th percentile by nearest rank.
+
+    Rows are counted once, in panes that windows are made of: their number, sum and counts by value. Windows add up panes. For
+    the percentile, values are dealt by ranges; sums by pane and range say which range holds a window's rank, and only that
+    one's values of the window's panes are looked into.
+    """
+    width, step = (pd.Timedelta(x).value // 1000 for x in (window, slide))
+    pane = math.gcd(width, step)
+    down = lambda x, by: ((x - F.pmod(x, F.lit(by))) / by).cast("long")
+    rows = df.filter("ts IS NOT NULL").select(down(F.unix_micros("ts"), pane).alias("pane"), F.col(latency).alias("l"))
+    first, last = down((F.col("pane") + 1) * pane - width + (step - 1), step), down(F.col("pane") * pane, step)
+    in_windows = lambda panes: panes.withColumn("w", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    sums = in_windows(rows.groupBy("pane").agg(F.count("*").alias("n"), F.sum("l").alias("s"), F.count("l").alias("k")))
+    totals = sums.groupBy("w").agg(F.sum("n").alias("n"), (F.sum("s") / F.nullif(F.sum("k"), F.lit(0))).alias("mean"))
+    values = rows.filter("l IS NOT NULL").groupBy("pane", "l").agg(F.count("*").alias("c"))
+    values = stage(values.repartitionByRange("l").withColumn("part", F.spark_partition_id()), "latencies")
+    ranges = in_windows(values.groupBy("pane", "part").agg(F.sum("c").alias("c"))).groupBy("w", "part").agg(F.sum("c").alias("s"))
     up = Window.partitionBy("w").orderBy("part")
-    sums = part.groupBy("w", "part").agg(F.sum("c").alias("s")).withColumn("upto", F.sum("s").over(up)).withColumn("size", F.sum("s").over(Window.partitionBy("w")))
+    ranges = ranges.withColumn("upto", F.sum("s").over(up)).withColumn("size", F.sum("s").over(Window.partitionBy("w")))
     rank = F.least(F.floor(F.col("size") * 0.95), F.col("size") - 1)
-    held = sums.select("w", "part", (F.col("upto") - F.col("s")).alias("base"), "upto", rank.alias("rank")).filter("base <= rank AND rank < upto")
-    running = F.col("base") + F.sum("c").over(Window.partitionBy("w", "part").orderBy("l"))
-    p95 = part.join(held, ["w", "part"]).withColumn("running", running).filter("running > rank").groupBy("w").agg(F.min("l").alias("p95"))
-    seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
-    return totals.join(p95, "w", "left").select(F.col("w.end").alias("at"), (F.col("n") / seconds).alias("per_second"), "mean", "p95")
+    held = ranges.select("w", "part", (F.col("upto") - F.col("s")).alias("base"), "upto", rank.alias("rank")).filter("base <= rank AND rank < upto")
+    panes = F.sequence(F.col("w") * (step // pane), F.col("w") * (step // pane) + (width // pane - 1))
+    inside = values.join(held.withColumn("pane", F.explode(panes)), ["pane", "part"]).groupBy("w", "l", "base", "rank").agg(F.sum("c").alias("c"))
+    running = F.col("base") + F.sum("c").over(Window.partitionBy("w").orderBy("l"))
+    p95 = inside.withColumn("running", running).filter("running > rank").groupBy("w").agg(F.min("l").alias("p95"))
+    at = F.timestamp_micros(F.col("w") * step + width)
+    return totals.join(p95, "w", "left").select(at.alias("at"), (F.col("n") / (width / 1e6)).alias("per_second"), "mean", "p95")
 
 
 def source_health(logs: DataFrame, quarantine: DataFrame, source: str = "source", size: str = "message") -> DataFrame:

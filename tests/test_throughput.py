@@ -19,3 +19,22 @@ def test_nearest_rank_without_a_list(spark):
         known = sorted(x for x in xs if x is not None)
         assert found[k].p95 == (known[min(int(len(known) * 0.95), len(known) - 1)] if known else None)
         assert abs(found[k].per_second - len(xs) / 3600) < 1e-9
+
+
+def test_sliding_windows_of_panes(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(-90, 200) * 500_000, rnd.choice([None, float(rnd.randrange(6)), rnd.random() * 9])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "us long, l double").selectExpr("timestamp_micros(us) AS ts", "l")
+    for width, step in ((10, 1), (7, 3), (3, 7)):
+        want = {}
+        for us, x in rows:
+            for w in range(-200, 300):
+                if w * step * 10**6 <= us < (w * step + width) * 10**6:
+                    want.setdefault(w * step + width, []).append(x)
+        got = {r.at: r for r in throughput(df, "l", f"{width} seconds", f"{step} seconds").selectExpr("unix_seconds(at) AS at", "per_second", "mean", "p95").collect()}
+        assert set(got) == set(want)
+        for k, xs in want.items():
+            known = sorted(x for x in xs if x is not None)
+            assert got[k].p95 == (known[min(int(len(known) * 0.95), len(known) - 1)] if known else None)
+            assert abs(got[k].per_second - len(xs) / width) < 1e-9 and (got[k].mean is None) == (not known)
+            assert not known or abs(got[k].mean - sum(known) / len(known)) < 1e-9
