@@ -214,14 +214,14 @@ def with_earlier_counts(df: DataFrame, counts: Mapping[str, Sequence[str]], orde
     row's count is that of its keys in the ranges before and within its own. Null keys are keys like others.
     """
     rows = in_ranges(df, order)
-    for name, keys in counts.items():
-        weight = F.coalesce(F.col((sums or {})[name]), F.lit(0)) if name in (sums or {}) else F.lit(1)
-        own = rows.groupBy(*keys, "__part").agg(F.sum(weight).alias("__n"))
+    weights = {name: F.coalesce(F.col((sums or {})[name]), F.lit(0)) if name in (sums or {}) else F.lit(1) for name in counts}
+    narrow = rows.select("__part", "__at", *(F.col(k) for k in dict.fromkeys(k for keys in counts.values() for k in keys)), *(w.alias(f"__w{i}") for i, w in enumerate(weights.values())))
+    for i, (name, keys) in enumerate(counts.items()):
+        own = narrow.groupBy(*keys, "__part").agg(F.sum(f"__w{i}").alias("__n"))
         before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        bases = own.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-        within = F.sum(weight).over(Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
-        same = F.col("__part") == F.col("__p")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        rows = rows.withColumn("__in", F.coalesce(within, F.lit(0))).join(bases, same).withColumn(name, F.col("__in") + F.col("__base")).drop("__p", "__in", "__base", *(f"__k_{k}" for k in keys))
-    return rows.select(*(f"`{c}`" for c in df.columns), *counts)
+        bases = own.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+        within = F.sum(f"__w{i}").over(Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+        narrow = joined(narrow.withColumn("__in", F.coalesce(within, F.lit(0))), bases, [*keys, "__part"]).withColumn(f"__c{i}", F.col("__in") + F.col("__base")).drop("__in", "__base")
+    # Wide rows are shuffled once, whatever the number of counts.
+    found = narrow.select(F.col("__part").alias("__p"), F.col("__at").alias("__a"), *(F.col(f"__c{i}").alias(n) for i, n in enumerate(counts)))
+    return rows.join(found, (F.col("__part") == F.col("__p")) & (F.col("__at") == F.col("__a"))).select(*(f"`{c}`" for c in df.columns), *counts)

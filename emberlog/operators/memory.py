@@ -64,7 +64,7 @@ def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
 def tfidf(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Weights ``key, term, w`` and ``term, idf``; idf is ln((N+1)/(df+1)) + 1 over all of ``df``."""
     n = df.count()
-    tf = term_frequencies(df, key, text)
+    tf = stage(term_frequencies(df, key, text), "terms")  # read twice; texts are cut into terms once
     idf = tf.groupBy("term").agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
     return tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), idf
 

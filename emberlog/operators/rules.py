@@ -134,6 +134,27 @@ def with_rolling_z(df: DataFrame, field_name: str, out: str, min_samples: int =
     return scored.unionByName(numbers.filter(F.col(out).isNull()))
 
 
+def window_columns(df: DataFrame, rules: Sequence[RuleSpec]) -> DataFrame:
+    """``id`` and the :func:`helper` columns of threshold and statistical rules, from rows of the fields that they read.
+
+    Ids must be unique. Joined to wide rows by ``id``, they spare those a shuffle for each rule; :func:`evaluate_rules` takes
+    what it finds.
+    """
+    own = list({helper(r): r for r in rules if r.enabled and r.type in ("threshold", "statistical")}.values())
+    names = dict.fromkeys(n for r in own for n in (r.condition["field"], *r.condition.get("filter", {}), *r.condition.get("keys", ())) if n not in ("id", "us"))
+    narrow = df.select("id", "us", *(value_of(df, n).alias(n) for n in names))
+    for r in own:
+        narrow = _with_window(narrow, r)
+    return narrow.select("id", *map(helper, own))
+
+
+def _with_window(df: DataFrame, spec: RuleSpec) -> DataFrame:
+    if spec.type == "threshold":
+        return with_threshold_count(df, spec)
+    c = spec.condition
+    return with_rolling_z(df, c["field"], helper(spec), c.get("min_samples", MIN_SAMPLES), 1000, c.get("keys", ()))
+
+
 def evaluate_rules(df: DataFrame, rules: Sequence[RuleSpec] = BUILTIN_RULES, compilers: Mapping[str, Callable] | None = None) -> DataFrame:
     """``df`` with ``matches``, an array of MATCH, by priority from high to low, equal ones in the rules' order.
 
@@ -145,12 +166,8 @@ def evaluate_rules(df: DataFrame, rules: Sequence[RuleSpec] = BUILTIN_RULES, com
     active = sorted((r for r in rules if r.enabled), key=lambda r: -r.priority)
     columns = df.columns
     for r in active:
-        if helper(r) in df.columns:  # the same rule twice
-            continue
-        if r.type == "threshold":
-            df = with_threshold_count(df, r)
-        elif r.type == "statistical":
-            df = with_rolling_z(df, r.condition["field"], helper(r), r.condition.get("min_samples", MIN_SAMPLES), 1000, r.condition.get("keys", ()))
+        if r.type in ("threshold", "statistical") and helper(r) not in df.columns:  # the same rule may come twice
+            df = _with_window(df, r)
     found = []
     for r in active:
         fits, confidence, matched = compilers[r.type](df, r)

@@ -18,14 +18,17 @@ def detect_threats(events: DataFrame, indicators: DataFrame, specs: Sequence[rul
     ``matches``, ``risk``, ``reasons``, ``risk_severity``, ``techniques``. Ids must be unique.
     """
     kept = events.filter(~scoring.whitelisted(events))
-    df = rules.evaluate_rules(kept, specs).withColumn("keywords", scoring.keyword_hits(F.col("message")))
-    df = intel.ip_reputation(df, indicators)
-    df = scoring.user_deviation(df, uba_window_us)
+    # Windows run over the fields that they read; wide rows are dealt by id, once, to what the windows say of them.
+    known = rules.window_columns(kept, specs)
+    rare = scoring.user_deviation(kept.select("id", "us", "user_id", "event_type"), uba_window_us).select("id", "deviation")
+    df = kept.join(known, "id").join(rare, "id")
     if entities:
         usual = scoring.entity_z(scoring.extract_features(kept), entities).select("id", "entity_scores")
         df = df.join(usual, "id", "left")
     else:
         df = df.withColumn("entity_scores", F.array().cast("array<double>"))
+    df = rules.evaluate_rules(df, specs).drop(*(c for c in known.columns if c != "id")).withColumn("keywords", scoring.keyword_hits(F.col("message")))
+    df = intel.ip_reputation(df, indicators)
     parts = F.concat(F.coalesce("entity_scores", F.array().cast("array<double>")), F.array(*map(F.col, scores)).cast("array<double>"))
     df = df.withColumn("anomaly", scoring.mean_of(parts)).drop("entity_scores")
     df = scoring.alert_gate(scoring.compose_risk(df))
