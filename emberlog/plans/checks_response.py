@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberlog.functions.storage import stage
 from emberlog.operators import memory as m
 from emberlog.operators import response as r
 from emberlog.operators import search as q
@@ -33,8 +34,9 @@ BAND = "CASE WHEN x >= 80 THEN 'critical' WHEN x >= 60 THEN 'high' WHEN x >= 40
 @query(RISK + f""" SELECT id, 'Threat detected: ' || event_type AS title, {BAND} AS severity, {REASONS} AS description, {TECHNIQUES} AS techniques, round(x / 100, 6) AS confidence,
   'auto_generated,rule_based_detection' AS tags FROM a""")
 def l1_build_alerts(spark, sf_dir):
-    alerts = r.build_alerts(_alerts(spark, sf_dir))
-    all_of = _alerts(spark, sf_dir).select("id", F.array_join("techniques", ",").alias("techniques"))
+    detected = stage(_alerts(spark, sf_dir), "alerts")
+    alerts = r.build_alerts(detected)
+    all_of = detected.select("id", F.array_join("techniques", ",").alias("techniques"))
     df = alerts.select(F.get("log_ids", 0).alias("id"), "title", "severity", "description", "technique", F.round("confidence", 6).alias("confidence"), F.array_join("tags", ",").alias("tags"))
     kept = df.join(all_of, "id").filter(F.coalesce("technique", F.lit("")) == F.substring_index("techniques", ",", 1))
     return kept.drop("technique")
