@@ -35,3 +35,16 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
+
+
+def gathered(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of the string column ``at``: what repeats in a batch is worked out once."""
+    held, bytes_ = [], 0
+    for batch in batches:
+        held.append(batch)
+        bytes_ += batch.column(at).nbytes
+        if bytes_ >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, bytes_ = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

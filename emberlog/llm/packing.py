@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.storage import stage
-from emberlog.llm.memory import give_back, small_batches
+from emberlog.llm.memory import gathered, give_back, small_batches
 from emberlog.llm.names import unused
-from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs
+from emberlog.llm.tokens import DEFAULT_TOKENIZER, SLAB_BYTES, encoder, slabs
 
 #: A sweep takes documents of at least this share of the longest that waits, and all once that is a sixth of the capacity.
 SWEEP_SHARE, SWEEP_ALL = (2, 3), 6
@@ -35,7 +35,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-        for batch in batches:
+        for batch in gathered(batches, 1, SLAB_BYTES):
             for at, texts in slabs(batch.column(1)):
                 got = coder.encode_batch(texts, end)
                 sizes = np.diff(got.ends, prepend=0)
