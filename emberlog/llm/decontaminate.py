@@ -204,7 +204,11 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, part_chars: int = PART_CHARS) -> DataFrame:
-    """The rows of ``docs`` for which :func:`benchmark_matches` has nothing, all columns as they were."""
+    """The rows of ``docs`` for which :func:`benchmark_matches` has nothing, all columns as they were, whatever their names.
+
+    Null and empty texts stay; rows that repeat go or stay alike; null ids are ids like others; an empty benchmark keeps
+    all; no rows give none.
+    """
     at, schema = docs.columns.index("text"), docs.schema
     for token, items in _parts(benchmark, part_chars):
 

@@ -129,8 +129,9 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None) -> DataFram
 
 
 def redact_secrets(docs: DataFrame, ratios: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by ``mark``; spans that overlap become one. All rows stay, and null
-    texts stay null.
+    """``docs`` with each secret in ``text`` replaced by ``mark``; spans that overlap become one. All rows stay, with
+    their other columns, whatever their names; null texts stay null and empty ones empty; rows that repeat are changed
+    alike; no rows give none.
     """
     df = with_spans(docs, ratios or train(labelled_samples(docs)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -55,7 +55,9 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZ
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, ids)``; a filter on ``doc_id`` skips files' stripes and row groups by their statistics and Bloom filters."""
+    """``(doc_id, ids)``; a filter on ``doc_id`` skips files' stripes and row groups by their statistics and Bloom filters.
+
+    Null and repeated ids come back as they were written, a row each; no files of that kind give no rows."""
     return spark.read.schema("doc_id long, ids array<int>").option("pathGlobFilter", "*.orc").orc(path)
 
 

@@ -142,7 +142,7 @@ def arc_records(name: str, content: bytes) -> Iterator[tuple]:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files below ``path``, in ARC_SCHEMA."""
+    """The records of all ARC files below ``path``, in ARC_SCHEMA; equal records come each, empty payloads are empty."""
     types = [*[pa.string()] * 6, pa.int64(), pa.binary(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in ARC_SCHEMA.split(", ")]
 
@@ -217,6 +217,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     but ``warcinfo`` below ``path``.
 
     A revisit has no payload; its size is the one its HTTP header declares, its digest the one its WARC header has.
+    Pages without an id have a null ``page_id``; equal records come each.
     """
     schema = "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, payload binary"
     types = [*[pa.string()] * 4, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
