@@ -9,7 +9,7 @@ from emberlog.operators import memory as m
 from emberlog.operators import response as r
 from emberlog.operators import search as q
 from emberlog.operators import rules, scoring
-from emberlog.plans.checks_detection import BY_PRIORITY, E_SQL, ENTITY_SQL, RISK, TECHNIQUES, _alerts, table
+from emberlog.plans.checks_detection import BY_PRIORITY, E_SQL, RISK, TECHNIQUES, _alerts, table
 from emberlog.sources.events import sec_events
 
 QUERIES: dict = {}
