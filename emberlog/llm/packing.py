@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.storage import stage
 from emberlog.llm.memory import gathered, give_back, small_batches
 from emberlog.llm.names import unused
-from emberlog.llm.tokens import DEFAULT_TOKENIZER, SLAB_BYTES, encoder, slabs
+from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs
 
 #: A sweep takes documents of at least this share of the longest that waits, and all once that is a sixth of the capacity.
 SWEEP_SHARE, SWEEP_ALL = (2, 3), 6
@@ -22,6 +22,8 @@ SWEEP_SHARE, SWEEP_ALL = (2, 3), 6
 RANGES = 16
 #: Steps that are broadcast at most; there are about as many as lengths and rounds, whatever the number of rows.
 BROADCAST_STEPS = 1_000_000
+#: Texts are encoded together up to so many bytes: the more, the fewer words are encoded again.
+TEXT_BYTES = 8 << 20
 GAP, WAITING, PLACED, FILLED, LATER, SUMMARY = range(6)
 #: A run of ``n`` equal things. Gaps: sequences ``at``, ``at + 1``, ...; ``size`` is what a sweep sorts by, ``left`` the
 #: room in each, ``slots`` how many documents each may take in this sweep. Documents: ranks ``at``, ``at + 1``, ... of
@@ -35,8 +37,8 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-        for batch in gathered(batches, 1, SLAB_BYTES):
-            for at, texts in slabs(batch.column(1)):
+        for batch in gathered(batches, 1, TEXT_BYTES):
+            for at, texts in slabs(batch.column(1), TEXT_BYTES):
                 got = coder.encode_batch(texts, end)
                 sizes = np.diff(got.ends, prepend=0)
                 pieces = -(-sizes // capacity)

@@ -236,13 +236,13 @@ def encoder(path: str = DEFAULT_TOKENIZER, offsets: bool = False) -> Encoder:
     return Encoder(path, offsets)
 
 
-def slabs(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """A string column in slices of about SLAB_BYTES, null as the empty text: (place of the first, texts)."""
+def slabs(column: pa.Array, most: int = SLAB_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """A string column in slices of about ``most`` bytes, null as the empty text: (place of the first, texts)."""
     texts = pc.fill_null(column, "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     begin, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > begin and held + n > SLAB_BYTES:
+        if i > begin and held + n > most:
             yield begin, texts.slice(begin, i - begin)
             begin, held = i, 0
         held += n
