@@ -40,9 +40,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece of a document gets its sequence and its place in it. Null and empty texts are one id; rows that repeat
     are packed each; null ids stay null; other columns are left out; no rows give none."""
-    return pack_documents(docs)
+    return pack_documents(docs, text_bytes=PACKED_BYTES)
 
 
+#: Packing follows stages whose memory the executors still hold, so fewer texts are encoded together than by itself.
+PACKED_BYTES = 2 << 20
+
 STAGES = [("quality rules", quality), ("near-dedup", dedup), ("decontamination", decontaminate), ("secret scan", secrets), ("packing", packing)]
 
 #: The stages run a tokenizer, a search over fingerprints and models fitted on the data: SQL can't express them.

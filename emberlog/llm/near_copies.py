@@ -1,4 +1,5 @@
-"""De-duplication by exact Jaccard similarity of five-word shingles; MinHash bands find who has to be compared."""
+"""De-duplication by exact Jaccard similarity of five-word shingles. Who has to be compared is found by SimHash on grids of
+segments' bit counts, the method of :mod:`emberlog.llm.simhash`, and by MinHash bands, as texts at 0.8 lie beyond its radius."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from emberlog.functions.storage import stage
 from emberlog.llm.memory import give_back, small_batches
 from emberlog.llm.names import unused
 from emberlog.llm.prefilter import possible
-from emberlog.llm.simhash import SEED
+from emberlog.llm.simhash import SEED, fingerprint_links, fingerprint_of, shingle_hashes
 from emberlog.llm.tokens import texts_of
 from emberlog.operators.components import connected_components
 
@@ -37,13 +38,7 @@ _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 64, (2, BANDS * BAND_ROW
 
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct XXH64 values of the shingles; words as in :func:`emberlog.llm.simhash.simhash`."""
-    found = text.encode().lower().split()
-    if not found:
-        return np.array([], np.uint64)
-    joined = b" ".join(found)
-    begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(begins, begins[min(WORDS, len(found)) :])], np.uint64))
+    return np.unique(shingle_hashes(text, WORDS))
 
 
 def bands_of(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -64,19 +59,21 @@ _ZERO_HALVES = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8
 
 
 def _with_bands(docs: DataFrame, names: list[str]) -> DataFrame:
-    """``docs`` and, under the four ``names``: a key (same for equal sets), the size of the set, its bands and its sketch."""
+    """``docs`` and, under the five ``names``: a key (same for equal sets), the size of the set, its bands, its sketch and the
+    text's fingerprint."""
     columns, at = [*docs.columns, *names], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
-            sets = [shingle_set(x) for x in texts_of(batch.column(at))]
+            hashes = [shingle_hashes(x, WORDS) for x in texts_of(batch.column(at))]
+            prints, sets = pa.array(map(fingerprint_of, hashes), pa.int64()), [*map(np.unique, hashes)]
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             bands, sketches = zip(*map(bands_of, sets)) if sets else ((np.array([], np.int64),), ())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(bands)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys, pa.array(list(map(len, sets)), pa.int32()), lists, pa.array(sketches, pa.binary())], columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys, pa.array(list(map(len, sets)), pa.int32()), lists, pa.array(sketches, pa.binary()), prints], columns)
         give_back()
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + ", ".join(f"`{n}` {t}" for n, t in zip(names, ("binary", "int", "array<bigint>", "binary"))))
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + ", ".join(f"`{n}` {t}" for n, t in zip(names, ("binary", "int", "array<bigint>", "binary", "long"))))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -188,13 +185,26 @@ def probable_links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_alike, "src long, dst long")
 
 
+def print_links(nodes: DataFrame) -> DataFrame:
+    """``src, dst`` of ``nodes(node, fp)``: links so that the components are those of fingerprints within the radius.
+
+    For each fingerprint the least node stands, and the others with the same one are tied to it.
+    """
+    own = stage(nodes.select("node", "fp"), "near-copy-prints")
+    prints = stage(own.groupBy("fp").agg(F.min("node").alias("low")), "near-copy-prints")
+    same = own.join(prints, "fp").filter("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst"))
+    links = fingerprint_links(prints.select("fp")).distinct()
+    ends = links.join(prints.toDF("src", "a"), "src").join(prints.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return ends.unionByName(same)
+
+
 def similar_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``src, dst`` of ``nodes(node, n, bands, sketch)`` so that the components are those of all pairs of similar texts.
+    """``src, dst`` of ``nodes(node, n, bands, sketch, fp)`` so that the components are those of all pairs of similar texts.
 
-    ``rows`` has their ``node, text``. In each component of :func:`probable_links` all pairs are compared by exact
-    similarity, a large one in pairs of blocks by hash.
+    ``rows`` has their ``node, text``. In each component of :func:`print_links` and :func:`probable_links` all pairs are
+    compared by exact similarity, a large one in pairs of blocks by hash.
     """
-    loose = connected_components(probable_links(nodes))
+    loose = connected_components(print_links(nodes).unionByName(probable_links(nodes)))
     members = stage(loose.join(nodes.select("node", "n"), "node"), "near-copy-groups")
     sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
     dealt = _in_blocks(members, sizes, ["component"], _blocks(F.col("texts"), F.col("shingles"))).select("component", "i", "j", "node")
@@ -217,13 +227,13 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     first read stays; rows without one stay only if none of their group has one. No rows: none. Columns may have any
     names.
     """
-    at, key, size, bands, sketch = unused(docs.columns, "row", "key", "n", "bands", "sketch")
+    at, key, size, bands, sketch, fp = unused(docs.columns, "row", "key", "n", "bands", "sketch", "fp")
     with small_batches(docs.sparkSession):
-        rows = stage(_with_bands(docs.withColumn(at, F.monotonically_increasing_id()), [key, size, bands, sketch]), "near-copies")
+        rows = stage(_with_bands(docs.withColumn(at, F.monotonically_increasing_id()), [key, size, bands, sketch, fp]), "near-copies")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(at).alias("row"))
     sets = rows.groupBy(key).agg(F.min(at).alias("node"), F.max(size).alias("n"), F.min(first).alias("first"))
     nodes = stage(sets.select("node", "n", "first"), "near-copy-sets")
-    own = rows.select(F.col(at).alias("node"), F.col(bands).alias("bands"), F.col(sketch).alias("sketch"), F.col(size).alias("n"))
+    own = rows.select(F.col(at).alias("node"), F.col(bands).alias("bands"), F.col(sketch).alias("sketch"), F.col(size).alias("n"), F.col(fp).alias("fp"))
     # Of equal sets one row stands for all.
     own = _without(own, stage(own.select("node").join(nodes.select("node"), "node", "left_anti"), "near-copies-equal"), "node")
     linked = connected_components(similar_links(rows.select(F.col(at).alias("node"), F.col("text").cast("string").alias("text")), own))

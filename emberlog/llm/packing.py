@@ -33,12 +33,12 @@ _RUN = [f.split()[0] for f in RUN.split(", ")]
 STEP = ("size", "at", "n", "slots", "sequence", "offset")
 
 
-def _pieces(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
+def _pieces(tokenizer: str, capacity: int, end_id: int, keep_ids: bool, text_bytes: int = TEXT_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-        for batch in gathered(batches, 1, TEXT_BYTES):
-            for at, texts in slabs(batch.column(1), TEXT_BYTES):
+        for batch in gathered(batches, 1, text_bytes):
+            for at, texts in slabs(batch.column(1), text_bytes):
                 got = coder.encode_batch(texts, end)
                 sizes = np.diff(got.ends, prepend=0)
                 pieces = -(-sizes // capacity)
@@ -251,10 +251,11 @@ def _packed(given: DataFrame, made: Callable | None, dtypes: list[tuple[str, str
     return found.select(*(f"`{c}`" for c in kept), (sequence + F.floor(own / each)).alias("sequence_id"), (offset + own % each * size).alias("offset"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """:func:`pack` of the :func:`token_pieces` of ``docs``, which are numbered by the task that cuts them."""
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 0, keep_ids: bool = False, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """:func:`pack` of the :func:`token_pieces` of ``docs``, which are numbered by the task that cuts them. Texts are encoded
+    together up to ``text_bytes``: the more, the less time and the more memory."""
     dtypes = [tuple(c.split()) for c in _schema(keep_ids).split(", ")]
-    return _packed(_given(docs), _pieces(tokenizer, capacity, end_id, keep_ids), dtypes, capacity)
+    return _packed(_given(docs), _pieces(tokenizer, capacity, end_id, keep_ids, text_bytes), dtypes, capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -24,23 +24,32 @@ SMALL_CELL = 8
 _LOW_BITS = 0x5555555555555555
 
 
-def simhash(text: str, words: int = 3) -> int:
-    """Fingerprint of a text: bit ``b`` is set if it is in over half of the shingles' XXH64 values, repeats included.
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included.
 
     A-Z are lower-cased, words are split at ASCII white space; fewer words than a shingle has make one shingle of all
-    of them, and no words give 0.
+    of them, and no words give none.
     """
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(found)
     begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)]).tolist()
-    digest, n = xxhash.xxh64_intdigest, max(1, len(found) - words + 1)
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(begins, begins[min(words, len(found)) :])], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(begins, begins[min(words, len(found)) :])], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bit ``b`` is set if it is in over half of the values; 0 without any."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 65_536):
+    for i in range(0, len(hashes), 65_536):
         counts += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def simhash(text: str, words: int = 3) -> int:
+    """Fingerprint of a text: that of its :func:`shingle_hashes`."""
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3, name: str = "fingerprint") -> DataFrame:

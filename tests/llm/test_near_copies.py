@@ -60,6 +60,14 @@ def test_groups_in_pairs_of_blocks(spark, monkeypatch):
     check(spark)
 
 
+def test_simhash_and_its_grids_find_candidates_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "probable_links", lambda nodes: nodes.selectExpr("node AS src", "node AS dst").limit(0))
+    text = " ".join(f"w{i}" for i in range(4000))
+    rows = [(1, text), (2, text + " more"), (3, "first " + text), (4, text[: len(text) // 2]), (5, "x " * 50 + text), (6, None)]
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert not {2, 3} & {r.doc_id for r in got.collect()} and {1, 4, 6} <= {r.doc_id for r in got.collect()}
+
+
 def test_names_may_clash(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(2, text, 1), (1, text + " more", 2), (3, "other " * 9, 3)], "doc_id long, text string, row int").selectExpr("*", "4 AS key", "5 AS n", "6 AS bands", "7 AS Sketch", "8 AS node")
