@@ -22,31 +22,30 @@ PIECE_WINDOWS = 8
 _POSITION = (1 << 33) - 1
 
 
-def trailing_count(keys: Sequence[str], window_us: int, time: str = "us", tie: str = "id", include_self: bool = True) -> Column:
-    """Rows of the same keys in the last ``window_us`` microseconds up to this one, both ends included.
-
-    A range frame also counts rows of the same time that arrive later; they are taken off again. Rows are dealt by
-    ``keys`` once: the window by keys and time needs no further exchange.
-    """
-    frame = Window.partitionBy(*keys).orderBy(time).rangeBetween(-window_us, 0)
-    peers = Window.partitionBy(*keys, time)
-    later = F.count("*").over(peers) - F.row_number().over(peers.orderBy(tie))
-    return F.count("*").over(frame) - later - (0 if include_self else 1)
-
-
 def with_trailing_counts(df: DataFrame, counts: Mapping[str, Sequence[str]], window_us: int, include_self: bool = True) -> DataFrame:
-    """``df`` with a :func:`trailing_count` under each name of ``counts``, by its keys.
+    """``df`` with, under each name of ``counts``, how many rows of the same keys came in the last ``window_us`` microseconds
+    up to this one, both ends included; of rows of the same time those count that come before it by ``id``.
 
     The first keys must be among those of all others. Pieces of one key and time are dealt apart. Rows without a time
-    form one piece of their key.
+    form one piece of their key. Each row comes a second time, as the mark that it leaves the windows, with its keys alone:
+    a running sum of rows less marks is the count, and takes the same time a row however many rows a window holds.
     """
     width = PIECE_WINDOWS * max(window_us, 1)
-    own = F.floor(F.col("us") / width)
-    reach = F.sequence(own, F.floor((F.col("us") + window_us) / width))
-    rows = df.withColumn("__home", own).withColumn("__piece", F.explode(F.when(F.col("us").isNull(), F.array(F.lit(None).cast("long"))).otherwise(reach)))
+    own, end = F.floor(F.col("us") / width), F.floor((F.col("us") + window_us) / width)
+    kept = {"us", *(k for keys in counts.values() for k in keys)}
+    copy = lambda piece, leaves: F.struct(piece.alias("__piece"), F.lit(leaves).alias("__leaves"))
+    stay = F.transform(F.sequence(own, end), lambda p: copy(p, 0))
+    timed = F.concat(stay, F.array(copy(end, 1)))
+    copies = F.when(F.col("us").isNull(), F.array(copy(F.lit(None).cast("long"), 0))).otherwise(timed)
+    rows = df.withColumn("__home", own).select("*", F.inline(copies))
+    there = F.col("__leaves") == 0
+    # A row leaves after the last microsecond of its window, before any row of the next one.
+    at = F.when(there, F.col("us")).otherwise(F.col("us") + window_us + 1).alias("__time")
+    rows = rows.select(*(F.col(f"`{c}`") if c in kept else F.when(there, F.col(f"`{c}`")).alias(c) for c in df.columns), "__home", "__piece", "__leaves", at)
     for name, keys in counts.items():
-        rows = rows.withColumn(name, trailing_count([*keys, "__piece"], window_us, include_self=include_self))
-    return rows.filter(F.col("__home").eqNullSafe(F.col("__piece"))).drop("__home", "__piece")
+        frame = Window.partitionBy(*keys, "__piece").orderBy("__time", F.col("__leaves").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(name, F.sum(F.when(there, 1).otherwise(-1)).over(frame) - (0 if include_self else 1))
+    return rows.filter(there & F.col("__home").eqNullSafe(F.col("__piece"))).drop("__home", "__piece", "__leaves", "__time")
 
 
 def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def test_trailing_counts(df, rows, window):
             assert got[r[0]] == (n, m)
 
 
+def test_trailing_counts_take_no_longer_where_windows_hold_many_rows(spark):
+    # All in one window: with a frame that is gone through for each row, 40 000 rows are 800 million steps.
+    many = spark.range(40_000, numPartitions=2).selectExpr("CAST(id AS STRING) AS id", "id AS us", "'k' AS k")
+    began = time.perf_counter()
+    got = lookback.with_trailing_counts(many, {"n": ["k"]}, 39_000)
+    assert "RangeFrame" not in got._jdf.queryExecution().toString() and got.filter("n <> least(us + 1, 39001)").count() == 0
+    assert time.perf_counter() - began < 30
+
+
 def test_earlier_counts_and_sums(df, rows):
     got = {r.id: (r.n, r.s) for r in lookback.with_earlier_counts(df, {"n": ["k"], "s": ["k", "t"]}, sums={"s": "v"}).collect()}
     assert got == {r[0]: (len(earlier(rows, r, (2,))), sum(x[4] for x in earlier(rows, r, (2, 3)))) for r in rows}
