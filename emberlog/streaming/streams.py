@@ -165,8 +165,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     path, last = new_path(spark, name), {"id": 0}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        last["id"] = batch_id if not batch.isEmpty() else last["id"]
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # What is written tells whether there was anything: to ask the batch is to run it, and its state, once more.
+        if mode == "complete" and not spark.read.schema(stream.schema).parquet(f"{path}/batch={batch_id}").isEmpty():
+            last["id"] = batch_id
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", new_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
