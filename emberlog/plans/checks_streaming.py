@@ -31,11 +31,11 @@ def query(sql: str | None = None):
 
 def _stream(spark, sf_dir, batches: int = 1):
     """The events written once and read as a stream, in so many micro-batches."""
-    df = sec_events(spark, sf_dir)
-    written = df if batches == 1 else df.repartition(batches, "id")
+    df, files = sec_events(spark, sf_dir), spark.sparkContext.defaultParallelism
+    written = df if batches == 1 else df.repartition(batches * files, "id")
     written.write.parquet(path := new_path(spark, "events"))
     reader = spark.readStream.schema(df.schema)
-    return (reader if batches == 1 else reader.option("maxFilesPerTrigger", 1)).parquet(path)
+    return (reader if batches == 1 else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 @query("SELECT count(*) AS ok, CAST(0 AS BIGINT) AS bad FROM e")
@@ -52,7 +52,7 @@ def w1_stream_ingest(spark, sf_dir):
   concat_ws(',', CASE WHEN regexp_matches(message, 'union.{0,20}select', 'i') THEN 'SIG_SQLI_UNION' END, CASE WHEN regexp_matches(message, '\.\./', 'i') THEN 'SIG_PATH_TRAVERSAL' END) AS signatures,
   CASE WHEN i BETWEEN 3 AND 44 THEN 55.0 + i % 30 END AS ti_score, CASE WHEN i BETWEEN 3 AND 44 AND 55 + i % 30 >= 70 THEN 'high' ELSE severity END AS severity FROM (SELECT *, CAST(substr(user_id, 2) AS BIGINT) % 60 AS i FROM e) t""")
 def w2_stream_detection(spark, sf_dir):
-    """Each file of events is a micro-batch; what is found is what one batch over all finds."""
+    """Three micro-batches; what is found is what one batch over all finds."""
     known, path = intel.builtin_indicators(spark), new_path(spark, "detected")
     streams.for_each_batch(_stream(spark, sf_dir, 3), path, new_path(spark, "state"), lambda batch: detect_stateless(batch, known)).awaitTermination()
     df = spark.read.parquet(path)
@@ -78,12 +78,13 @@ def _closed(spark, sf_dir, batches: int = 1):
     """The events as a stream in so many micro-batches, up to two days out of order, and an event a year later, in a batch of its own, that closes what they leave open."""
     df = sec_events(spark, sf_dir)
     path, come = new_path(spark, "events"), F.col("us") + F.pmod(F.xxhash64("id"), F.lit(2 * 86_400_000_000))
+    files = spark.sparkContext.defaultParallelism  # so many tasks write and read a batch
     low, high = df.agg(F.min(come), F.max(come)).first()
     for i in range(batches):
-        df.filter(F.floor((come - low) / (high - low + 1) * batches) == i).coalesce(1).write.parquet(f"{path}/part={i}")
+        df.filter(F.floor((come - low) / (high - low + 1) * batches) == i).repartition(files, "id").write.parquet(f"{path}/part={i}")
     end = df.agg((F.max("us") + F.lit(365 * 86_400_000_000)).alias("us")).select(F.lit("end").alias("id"), "us", F.timestamp_micros("us").alias("ts"), *(F.lit("end").alias(c) for c in ("host", "user_id", "source", "event_type")))
     df.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.parquet(f"{path}/part={batches}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")
 
 
 @query(""", l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, id) AS nth FROM l)
