@@ -20,6 +20,8 @@ from emberlog.functions.storage import stage
 #: A piece of time is so many windows long: rows of the last one are also dealt to the piece after.
 PIECE_WINDOWS = 8
 _POSITION = (1 << 33) - 1
+#: Numbers below have a square that is finite.
+SQUARED_FINITE = 1e150
 
 
 def with_trailing_counts(df: DataFrame, counts: Mapping[str, Sequence[str]], window_us: int, include_self: bool = True) -> DataFrame:
@@ -119,6 +121,16 @@ def sliding_moments(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np
     frame is the blocks of the bits of its length. A value, however large, so touches only the frames that hold it. Frames with
     infinities or NaN have a deviation of NaN and the mean that numpy gives; in those where nothing changes it is 0.
     """
+    mean, spread = np.full((2, len(x), len(n)), np.nan)
+    for i, own in enumerate(x):  # one after another, so that what a row takes stays in the processor's cache
+        if len(own) and abs(own[0]) < SQUARED_FINITE and (own == own[0]).all():
+            mean[i], spread[i] = np.where(n > 0, own[0], np.nan), np.where(n > 0, 0.0, np.nan)
+        else:
+            mean[i : i + 1], spread[i : i + 1] = _sliding_moments(x[i : i + 1], first, n)
+    return mean, spread
+
+
+def _sliding_moments(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     odd = ~np.isfinite(x)
     counts = lambda flags: np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(flags, axis=1)], axis=1)
     within = lambda sums, a, b: sums[:, b] - sums[:, a]
@@ -151,8 +163,20 @@ def sliding_moments(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np
     return np.where(n > 0, mean, np.nan), np.where(n > 0, np.where(still, 0.0, spread), np.nan)
 
 
-def _moments(keys: int, columns: int, last: int, skip: int):
-    """Moments of rows ``bucket, keys..., numbers...`` that come sorted: the rows with ``n``, means and deviations after."""
+def _mean_z(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The mean |z| of each column of values, of those that are numbers; NaN without one. Added up in their order."""
+    total, known = np.zeros(x.shape[1]), np.zeros(x.shape[1], np.int64)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for own, middle, deviation in zip(x, mean, spread):
+            z = np.abs(own - middle) / (deviation + 1e-6)
+            there = ~np.isnan(z)
+            total, known = np.where(there, total + z, total), known + there
+        return np.where(known > 0, total / np.maximum(known, 1), np.nan)
+
+
+def _moments(keys: int, columns: int, last: int, skip: int, as_z: bool):
+    """Moments of rows ``bucket, keys..., numbers..., row, pos, owned`` that come sorted: the ``row`` of owned ones with
+    ``n``, and numbers, means and deviations or their mean z after."""
 
     def of_bucket(table: pa.Table) -> pa.RecordBatch:
         batch = table.combine_chunks().to_batches()[0]
@@ -163,14 +187,20 @@ def _moments(keys: int, columns: int, last: int, skip: int):
             new[1:] |= codes[1:] != codes[:-1]
         at = np.arange(batch.num_rows)
         first = np.maximum.accumulate(np.where(new, at, 0))
-        high = at - skip
-        low = np.minimum(np.maximum(first, high - last + 1), high + 1)
+        own = np.flatnonzero(batch.column("__owned").to_numpy(zero_copy_only=False))
+        high = own - skip
+        low = np.minimum(np.maximum(first[own], high - last + 1), high + 1)
         n = high + 1 - low
         x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns[1 + keys : 1 + keys + columns]], float).reshape(columns, -1)
         mean, spread = sliding_moments(x, low, n)
-        out = [pa.array(v, mask=n == 0) for pair in zip(mean, spread) for v in pair]
-        names = [*batch.schema.names, "n", *(f"m{i}" for i in range(2 * columns))]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), *out], names)
+        x = x[:, own]
+        if as_z:
+            z = _mean_z(x, mean, spread)
+            out, names = [pa.array(z, mask=np.isnan(z))], ["z"]
+        else:
+            out = [*map(pa.array, x), *(pa.array(v, mask=n == 0) for pair in zip(mean, spread) for v in pair)]
+            names = [*(f"__x{i}" for i in range(columns)), *(f"m{i}" for i in range(2 * columns))]
+        return pa.RecordBatch.from_arrays([batch.column("__row").take(pa.array(own)), pa.array(n, pa.int64()), *out], ["__row", "n", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -189,6 +219,19 @@ def _moments(keys: int, columns: int, last: int, skip: int):
     return run
 
 
+def _trailing(df: DataFrame, columns: Sequence[str], last: int, keys: Sequence[str], order: Sequence[str], include_self: bool, as_z: bool) -> tuple[DataFrame, list[str]]:
+    """Rows as :func:`_moments` gives them, and the columns that ``__row`` holds. Doubles are carried once, as the numbers."""
+    types = dict(df.dtypes)
+    carried = [c for c in df.columns if c not in columns or (types[c] != "double" and not as_z)]
+    placed = with_halo(with_global_position(df, [*keys, *order]), last if not include_self else last - 1)
+    given = [F.col("bucket").alias("__bucket"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns))]
+    kept = [F.struct(F.lit(None).cast("boolean").alias("__none"), *(F.col(f"`{c}`") for c in carried)).alias("__row"), F.col("pos").alias("__pos"), F.col("owned").alias("__owned")]
+    rows = placed.select(*given, *kept).repartition("__bucket").sortWithinPartitions("__bucket", *(f"__k{i}" for i in range(len(keys))), "__pos")
+    names = ["z"] if as_z else [*(f"__x{i}" for i in range(len(columns))), *(f"m{i}" for i in range(2 * len(columns)))]
+    schema = StructType([rows.schema["__row"], StructField("n", LongType()), *(StructField(n, DoubleType()) for n in names)])
+    return rows.mapInArrow(_moments(len(keys), len(columns), last, 0 if include_self else 1, as_z), schema), carried
+
+
 def with_trailing_moments(df: DataFrame, columns: Sequence[str], last: int, keys: Sequence[str] = (), order: Sequence[str] = ("us", "id"), include_self: bool = True) -> DataFrame:
     """``df`` with ``n``, and ``{column}_mean`` and ``{column}_dev`` (population deviation) of each number in ``columns``
     over the ``last`` rows of the same keys, the row itself included or those before it. The columns hold no nulls.
@@ -196,14 +239,17 @@ def with_trailing_moments(df: DataFrame, columns: Sequence[str], last: int, keys
     A row's cost grows with the logarithm of the frame; a task holds one bucket of rows at a time. What an odd value does to
     a frame is in :func:`sliding_moments`.
     """
-    placed = with_halo(with_global_position(df, [*keys, *order]), last if not include_self else last - 1)
-    given = [F.col("bucket").alias("__bucket"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns))]
-    kept = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col("pos").alias("__pos"), F.col("owned").alias("__owned")]
-    rows = placed.select(*given, *kept).repartition("__bucket").sortWithinPartitions("__bucket", *(f"__k{i}" for i in range(len(keys))), "__pos")
-    schema = StructType([*rows.schema.fields, StructField("n", LongType()), *(StructField(f"m{i}", DoubleType()) for i in range(2 * len(columns)))])
-    found = rows.mapInArrow(_moments(len(keys), len(columns), last, 0 if include_self else 1), schema).filter("__owned")
+    found, carried = _trailing(df, columns, last, keys, order, include_self, False)
+    given = [F.col(f"__row.`{c}`").alias(c) if c in carried else F.col(f"__x{list(columns).index(c)}").alias(c) for c in df.columns]
     named = [F.col(f"m{2 * i + j}").alias(f"{c}_{what}") for i, c in enumerate(columns) for j, what in enumerate(("mean", "dev"))]
-    return found.select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns), "n", *named)
+    return found.select(*given, "n", *named)
+
+
+def trailing_z(df: DataFrame, columns: Sequence[str], last: int, keys: Sequence[str] = (), order: Sequence[str] = ("us", "id"), include_self: bool = True) -> DataFrame:
+    """``df`` without ``columns`` and with ``n`` and ``z``: the mean over them of |x - mean| / (deviation + 1e-6), as
+    :func:`with_trailing_moments` has these, of those that are numbers; null without one. Only ``z`` leaves the task."""
+    found, carried = _trailing(df, columns, last, keys, order, include_self, True)
+    return found.select(*(F.col(f"__row.`{c}`").alias(c) for c in carried), "n", "z")
 
 
 def with_earlier_counts(df: DataFrame, counts: Mapping[str, Sequence[str]], order: Sequence[str] = ("us", "id"), sums: Mapping[str, str] | None = None) -> DataFrame:

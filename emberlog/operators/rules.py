@@ -143,7 +143,9 @@ def window_columns(df: DataFrame, rules: Sequence[RuleSpec]) -> DataFrame:
     own = list({helper(r): r for r in rules if r.enabled and r.type in ("threshold", "statistical")}.values())
     names = dict.fromkeys(n for r in own for n in (r.condition["field"], *r.condition.get("filter", {}), *r.condition.get("keys", ())) if n not in ("id", "us"))
     narrow = df.select("id", "us", *(value_of(df, n).alias(n) for n in names))
-    for r in own:
+    # A statistical rule reads its rows three times (their ranges, their places and those without a number), so it comes before
+    # the counts, whose windows would be gone through as often.
+    for r in sorted(own, key=lambda r: r.type == "threshold"):
         narrow = _with_window(narrow, r)
     return narrow.select("id", *map(helper, own))
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.lookback import with_earlier_counts, with_trailing_counts, with_trailing_moments
+from emberlog.functions.lookback import trailing_z, with_earlier_counts, with_trailing_counts, with_trailing_moments
 from emberlog.operators.rules import value_of
 
 # Codes of severities and source types as features.
@@ -80,16 +80,12 @@ def entity_z(df: DataFrame, keys: Sequence[str] = ("host", "source", "user_id"),
     averaged over the entities with ``least`` such events; null without one. Features whose frame holds an infinity or
     NaN are left out. ``entity_scores`` has a fifth of each
     entity's, at most 1."""
-    melted, columns = None, [f"f_{f}" for f in features]
-    for k in keys:
-        values = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns]
-        part = df.filter(F.coalesce(F.col(k), F.lit("")) != "").select("id", "us", F.concat(F.lit(f"{k}:"), k).alias("entity"), *values)
-        melted = part if melted is None else melted.unionAll(part)
-    before = with_trailing_moments(melted, columns, last, ["entity"], include_self=False)
-    z = [F.abs(F.col(c) - F.col(f"{c}_mean")) / (F.coalesce(F.col(f"{c}_dev"), F.lit(0.0)) + 1e-6) for c in columns]
-    known = F.filter(F.array(*z), lambda v: ~F.isnan(v))
-    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
-    scored = before.select("id", F.when(F.col("n") >= least, mean).alias("z"))
+    columns = [f"f_{f}" for f in features]
+    values = [F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c) for c in columns]
+    # An event's features are computed once and come out with each of its entities.
+    entities = F.filter(F.array(*(F.when(F.coalesce(F.col(k), F.lit("")) != "", F.concat(F.lit(f"{k}:"), k)) for k in keys)), lambda e: e.isNotNull())
+    before = trailing_z(df.select("id", "us", *values, F.explode(entities).alias("entity")), columns, last, ["entity"], include_self=False)
+    scored = before.select("id", F.when(F.col("n") >= least, F.col("z")).alias("z"))
     return scored.groupBy("id").agg(F.round(F.avg("z"), 6).alias("z"), F.collect_list(F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), F.col("z") / 5))).alias("entity_scores"))
 
 

@@ -31,10 +31,17 @@ def detect_threats(events: DataFrame, indicators: DataFrame, specs: Sequence[rul
     df = intel.ip_reputation(df, indicators)
     parts = F.concat(F.coalesce("entity_scores", F.array().cast("array<double>")), F.array(*map(F.col, scores)).cast("array<double>"))
     df = df.withColumn("anomaly", scoring.mean_of(parts)).drop("entity_scores")
-    df = scoring.alert_gate(scoring.compose_risk(df))
+    df = scoring.alert_gate(settled(scoring.compose_risk(df), ("matches", "keywords", "anomaly", "risk", "reasons")))
     return df.withColumn("risk_severity", scoring.severity_of_risk(F.col("risk"))).withColumn("techniques", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["technique"]))))
 
 
+def settled(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``df``, its columns ``names`` computed once a row. A filter on a column is else moved below it and computes all that it is
+    made of, such as each pattern of the rules, once for each time it is named, and the rows that stay compute it once more."""
+    made = F.inline(F.array(F.struct(*names)))
+    return df.select(*(f"`{c}`" for c in df.columns if c not in names), made).select(*(f"`{c}`" for c in df.columns))
+
+
 def detect_stateless(events: DataFrame, indicators: DataFrame, specs: Sequence[rules.RuleSpec] = rules.BUILTIN_RULES) -> DataFrame:
     """What each event tells by itself: suppression, signature and pattern rules, keywords, attack signatures, address
     reputation and enrichment by indicators. ``events`` with ``matches``, ``keywords``, ``signatures``, ``ti_score``,
