@@ -216,6 +216,6 @@ def a3_forest_versions(spark, sf_dir):
 def d7_detect_threats_with_forest(spark, sf_dir):
     """The flagship, its anomaly averaged with the score of the forest of the event's time."""
     names = [f"f_{f}" for f in scoring.FEATURES]
-    df = isolation.score_versions(scoring.extract_features(sec_events(spark, sf_dir)), names, 2000).drop(*names)
+    df = isolation.score_versions(scoring.extract_features(sec_events(spark, sf_dir)), names, 2000, contamination=None).drop(*names, "forest", "outlier")
     found = detect_threats(stage(df, "forest-scores"), intel.builtin_indicators(spark), scores=["isolation"])
     return found.select("id", F.round("anomaly", 6).alias("anomaly"), F.round("risk", 6).alias("risk"), "risk_severity")
