@@ -15,11 +15,16 @@ from emberlog.llm.memory import give_back
 from emberlog.llm.tokens import DEFAULT_TOKENIZER, encoder, slabs
 
 
+#: Texts are encoded together up to so many bytes: a word that many of them have is encoded once, and a worker holds about
+#: twenty times as much.
+ENCODED_BYTES = 8 << 20
+
+
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
-            for begin, texts in slabs(batch.column(1)):
+            for begin, texts in slabs(batch.column(1), ENCODED_BYTES):
                 got = coder.encode_batch(texts, end)
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], got.ends]).astype(np.int32), pa.array(got.ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), ids], ["doc_id", "ids"])

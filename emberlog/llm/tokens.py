@@ -96,10 +96,13 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Encode one piece of the pre-tokenizer's, or a chunk that only the library can cut."""
+        plain = piece.isascii() and piece.isprintable()
+        if plain and not self.offsets:
+            return array("I", [t.id for t in self.model.tokenize(piece.replace(" ", "\u0120"))]).tobytes()
         if not piece.isascii() and max(piece) >= PLAIN_BELOW:
             return self._whole(piece)
         raw = piece.encode()
-        tokens = self.model.tokenize(piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else raw.decode("latin-1").translate(self.alphabet))
+        tokens = self.model.tokenize(piece.replace(" ", "\u0120") if plain else raw.decode("latin-1").translate(self.alphabet))
         if not self.offsets:
             return array("I", [t.id for t in tokens]).tobytes()
         holds = range(len(raw)) if len(raw) == len(piece) else [i for i, c in enumerate(piece) for _ in c.encode()]
@@ -147,7 +150,8 @@ class Encoder:
 
         What is empty, or begins or ends with white space, isn't sure to be cut there and has no values.
         """
-        even = [c != "" and not c[0].isspace() and not c[-1].isspace() for c in chunks]
+        # What is its own stripped form neither begins nor ends with white space.
+        even = [c != "" and c.strip() == c for c in chunks]
         plain = [e and (c.isascii() or max(c) < PLAIN_BELOW) for e, c in zip(even, chunks)]
         pieces = PIECE.findall(" " + " ".join(c for c, p in zip(chunks, plain) if p)) if any(plain) else []
         first = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
