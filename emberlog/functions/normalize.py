@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,17 @@ SOURCE_TYPES = ("network", "system", "application", "api", "file", "stream", "cu
 CSV_FIELD = r',(?:"([^"]*(?:""[^"]*)*)(?:"([^,]*)|$)|([^,]*))'
 
 
+def time_shape(pattern: str) -> str:
+    """A regular expression that every text read by ``pattern`` fits: to try a pattern in vain costs far more."""
+    out = ["(?i)^"]
+    for quoted, letters, letter, other in re.findall(r"'([^']*)'|(([A-Za-z])\3*)|([^A-Za-z'])", pattern):
+        named = {"MMM": "[a-z.]+", "a": "[a-z.]+", "X": r"(?:Z|[+-]\d+)", "xx": r"[+-]\d+", "SSS": r"\d*", "SSSSSS": r"\d*"}
+        part = named.get(letters, r"[+-]?\d+") if letters else re.escape(quoted or other)
+        if part != out[-1]:  # numbers without anything between them are one
+            out.append(part)
+    return "".join(out) + "$"
+
+
 def parse_time(text: Column, year: int = 2026) -> Column:
     """A written time in UTC; null if no pattern fits. Epoch seconds and milliseconds count from 2000 to 2100; times
     without a year are in ``year``."""
@@ -44,7 +57,7 @@ def parse_time(text: Column, year: int = 2026) -> Column:
     seconds = F.when(t.rlike(r"^\d{10}$") & n.between(946684800, 4102444800), F.timestamp_micros(n * 1_000_000))
     millis = F.when(t.rlike(r"^\d{13}$") & n.between(946684800000, 4102444800000), F.timestamp_micros(n * 1000))
     syslog = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(t, r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
-    tried = [F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]
+    tried = [F.when(t.rlike(time_shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in TIME_FORMATS]
     return F.coalesce(seconds, millis, *tried, F.when(t.rlike(r"^[A-Z][a-z]{2}\s"), syslog))
 
 

@@ -6,6 +6,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -21,9 +22,14 @@ def ingest(lines: DataFrame, logs_path: str, quarantine_path: str, checkpoint: s
     """Normalise a stream of ``value`` lines into two tables. Each micro-batch owns a folder, so a repeated one replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ok, bad = split_valid(normalize_logs(batch, **normalize))
-        ok.write.mode("overwrite").parquet(f"{logs_path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        # Both tables are made of lines that are read and normalised once; what is kept for that goes with the batch.
+        rows = normalize_logs(batch, **normalize).persist(StorageLevel.DISK_ONLY)
+        try:
+            ok, bad = split_valid(rows)
+            ok.write.mode("overwrite").parquet(f"{logs_path}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
