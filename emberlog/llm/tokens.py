@@ -1,9 +1,9 @@
 """Byte-level BPE inside Spark tasks.
 
 A byte-level BPE never merges across the pieces its pre-tokenizer cuts, so a text's ids are the ids of its pieces put
-end to end. The words between single spaces repeat far more often than texts do: an Arrow batch is split at spaces, each
-distinct word is encoded once with the ``tokenizers`` library, and numpy puts the ids together. A tokenizer that works
-otherwise encodes whole texts. ``tests/llm/test_tokens.py`` holds this against ``encode`` on whole texts.
+end to end. Pieces repeat far more often than texts do: numpy cuts the bytes of a batch into them, Arrow finds equal ones, each
+distinct one is encoded once with the ``tokenizers`` library, and numpy puts the ids together. With offsets, a batch is
+split at spaces instead. A tokenizer that works otherwise encodes whole texts. ``tests/llm/test_tokens.py`` holds this against ``encode`` on whole texts.
 """
 
 from __future__ import annotations
@@ -37,6 +37,21 @@ SLAB_BYTES = 3 << 20
 PLAIN_BELOW = "ɐ"
 
 
+#: Parts that repeat, whose ids a worker keeps, and their longest in bytes.
+KEPT_PARTS, KEPT_BYTES = 200_000, 64
+#: Kinds of bytes: white space, letters (the bytes of U+00C0 to U+017F too), digits, marks, and what needs the whole word.
+_SPACE_BYTE, _LETTER, _DIGIT, _MARK, _WHOLE = range(5)
+_KIND = np.full(256, _WHOLE, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[*b" \t\n\v\f\r"]] = _SPACE_BYTE
+_KIND[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTER
+_KIND[[*b"0123456789"]] = _DIGIT
+_KIND[ord("'")] = _WHOLE
+#: White space beyond ASCII.
+_FAR_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_FAR_BYTES = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+
+
 def _byte_alphabet() -> dict[int, int]:
     """Byte value -> code point: printable Latin-1 stands for itself, the others follow from 256 on."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,6 +68,42 @@ def cuts_at_pieces(tokenizer: Tokenizer) -> bool:
     return level and not any((model.dropout, model.continuing_subword_prefix, model.end_of_word_suffix, model.byte_fallback))
 
 
+def _cut(raw: np.ndarray, bounds: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """Texts that lie end to end cut into parts, and the text of each: a part is a piece of the rule, a word with what
+    needs the rule itself, or a text with white space beyond ASCII."""
+    kind, n = _KIND[raw], len(raw)
+    start = np.zeros(n + 1, bool)
+    start[bounds[:-1]] = True
+    start = start[:n]
+    space = kind == _SPACE_BYTE
+    after, other, wide = np.zeros(n, bool), np.ones(n, bool), np.zeros(n, bool)
+    after[1:], other[1:], wide[1:] = space[:-1], kind[1:] != kind[:-1], raw[:-1] != 32
+    # The last of some white space is a piece, or begins one if it's a space; at a text's end it belongs to those before.
+    last = np.zeros(n, bool)
+    last[:-1] = ~space[1:] & ~start[1:]
+    cut = start | np.where(space, ~after | last, np.where(after, wide, other))
+    whole = kind == _WHOLE
+    # The two marks among the Latin letters.
+    whole[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    if whole.any():
+        first = np.flatnonzero(~space & (after | start))
+        odd = np.zeros(len(first), bool)
+        odd[np.searchsorted(first, np.flatnonzero(whole), "right") - 1] = True
+        inner = np.flatnonzero(cut & ~space & ~after & ~start)
+        cut[inner[odd[np.searchsorted(first, inner, "right") - 1]]] = False
+        for i in {int(np.searchsorted(bounds, m.start(), "right")) - 1 for m in _FAR_BYTES.finditer(raw)}:
+            cut[bounds[i] + 1 : bounds[i + 1]] = False
+    begins = np.flatnonzero(cut)
+    parts = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, n).astype(np.int32)), pa.py_buffer(raw))
+    return parts, np.searchsorted(bounds, begins, "right") - 1
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of runs, one after another: ``counts`` places from each of ``starts``."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 class _Cache(dict):
     """Key -> ``make(key)``. When full, it begins anew and takes over what is asked for again from the entries before."""
 
@@ -93,6 +144,9 @@ class Encoder:
         #: Piece -> its ids (and offsets) packed as unsigned 32-bit values.
         self.pieces = _Cache(self._piece, CACHED_PIECES)
         self.width = 8 if offsets else 4
+        #: Parts that were met twice in a batch, where the ids of each begin in ``kept_ids``, and how many it has.
+        self.kept, self.kept_ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.kept_starts = self.kept_counts = np.zeros(0, np.int64)
 
     def _piece(self, piece: str) -> bytes:
         """Encode one piece of the pre-tokenizer's, or a chunk that only the library can cut."""
@@ -173,8 +227,51 @@ class Encoder:
             end += counts[i]
         return b"".join(packed + rest), starts, counts, np.concatenate([begins, np.zeros((end - len(begins)) * self.offsets, np.int64)])
 
+    def _part(self, part: str) -> bytes:
+        """Encode a part that bytes were cut to."""
+        if part.isascii() and part.isprintable() and "'" not in part:
+            return self._piece(part)
+        return self._uneven(part) if _FAR_SPACE.search(part) else self.packed(part)
+
+    def _keep(self, parts: pa.Array, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Keep the ids of ``parts``; when there are too many, those kept before are dropped."""
+        parts, starts, counts = parts[:KEPT_PARTS], starts[:KEPT_PARTS], counts[:KEPT_PARTS]
+        if len(self.kept) + len(parts) > KEPT_PARTS:
+            self.kept, self.kept_ids, self.kept_starts, self.kept_counts = self.kept[:0], self.kept_ids[:0], self.kept_starts[:0], self.kept_counts[:0]
+        self.kept = pa.concat_arrays([self.kept, parts])
+        self.kept_starts = np.append(self.kept_starts, len(self.kept_ids) + np.cumsum(counts) - counts)
+        self.kept_counts = np.append(self.kept_counts, counts)
+        self.kept_ids = np.append(self.kept_ids, ids[_spread(starts, counts)])
+
+    def _by_parts(self, texts: pa.Array, end: bytes) -> Encoded:
+        """Encode texts that are cut in bytes: Arrow finds equal parts, each is encoded once, and those that repeat are kept."""
+        bounds = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        held = texts.buffers()[2]
+        raw = np.frombuffer(held if held is not None else b"", np.uint8)[bounds[0] : bounds[-1]]
+        parts, text = _cut(raw, bounds - bounds[0])
+        words = parts.dictionary_encode()
+        distinct, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.kept), -1).to_numpy()
+        fresh = np.flatnonzero(at < 0)
+        packed = [*map(self._part, distinct.take(pa.array(fresh)).to_pylist()), end]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        # The end of a text is one more part.
+        starts, counts = np.empty(len(distinct) + 1, np.int64), np.empty(len(distinct) + 1, np.int64)
+        starts[:-1][at >= 0], counts[:-1][at >= 0] = self.kept_starts[at[at >= 0]], self.kept_counts[at[at >= 0]]
+        own = np.append(fresh, len(distinct))
+        starts[own], counts[own] = len(self.kept_ids) + np.cumsum(sizes) - sizes, sizes
+        ids = np.concatenate([self.kept_ids, np.frombuffer(b"".join(packed), np.uint32)])
+        again = fresh[(np.bincount(codes, minlength=len(distinct))[fresh] > 1) & (pc.binary_length(distinct).to_numpy()[fresh] <= KEPT_BYTES)]
+        self._keep(distinct.take(pa.array(again)), starts[again], counts[again], ids)
+        last = np.searchsorted(text, np.arange(len(texts)), "right")
+        codes = np.insert(codes, last, len(distinct))
+        ends = np.cumsum(counts[codes])[last + np.arange(len(texts))]
+        return Encoded(ids[_spread(starts[codes], counts[codes])], ends, None)
+
     def encode_batch(self, texts: pa.Array, end: bytes = b"") -> Encoded:
         """Encode an Arrow string array without nulls; ``end``, packed ids, follows each text's own (not with offsets)."""
+        if self.cuts and len(texts) and not self.offsets and not self.added:
+            return self._by_parts(texts, end)
         split = pc.split_pattern(texts, " ")
         bounds, flat = split.offsets.to_numpy().astype(np.int64), split.flatten()
         begin, last = bounds[:-1], bounds[1:] - 1
